@@ -1,6 +1,6 @@
 """Every operator as a named query over the shared tables."""
 
-from tallyloom.catalogue import profiles
+from tallyloom.catalogue import logs, profiles, texts
 from tallyloom.catalogue.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "profiles"]
+__all__ = ["QUERIES", "SQL", "logs", "profiles", "texts"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import warnings
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,22 +74,25 @@ def prefix(text: Column, length: int) -> Column:
     return F.left(text, F.lit(length))
 
 
+def _compiles(code: str | None) -> bool:
+    """Whether the text is a Python module. It is never run."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(code or "", "<text>", "exec")
+    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
+        return False
+    return True
+
+
 @F.pandas_udf(T.BooleanType())
 def compiles_as_python(source: pd.Series) -> pd.Series:
-    """True where the text compiles as a Python module. It is never run."""
+    return source.map(_compiles, na_action="ignore")
 
-    def check(code: str | None) -> bool | None:
-        if code is None:
-            return None
-        try:
-            compile(code, "<text>", "exec")
-        except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
-            return False
-        return True
 
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        return source.map(check)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _compiling(candidates: pd.Series) -> pd.Series:
+    return candidates.map(lambda codes: [c for c in codes if _compiles(c)], na_action="ignore")
 
 
 def code_candidates(text: Column) -> Column:
@@ -99,6 +102,16 @@ def code_candidates(text: Column) -> Column:
     return F.when(F.size(fenced) > 0, fenced).otherwise(whole)
 
 
+def extract_code(df: DataFrame, text: str, alias: str) -> DataFrame:
+    """Adds the candidates that compile as Python, joined with a blank line.
+
+    The compile check is one Arrow-batched call per row's array, so no array is
+    exploded and regrouped.
+    """
+    candidates = code_candidates(F.col(text))
+    return df.withColumn(alias, join_blocks(_compiling(candidates)))
+
+
 def text_before_code(text: Column) -> Column:
     found = F.instr(text, FENCE) > 0
     return F.when(found, strip(F.substring_index(text, FENCE, 1))).otherwise(F.when(text.isNotNull(), F.lit("")))

@@ -23,15 +23,22 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return boards.select(F.explode("submissions").alias("submission")).select("submission.score")
 
 
+def field_rows(json: Column) -> Column:
+    """A JSON object text as (source, page_content) rows."""
+    return F.explode(F.from_json(json, T.MapType(T.StringType(), T.StringType()))).alias("source", "page_content")
+
+
 def read_fields(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object file as (source, page_content) rows."""
-    fields = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    return read_whole_text(spark, path).select(F.explode(fields).alias("source", "page_content"))
+    return read_whole_text(spark, path).select(field_rows(F.col("value")))
+
+
+def plan_rows(json: Column) -> Column:
+    """A JSON array of strings as (seq, task) rows; a text that is no such array gives none."""
+    return F.posexplode(F.from_json(json, T.ArrayType(T.StringType()))).alias("seq", "task")
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of strings as (seq, task) rows; a file that is no such array gives no row."""
-    return read_whole_text(spark, path).select(F.posexplode(F.from_json("value", T.ArrayType(T.StringType()))).alias("seq", "task"))
+    return read_whole_text(spark, path).select(plan_rows(F.col("value")))
 
 
 def frame_rows(json: Column, schema: T.StructType) -> Column:
@@ -61,22 +68,28 @@ _CELL = T.StructType(
 )
 
 
-def read_notebook(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of notebook files: (notebook, seq, cell_type, code, outputs)."""
-    books = spark.read.schema(T.StructType([T.StructField("cells", T.ArrayType(_CELL))])).json(path, multiLine=True)
-    cells = books.select(F.input_file_name().alias("notebook"), F.posexplode("cells").alias("seq", "cell"))
+def notebook_cells(df: DataFrame, book: str) -> DataFrame:
+    """Cells of a notebook text column, one row each: (..., seq, cell_type, code, outputs)."""
+    kept = [c for c in df.columns if c != book]
+    parsed = F.from_json(book, T.StructType([T.StructField("cells", T.ArrayType(_CELL))]))
+    cells = df.select(*kept, F.posexplode(parsed["cells"]).alias("seq", "cell"))
 
     def output(o: Column) -> Column:
         made = {**{f.name: o[f.name] for f in OUTPUT.fields}, "text": F.array_join(o["text"], "")}
         return F.struct(*[made[f.name].alias(f.name) for f in OUTPUT.fields])
 
     return cells.select(
-        "notebook", "seq", "cell.cell_type",
+        *kept, "seq", "cell.cell_type",
         F.array_join("cell.source", "").alias("code"),
         F.transform("cell.outputs", output).alias("outputs"),
     )
 
 
+def read_notebook(spark: SparkSession, path: str) -> DataFrame:
+    books = read_whole_text(spark, path).select(F.input_file_name().alias("notebook"), "value")
+    return notebook_cells(books, "value")
+
+
 def pretty_json(record: Column) -> Column:
     return F.to_json(record, {"pretty": "true", "ignoreNullFields": "false"})
 

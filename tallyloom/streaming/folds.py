@@ -50,3 +50,9 @@ def current(spark: SparkSession, path: str, schema: T.StructType, keys: list[str
     """The upserted table: the newest change per key over all batches."""
     changes = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     return latest_per_key(changes, keys, [F.desc(order)])
+
+
+def memory_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """State after the newest batch that was written whole."""
+    batches = [r.batch for r in spark.read.parquet(path).select("batch").distinct().collect()]
+    return _state(spark, path, max(batches), schema)
