@@ -12,7 +12,7 @@ def accuracy(df: DataFrame, truth: str, prediction: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, classes: list) -> DataFrame:
     """One row per true class, one column predicted_<class> per class, zero where nothing fell."""
-    counted = df.groupBy(truth).pivot(prediction, classes).agg(F.count("*"))
+    counted = df.groupBy(truth).pivot(prediction, classes).agg(F.count(F.lit(1)))
     return counted.select(
         truth, *[F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("long")).alias(f"predicted_{c}") for c in classes]
     )

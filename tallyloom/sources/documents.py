@@ -17,9 +17,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Score texts of leaderboard files, one row per submission; a file without submissions gives none."""
-    boards = spark.read.schema(LEADERBOARD).json(path, multiLine=True)
+def read_scores(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Score texts of leaderboards, one row per submission; a board without submissions gives none.
+
+    A file is one board, or with `one_per_line` one board per line.
+    """
+    boards = spark.read.schema(LEADERBOARD).json(path, multiLine=not one_per_line)
     return boards.select(F.explode("submissions").alias("submission")).select("submission.score")
 
 
