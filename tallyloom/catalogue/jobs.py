@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.catalogue.registry import Tables, query
 from tallyloom.functions.text import python_float
+from tallyloom.local import local_table
 from tallyloom.plans import dataset_report, run_loop
 from tallyloom.scratch import new_path
 from tallyloom.sources import documents as d
@@ -151,3 +152,32 @@ def run_plan(t: Tables):
 
     done = run_loop.run_plan(runs, enhance, solve)
     return done.select("doc_id", "index", "route", F.array_join("log", ";").alias("log"))
+
+
+@query(
+    "SELECT 'text' AS kind, md5(array_to_string(['', '# ' || string_split(url, '/')[3], '## problem description:', html, '', 'Data set Info', '', '### quantitative_analysis', 'a', '', "
+    "'### qualitative_analysis', 'b', '', '## scraped data', '', '### dataset_info', 'c', '', '### evaluation_metric', 'd', '', ''], chr(10))) AS value FROM pages "
+    "UNION ALL SELECT 'json', md5(string_split(url, '/')[3] || html || 'abrecdnotes') FROM pages"
+)
+def problem_document_sink(t: Tables):
+    """Rendered text and JSON fields per page, written and read back; whole contents compared by hash."""
+    host = F.concat_ws("/", F.lit("https:"), F.lit(""), F.get(F.split("url", "/"), F.lit(2)), F.lit(""))
+    made = {"quantitative_analysis": "a", "qualitative_analysis": "b", "feature_recommendations": "re", "dataset_info": "c", "evaluation": "d", "important_notes": "notes"}
+    problems = t.pages.select(host.alias("challenge_url"), F.col("html").alias("problem_description"), *[F.lit(v).alias(k) for k, v in made.items()])
+    path = new_path(t.spark, "problems")
+    d.write_problem_documents(problems, path)
+    fields = F.from_json("value", ", ".join(f"{c} string" for c in d.DOCUMENT_FIELDS))
+    read = {kind: d.read_problem_documents(t.spark, path, kind) for kind in ("text", "json")}
+    joined = F.concat(*[fields[c] for c in d.DOCUMENT_FIELDS])
+    return read["text"].select(F.lit("text").alias("kind"), F.md5("value").alias("value")).unionByName(
+        read["json"].select(F.lit("json").alias("kind"), F.md5(joined).alias("value"))
+    )
+
+
+@query()
+def profile_report(t: Tables):
+    """The profile of lineitem as one text, the way it is handed to a model."""
+    said = dataset_report.analyze(
+        t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "", lambda shown: {"qualitative_analysis": shown["dataset_head"]}
+    )
+    return local_table(t.spark, [tuple(said.values())], "dataset_info string, qualitative_analysis string")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.catalogue.profiles import CUSTOMER, customer_with_gaps
 from tallyloom.catalogue.registry import Tables, query, rounded
+from tallyloom.local import local_table
 from tallyloom.operators import evaluation as e
 from tallyloom.operators import features as f
 from tallyloom.plans import tabular_model as m
@@ -157,3 +158,13 @@ def boosted_search(t: Tables):
     ready = m.Preprocessor(["price"], ["priority"]).fit(order_rows(t)).transform(marked)
     found = m.grid_search(ready.where(~F.col("is_test")), "label", {"maxIter": [2], "maxDepth": [2, 3]}, folds=2)
     return m.predict(found.bestModel, ready.where("is_test"), "o_orderkey", "fulfilled")
+
+
+@query()
+def compare_models(t: Tables):
+    """Validation accuracy of two estimators on all orders."""
+    marked = f.mark_test_rows(order_rows(t), "o_orderkey")
+    ready = m.Preprocessor(["price"], ["priority"]).fit(order_rows(t)).transform(marked)
+    boosted = m.boosted("label").setMaxIter(2)
+    found = m.compare(ready.where(~F.col("is_test")), ready.where("is_test"), "label", {"forest": m.forest("label", 10), "boosted": boosted})
+    return local_table(t.spark, found, "model string, accuracy double")

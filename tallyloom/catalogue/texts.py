@@ -11,6 +11,7 @@ from tallyloom.operators import cells as c
 from tallyloom.operators import records
 from tallyloom.operators.keyed_log import nest_fields
 from tallyloom.schemas import OUTPUT
+from tallyloom.scratch import new_path
 from tallyloom.sources import documents as d
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -329,3 +330,40 @@ def notebook_cells(t: Tables):
     ).alias("cells"))
     cells_ = d.notebook_cells(t.documents.select("doc_id", F.to_json(book).alias("book")), "book")
     return cells_.select("doc_id", "seq", "cell_type", "code", F.size("outputs").alias("n_outputs"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: '`' || x || '`'), ', ') AS packages FROM documents")
+def quoted_list(t: Tables):
+    return t.documents.select("doc_id", text.quoted_list(F.col("text")).alias("packages"))
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS valid FROM events")
+def valid_python(t: Tables):
+    """Three texts per residue: a statement, an unfinished one, a comment."""
+    kind = F.col("event_id") % 3
+    code = F.when(kind == 0, F.concat(F.lit("x = "), F.col("value").cast("string"))).when(kind == 1, F.lit("x = (1,")).otherwise(F.lit("# note"))
+    return t.events.select("event_id", text.compiles_as_python(code).alias("valid"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS metric, CASE WHEN event_id % 3 = 0 THEN value END AS score, event_id % 3 = 0 AS readable FROM events"
+)
+def structured_answers(t: Tables):
+    """Model answers as JSON: whole, broken, and null."""
+    kind = F.col("event_id") % 3
+    said = F.to_json(F.struct(F.col("event_type").alias("metric"), F.col("value").alias("score")))
+    answer = F.when(kind == 0, said).when(kind == 1, F.concat(F.lit("Sure! "), said))
+    parsed = text.parse_answer(answer, "metric string, score double")
+    return t.events.select("event_id", parsed.alias("a")).select("event_id", "a.metric", "a.score", F.col("a").isNotNull().alias("readable"))
+
+
+@query(
+    "SELECT source AS notebook, doc_id AS seq, 'code' AS cell_type, text AS code, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM documents"
+)
+def cells_log(t: Tables):
+    """Cells appended to the log, failed ones marked."""
+    runs = t.documents.select(F.col("source").alias("notebook"), F.col("doc_id").alias("seq"), F.col("text").alias("code"), F.lit(None).cast("array<string>").alias("outputs"))
+    path = new_path(t.spark, "cells")
+    for chosen, status in ((F.col("seq") % 7 != 0, "ok"), (F.col("seq") % 7 == 0, "error")):
+        d.append_rows(c.new_cells(runs.where(chosen), status), path)
+    return t.spark.read.parquet(path).drop("outputs")

@@ -159,6 +159,18 @@ def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))
 
 
+def quoted_list(lines: Column) -> Column:
+    """The lines of a text, each in backticks, as one comma-separated list in their own order."""
+    quoted = F.transform(F.split(lines, "\n", -1), lambda x: F.concat(F.lit("`"), x, F.lit("`")))
+    return F.array_join(quoted, ", ")
+
+
+def parse_answer(text: Column, schema: str) -> Column:
+    """A model's JSON answer as a typed record, null when it cannot be read as one."""
+    found = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    return F.when(F.try_parse_json(text).isNotNull(), found)
+
+
 def override(defaults: Column, values: Column) -> Column:
     """Union of two maps; entries of the second win."""
     kept = F.map_filter(defaults, lambda key, _: ~F.map_contains_key(values, key))

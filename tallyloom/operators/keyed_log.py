@@ -18,6 +18,25 @@ THREAD = ["thread_id", "checkpoint_ns"]
 CHECKPOINT = [*THREAD, "checkpoint_id"]
 WRITE = [*CHECKPOINT, "task_id", "idx"]
 
+HEAVY_SHARE = 256
+
+
+def join_unique(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table that has one row per key, for use below a window or aggregation on the same keys.
+
+    There the optimizer cannot split a hot key of a shuffled join without
+    another shuffle. Keys with more than 1/256 of the rows (at most 256 keys, so
+    they can be broadcast) are therefore joined where their rows are, and only
+    the others are shuffled.
+    """
+    limit = rows.count() // HEAVY_SHARE
+    heavy = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
+    heavy_keys = F.broadcast(heavy)
+    in_place = rows.join(F.broadcast(per_key.join(heavy_keys, keys, "left_semi")), keys)
+    shuffled = rows.join(heavy_keys, keys, "left_anti").join(per_key, keys)
+    return in_place.unionByName(shuffled)
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
@@ -41,11 +60,15 @@ def newest_checkpoints(checkpoints: DataFrame) -> DataFrame:
 
 
 def checkpoints_for(checkpoints: DataFrame, configs: DataFrame) -> DataFrame:
-    """One checkpoint per config row: the one named by checkpoint_id, or the thread's newest where that is null."""
+    """One checkpoint per config row: the one named by checkpoint_id, or the thread's newest where that is null.
+
+    The newest checkpoints are found before the configs are matched: that keeps
+    one row per thread and task, where matching first would bring a hot
+    thread's rows together.
+    """
     named = checkpoints.join(configs.where(F.col("checkpoint_id").isNotNull()).select(*CHECKPOINT), CHECKPOINT, "left_semi")
     open_ended = configs.where(F.col("checkpoint_id").isNull()).select(*THREAD)
-    newest = newest_checkpoints(checkpoints.join(open_ended, THREAD, "left_semi"))
-    return named.unionByName(newest)
+    return named.unionByName(newest_checkpoints(checkpoints).join(open_ended, THREAD, "left_semi"))
 
 
 def metadata_equals(metadata: Column, wanted: dict[str, object]) -> Column:
@@ -76,7 +99,8 @@ def list_checkpoints(
 
 def list_checkpoints_for(checkpoints: DataFrame, before: DataFrame, limit: int) -> DataFrame:
     """Per thread, the `limit` newest checkpoints below `before` (one row per thread: key, before_id); adds `position`."""
-    older = checkpoints.join(before, THREAD).where(F.col("checkpoint_id") < F.col("before_id")).drop("before_id")
+    matched = join_unique(checkpoints, before, THREAD)
+    older = matched.where(F.col("checkpoint_id") < F.col("before_id")).drop("before_id")
     return top_n_per_key(older, THREAD, [F.desc("checkpoint_id")], limit, rank="position")
 
 

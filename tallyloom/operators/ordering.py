@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from tallyloom.local import local_table
 from tallyloom.scratch import materialize
 
+MAX_BLOCK = 2_000_000
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -76,44 +77,52 @@ class OrderedCounts:
     def distinct(self, column: str) -> int:
         return sum(b.distinct for b in self.blocks.get(column, []))
 
-    def at_ranks(self, ranks: dict[str, list[int]]) -> DataFrame:
-        """(column_name, rank, value) at 0-based ascending ranks, a few per column."""
-        spark = self.values.sparkSession
-        located = [
-            (column, b.block, rank, rank - b.below)
-            for column, wanted in ranks.items()
-            for rank in sorted(set(wanted))
-            for b in self.blocks.get(column, [])
-            if b.below <= rank < b.below + b.rows
-        ]
-        requests = local_table(spark, located, "column_name string, block int, rank long, offset long")
-        if not located:
-            return requests.select("column_name", "rank", F.lit(None).cast(self.values.schema["value"].dataType).alias("value"))
-        in_blocks = reduce(
-            lambda a, b: a | b,
-            [
-                (F.col("column_name") == c) & F.col("block").isin(sorted({x[1] for x in located if x[0] == c}))
-                for c in sorted({x[0] for x in located})
-            ],
+    def at_ranks(self, ranks: dict[str, list[int]], max_block: int = MAX_BLOCK) -> DataFrame:
+        """(column_name, rank, value) at 0-based ascending ranks, a few per column.
+
+        A block with more than `max_block` distinct values is laid out once more
+        in finer blocks before it is put in order, so the work of one task does
+        not depend on the partition count of the session.
+        """
+        direct, parts = [], []
+        for column, wanted in ranks.items():
+            for b in self.blocks.get(column, []):
+                inside = [rank for rank in sorted(set(wanted)) if b.below <= rank < b.below + b.rows]
+                if inside and b.distinct > max_block:
+                    one = self.values.where((F.col("column_name") == column) & (F.col("block") == b.block)).drop("block")
+                    finer = order_counts(one, partitions=2 * ceil(b.distinct / max_block))
+                    found = finer.at_ranks({column: [rank - b.below for rank in inside]}, max_block)
+                    parts.append(found.withColumn("rank", F.col("rank") + F.lit(b.below)))
+                else:
+                    direct += [(column, b.block, rank, rank - b.below) for rank in inside]
+        return reduce(DataFrame.unionByName, parts, self._in_blocks(direct))
+
+    def _in_blocks(self, located: list[tuple[str, int, int, int]]) -> DataFrame:
+        requests = local_table(
+            self.values.sparkSession, located, "column_name string, block int, rank long, offset long"
         )
+        by_column: dict[str, set[int]] = {}
+        for column, block, _, _ in located:
+            by_column.setdefault(column, set()).add(block)
+        wanted = [(F.col("column_name") == c) & F.col("block").isin(sorted(blocks)) for c, blocks in by_column.items()]
         order = W.partitionBy("column_name", "block").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-        running = self.values.where(in_blocks).withColumn("upto", F.sum("n").over(order))
+        picked = self.values.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
         return (
-            running.join(F.broadcast(requests), ["column_name", "block"])
+            picked.withColumn("upto", F.sum("n").over(order))
+            .join(F.broadcast(requests), ["column_name", "block"])
             .where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
             .select("column_name", "rank", "value")
         )
 
 
-def order_counts(counts: DataFrame) -> OrderedCounts:
+def order_counts(counts: DataFrame, partitions: int | None = None) -> OrderedCounts:
     """Lay (column_name, value, n) out in ordered blocks and collect the block sizes.
 
     The driver receives one row per partition and column it holds.
     """
-    values = materialize(
-        counts.repartitionByRange("column_name", "value").withColumn("block", F.spark_partition_id()),
-        "ordered-counts",
-    )
+    count = [partitions] if partitions else []
+    ranged = counts.repartitionByRange(*count, "column_name", "value")
+    values = materialize(ranged.withColumn("block", F.spark_partition_id()), "ordered-counts")
     sizes = values.groupBy("column_name", "block").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct"))
     blocks: dict[str, list[Block]] = {}
     for row in sorted(sizes.collect(), key=lambda r: (r.column_name, r.block)):

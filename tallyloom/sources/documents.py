@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.functions.templates import problem_document
+from tallyloom.functions.urls import path_part
 from tallyloom.schemas import LEADERBOARD, OUTPUT
 
 
+RECORD_END = "\x1e"  # record separator: the texts span lines
+
+
 def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
@@ -110,3 +115,25 @@ def write_fields(rows: DataFrame, fields: list[str], path: str) -> None:
 
 def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+# The fields of a problem document, in file order.
+DOCUMENT_FIELDS = [
+    "challenge_name", "problem_description", "quantitative_analysis", "qualitative_analysis",
+    "feature_recommendations", "dataset_info", "evaluation", "important_notes",
+]
+
+
+def write_problem_documents(problems: DataFrame, path: str) -> None:
+    """Per problem its rendered text and its fields as JSON, under kind=text and kind=json."""
+    named = problems.withColumn("challenge_name", path_part(F.col("challenge_url"), 2))
+    text = problem_document(*[F.col(c) for c in (
+        "challenge_name", "problem_description", "quantitative_analysis", "qualitative_analysis", "dataset_info", "evaluation"
+    )])
+    fields = F.to_json(F.struct(*DOCUMENT_FIELDS), {"ignoreNullFields": "false"})
+    kinds = F.array(F.struct(F.lit("text").alias("kind"), text.alias("value")), F.struct(F.lit("json").alias("kind"), fields.alias("value")))
+    named.select(F.inline(kinds)).write.option("lineSep", RECORD_END).partitionBy("kind").text(path)
+
+
+def read_problem_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.option("lineSep", RECORD_END).text(f"{path}/kind={kind}")
