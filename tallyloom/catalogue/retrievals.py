@@ -20,8 +20,7 @@ _COS = (
 
 def probe(t: Tables) -> list[float]:
     """The query vector: the mean of all vectors."""
-    dimensions = t.embeddings.select(F.size("embedding")).first()[0]
-    return r.centroid(t.embeddings, "embedding", dimensions)
+    return r.centroid(t.embeddings, "embedding")
 
 
 @query(f"WITH {_CENTROID} SELECT vec_id, label, round({_L2}, 6) AS distance FROM embeddings, q ORDER BY {_L2}, vec_id LIMIT 5")

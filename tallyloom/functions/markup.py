@@ -8,6 +8,7 @@ headings, `*` bullets, backslash before `*` and `_`.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,6 +23,10 @@ BLOCKS = {"p", "div", "article", "section", "header", "footer", "nav", "main", "
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 BULLETS = "*+-"
+LITERAL = ("code", "kbd", "samp")
+
+BLANKS = re.compile(r"\s+")
+SPECIAL = re.compile(r"[*_]")
 
 
 class _MarkdownWriter(HTMLParser):
@@ -31,9 +36,10 @@ class _MarkdownWriter(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, dict]] = [("", {})]
         self.buffers: list[list[str]] = [[]]
+        self.depth: Counter[str] = Counter()
 
-    def inside(self, *tags: str) -> bool:
-        return any(tag in tags for tag, _ in self.open)
+    def inside(self, tags) -> bool:
+        return any(self.depth[tag] for tag in tags)
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -43,6 +49,7 @@ class _MarkdownWriter(HTMLParser):
             self.close_top()
         self.open.append((tag, dict(attrs)))
         self.buffers.append([])
+        self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -50,18 +57,18 @@ class _MarkdownWriter(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if any(tag == name for name, _ in self.open[1:]):
+        if self.depth[tag]:
             while self.open[-1][0] != tag:
                 self.close_top()
             self.close_top()
 
     def handle_data(self, data):
-        if self.inside(*SILENT):
+        if self.inside(SILENT):
             return
-        if not self.inside("pre"):
-            data = re.sub(r"\s+", " ", data)
-            if not self.inside("code", "kbd", "samp"):
-                data = re.sub(r"([*_])", r"\\\1", data)
+        if not self.depth["pre"]:
+            data = BLANKS.sub(" ", data)
+            if not self.inside(LITERAL):
+                data = SPECIAL.sub(r"\\\g<0>", data)
         self.buffers[-1].append(data)
 
     def void(self, tag: str, attrs: dict) -> str:
@@ -75,6 +82,7 @@ class _MarkdownWriter(HTMLParser):
 
     def close_top(self):
         tag, attrs = self.open.pop()
+        self.depth[tag] -= 1
         text = "".join(self.buffers.pop())
         self.buffers[-1].append(self.render(tag, attrs, text))
 
@@ -84,7 +92,7 @@ class _MarkdownWriter(HTMLParser):
             return ""
         if tag == "pre":
             return f"\n\n```\n{text.strip(chr(10))}\n```\n\n"
-        if self.inside("pre"):
+        if self.depth["pre"]:
             return text
         if tag in MARKS:
             return self.around(text, MARKS[tag], MARKS[tag])
@@ -99,7 +107,7 @@ class _MarkdownWriter(HTMLParser):
         if tag == "li":
             return self.item(bare)
         if tag in ("ul", "ol"):
-            return f"\n{text.rstrip()}" if self.inside("li") else f"\n\n{text.strip(chr(10))}\n\n"
+            return f"\n{text.rstrip()}" if self.depth["li"] else f"\n\n{text.strip(chr(10))}\n\n"
         if tag == "blockquote":
             return "\n\n" + "\n".join(f"> {line}".rstrip() for line in bare.split("\n")) + "\n\n" if bare else ""
         if tag in ("td", "th"):

@@ -1,7 +1,8 @@
 """Text clean-up and extraction as Column -> Column functions.
 
 Whitespace is Unicode whitespace plus the four ASCII separators, which is what
-Python's `str.strip` and `str.split` remove; Java needs `(?U)` for it.
+Python's `str.strip` and `str.split` remove. It is spelled out, because Java's
+`\\s` is ASCII only and its Unicode mode is slow.
 """
 
 from __future__ import annotations
@@ -17,34 +18,37 @@ from pyspark.sql import types as T
 ESCAPE_SEQUENCE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 COLOR_PAIR = r"\x1b\[\d+;\d+m"
 COLOR = r"\x1b\[\d+m"
-LINE_BREAKS = r"[\r\n]+"
 FENCED_CODE = r"(?s)```(python)?\n*(.*?)\n*```"
 WHOLE_TEXT_CODE = r"(?sd)^(```(python)?)?\n?(.*?)\n?(```)?$"
 FENCE = "```"
 ANY_FENCED = r"```[\s\S]*?```"
-PROMPT = r"(?Umd)^>>>[\s\x1c-\x1f]?"
 ELLIPSIS = "..."
 OUTPUT_SEPARATOR = "\n---\n"
 BLOCK_SEPARATOR = "\n\n"
 
-SPACE = r"[\s\x1c-\x1f]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+PROMPT = rf"(?md)^>>>{SPACE}?"
 
 
 def strip(text: Column) -> Column:
     """Trim all whitespace, not only blanks."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def squeeze(text: Column) -> Column:
     """Trim, and turn every whitespace run into one blank."""
-    return F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
 def clean_console(text: Column) -> Column:
-    """Console output without escape sequences, on one line."""
-    for pattern in (ESCAPE_SEQUENCE, COLOR_PAIR, COLOR):
-        text = F.regexp_replace(text, pattern, "")
-    return squeeze(F.regexp_replace(text, LINE_BREAKS, " "))
+    """Console output without escape sequences, on one line.
+
+    Removing a sequence can bring the parts of another together, hence the two
+    color passes; they only run on texts that still hold an escape character.
+    """
+    once = F.regexp_replace(text, ESCAPE_SEQUENCE, "")
+    again = F.regexp_replace(F.regexp_replace(once, COLOR_PAIR, ""), COLOR, "")
+    return squeeze(F.when(F.instr(once, "\x1b") > 0, again).otherwise(once))
 
 
 def unescape_newlines(text: Column) -> Column:

@@ -22,10 +22,11 @@ HITS = 5
 LISTED = 1000
 
 
-def centroid(vectors: DataFrame, embedding: str, dimensions: int) -> list[float]:
-    """Mean vector of a table, from one aggregation."""
-    means = [F.avg(F.get(F.col(embedding), F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dimensions)]
-    return list(vectors.agg(*means).first())
+def centroid(vectors: DataFrame, embedding: str) -> list[float]:
+    """Mean vector of a table: one partial sum per dimension and task."""
+    places = vectors.select(F.posexplode(embedding).alias("place", "x"))
+    means = places.groupBy("place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    return [row.mean for row in means.orderBy("place").collect()]
 
 
 def nearest(
