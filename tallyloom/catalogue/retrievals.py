@@ -96,7 +96,7 @@ def list_documents_of_type(t: Tables):
 @query("SELECT doc_id AS id, text AS content, lang AS doc_type FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
 def load_document(t: Tables):
     newest = t.documents.agg(F.max("doc_id")).first()[0]
-    return r.load_document(store(t), newest).select(F.lit(newest).alias("id"), "content", "doc_type")
+    return r.load_document(store(t), newest).select(F.lit(newest).cast("long").alias("id"), "content", "doc_type")
 
 
 @query("SELECT doc_id AS id, text AS content, lang AS doc_type FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
