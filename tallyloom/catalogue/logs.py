@@ -240,7 +240,8 @@ def memory_text(t: Tables):
 
 
 def _event_stream(t: Tables):
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """The table as a stream, be it one file or a folder of files; a glob accepts both."""
+    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
 
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 5")

@@ -39,8 +39,22 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def finished_batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers N of the folders batch=N that carry the mark of a completed write."""
+    files, path = _hadoop(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    batches = [name for name in names if name.startswith("batch=")]
+    return [int(name[len("batch="):]) for name in batches if files.exists(_hadoop(spark, f"{folder}/{name}/_SUCCESS")[1])]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables this application wrote below the scratch root. Frames read from them become unusable."""
-    folder = f"{scratch_root(spark)}/tallyloom-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _hadoop(spark, f"{scratch_root(spark)}/tallyloom-{spark.sparkContext.applicationId}")
+    files.delete(path, True)

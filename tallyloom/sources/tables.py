@@ -57,13 +57,16 @@ def apply_types(texts: DataFrame, schema: T.StructType) -> DataFrame:
     return texts.select(*typed)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False, emptyValue="")
+def read_texts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, emptyValue="")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV table at `path`. Without a schema the types are inferred once; pass that schema on later reads."""
-    texts = read_texts(spark, path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """A CSV table at `path`. Without a schema the types are inferred once; pass that schema on later reads.
+
+    `multi_line` reads quoted line feeds, at the price of one task per file.
+    """
+    texts = read_texts(spark, path, multi_line)
     return apply_types(texts, schema or infer_types(texts))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyloom.operators.memory import MAX_ITEMS, strongest
 from tallyloom.operators.ranking import latest_per_key
+from tallyloom.scratch import finished_batches
 
 
 def _state(spark: SparkSession, path: str, batch: int, schema: T.StructType) -> DataFrame:
@@ -53,6 +54,5 @@ def current(spark: SparkSession, path: str, schema: T.StructType, keys: list[str
 
 
 def memory_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """State after the newest batch that was written whole."""
-    batches = [r.batch for r in spark.read.parquet(path).select("batch").distinct().collect()]
-    return _state(spark, path, max(batches), schema)
+    """State after the newest batch that was written whole; empty before the first."""
+    return _state(spark, path, max(finished_batches(spark, path), default=-1), schema)

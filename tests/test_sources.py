@@ -53,6 +53,12 @@ def test_schema_can_be_pinned(spark, csv_path):
     assert train.schema == test.schema
 
 
+def test_quoted_line_feeds(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n"one\ntwo",1\nthree,2\n')
+    rows = tables.read_table(spark, str(tmp_path / "t.csv"), multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("one\ntwo", 1), ("three", 2)]
+
+
 def test_leaderboards(spark, tmp_path):
     boards = {
         "many.json": {"submissions": [{"score": str(i)} for i in range(25)] + [{"score": None}, {"score": "n/a"}, {}]},
