@@ -33,27 +33,32 @@ def without_nan(df: DataFrame, name: str):
     return column
 
 
+def _count(df: DataFrame, columns: list[str], cells: list[dict]) -> DataFrame:
+    """Counted cells per column. Columns go by number until rows have been combined: short keys hash faster."""
+    numbered = [
+        F.struct(F.lit(i).alias("place"), *[value.alias(key) for key, value in cell.items()]) for i, cell in enumerate(cells)
+    ]
+    long = df.select(F.inline(F.array(*numbered))).where(F.col("value").isNotNull())
+    keys = list(cells[0])
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("place")).alias("column_name")
+    return long.groupBy("place", *keys).agg(F.count("*").alias("n")).select(name, *keys, "n")
+
+
 def value_counts(df: DataFrame, columns: list[str], kind: T.DataType | None = None) -> DataFrame:
     """(column_name, value, n) over the non-missing values of columns that share a type."""
-    picked = []
-    for name in columns:
-        column = without_nan(df, name)
-        picked.append((column.cast(kind) if kind else column).alias(name))
-    long = df.select(*picked).unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
-    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    values = [without_nan(df, name) for name in columns]
+    return _count(df, columns, [{"value": v.cast(kind) if kind else v} for v in values])
 
 
 def numeric_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, whole, n): value as double to order by, `whole` keeps integers apart beyond 2^53."""
-    cells = []
-    for name in columns:
-        column = without_nan(df, name)
-        whole = column if isinstance(df.schema[name].dataType, WHOLE) else F.lit(None)
-        cells.append(
-            F.struct(F.lit(name).alias("column_name"), column.cast("double").alias("value"), whole.cast("long").alias("whole"))
-        )
-    long = df.select(F.inline(F.array(*cells)))
-    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value", "whole").agg(F.count("*").alias("n"))
+
+    def cell(name: str) -> dict:
+        value = without_nan(df, name)
+        whole = value if isinstance(df.schema[name].dataType, WHOLE) else F.lit(None)
+        return {"value": value.cast("double"), "whole": whole.cast("long")}
+
+    return _count(df, columns, [cell(name) for name in columns])
 
 
 @dataclass(frozen=True)
@@ -98,18 +103,20 @@ class OrderedCounts:
         return reduce(DataFrame.unionByName, parts, self._in_blocks(direct))
 
     def _in_blocks(self, located: list[tuple[str, int, int, int]]) -> DataFrame:
+        """Values at (column, block, rank, offset in block); each block is ordered under a short number of its own."""
+        spark = self.values.sparkSession
+        slots = {key: i for i, key in enumerate(sorted({(c, b) for c, b, _, _ in located}))}
+        named = local_table(spark, [(*key, i) for key, i in slots.items()], "column_name string, block int, slot int")
         requests = local_table(
-            self.values.sparkSession, located, "column_name string, block int, rank long, offset long"
+            spark, [(slots[c, b], c, r, o) for c, b, r, o in located], "slot int, column_name string, rank long, offset long"
         )
-        by_column: dict[str, set[int]] = {}
-        for column, block, _, _ in located:
-            by_column.setdefault(column, set()).add(block)
-        wanted = [(F.col("column_name") == c) & F.col("block").isin(sorted(blocks)) for c, blocks in by_column.items()]
-        order = W.partitionBy("column_name", "block").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-        picked = self.values.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+        wanted = [(F.col("column_name") == c) & (F.col("block") == b) for c, b in slots]
+        order = W.partitionBy("slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
         return (
-            picked.withColumn("upto", F.sum("n").over(order))
-            .join(F.broadcast(requests), ["column_name", "block"])
+            self.values.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+            .join(F.broadcast(named), ["column_name", "block"])
+            .select("slot", "value", "n", F.sum("n").over(order).alias("upto"))
+            .join(F.broadcast(requests), "slot")
             .where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
             .select("column_name", "rank", "value")
         )
