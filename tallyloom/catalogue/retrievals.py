@@ -118,13 +118,13 @@ c AS (SELECT doc_id, list_filter(list_transform(string_split(s.done || s.cur, ch
 @query(_CHUNKS + "SELECT doc_id, i - 1 AS chunk_no, chunks[i] AS chunk FROM c, LATERAL (SELECT unnest(range(1, len(chunks) + 1))::INTEGER AS i)")
 def chunk_documents(t: Tables):
     """Paragraph chunks of texts whose lines are paragraphs."""
-    spaced = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    spaced = t.spread("documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return r.chunk_documents(spaced, overlap=False)
 
 
 @query()
 def chunk_documents_with_overlap(t: Tables):
-    return r.chunk_documents(t.documents.select("doc_id", "text"), overlap=True)
+    return r.chunk_documents(t.spread("documents").select("doc_id", "text"), overlap=True)
 
 
 @query(
@@ -134,7 +134,7 @@ def chunk_documents_with_overlap(t: Tables):
 def add_documents(t: Tables):
     """Chunked, tagged vector rows; the stand-in model embeds a text as its length."""
     own = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("a"), F.lit("b"))).otherwise(F.create_map(F.lit("doc_type"), F.lit("own")))
-    docs = t.documents.select(
+    docs = t.spread("documents").select(
         F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.col("lang").alias("doc_type"), own.alias("metadata")
     )
     rows = r.add_documents(docs, lambda text: F.array(F.length(text).cast("float")))

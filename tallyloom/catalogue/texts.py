@@ -28,7 +28,7 @@ def _strip(sql: str) -> str:
 )
 def strip_ansi(t: Tables):
     colored = F.concat(F.lit(f"{ESC}[1;31m "), F.replace("text", F.lit(" "), F.lit(f"{ESC}[0m ")))
-    return t.documents.select("doc_id", text.clean_console(colored).alias("text"))
+    return t.spread("documents").select("doc_id", text.clean_console(colored).alias("text"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -40,7 +40,7 @@ def unescape(t: Tables):
 @query(rf"SELECT doc_id, {_strip('text')} AS code FROM documents")
 def clean_cell(t: Tables):
     padded = F.concat(F.lit(" \n\t"), F.replace("text", F.lit("\n"), F.lit("\\n")), F.lit("\n\n "))
-    return t.documents.select("doc_id", text.clean_cell(padded).alias("code"))
+    return t.spread("documents").select("doc_id", text.clean_cell(padded).alias("code"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 300 THEN text[1:300] || '...' ELSE text END AS text, text[1:50] AS start FROM documents")
@@ -54,7 +54,7 @@ def fenced(t: Tables):
         F.lit(" `"), F.col("text"), F.lit("`\n```python\nx = "), F.col("doc_id").cast("string"),
         F.lit("\nprint(x)\n```\n>>> "), F.col("lang"), F.lit("\n```\nnot python at all\n```\n"),
     )
-    return t.documents.select("doc_id", body.alias("body"))
+    return t.spread("documents").select("doc_id", body.alias("body"))
 
 
 FENCED = (
@@ -221,13 +221,13 @@ def nested_projection(t: Tables):
 
 @query()
 def html_to_markdown(t: Tables):
-    return t.pages.select("page_id", markup.html_to_markdown("html").alias("markdown"))
+    return t.spread("pages").select("page_id", markup.html_to_markdown("html").alias("markdown"))
 
 
 @query(r"SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading FROM pages WHERE html LIKE '%<article><h1>%'")
 def page_fields(t: Tables):
     """Inner markup of one element of every page."""
-    found = t.pages.select("page_id", markup.inner_html(F.col("html"), "article > h1:nth-child(1)").alias("heading"))
+    found = t.spread("pages").select("page_id", markup.inner_html(F.col("html"), "article > h1:nth-child(1)").alias("heading"))
     return found.where(F.col("heading").isNotNull())
 
 
