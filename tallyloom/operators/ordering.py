@@ -67,6 +67,9 @@ class Block:
     rows: int
     distinct: int
     below: int
+    low: object
+    high: object
+    total: float | None  # sum of all values, for numbers
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,14 @@ class OrderedCounts:
     def distinct(self, column: str) -> int:
         return sum(b.distinct for b in self.blocks.get(column, []))
 
+    def mean(self, column: str) -> float | None:
+        rows = self.total(column)
+        return sum(b.total for b in self.blocks[column]) / rows if rows else None
+
+    def bounds(self, column: str) -> tuple:
+        blocks = self.blocks.get(column)
+        return (blocks[0].low, blocks[-1].high) if blocks else (None, None)
+
     def at_ranks(self, ranks: dict[str, list[int]], max_block: int = MAX_BLOCK) -> DataFrame:
         """(column_name, rank, value) at 0-based ascending ranks, a few per column.
 
@@ -130,12 +141,19 @@ def order_counts(counts: DataFrame, partitions: int | None = None) -> OrderedCou
     count = [partitions] if partitions else []
     ranged = counts.repartitionByRange(*count, "column_name", "value")
     values = materialize(ranged.withColumn("block", F.spark_partition_id()), "ordered-counts")
-    sizes = values.groupBy("column_name", "block").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct"))
+    is_number = isinstance(values.schema["value"].dataType, T.NumericType)
+    sizes = values.groupBy("column_name", "block").agg(
+        F.sum("n").alias("rows"),
+        F.count("*").alias("distinct"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+        (F.sum(F.col("value").cast("double") * F.col("n")) if is_number else F.lit(None)).alias("total"),
+    )
     blocks: dict[str, list[Block]] = {}
     for row in sorted(sizes.collect(), key=lambda r: (r.column_name, r.block)):
         before = blocks.setdefault(row.column_name, [])
         below = before[-1].below + before[-1].rows if before else 0
-        before.append(Block(row.block, row.rows, row.distinct, below))
+        before.append(Block(row.block, row.rows, row.distinct, below, row.low, row.high, row.total))
     return OrderedCounts(values, blocks)
 
 

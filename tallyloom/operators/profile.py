@@ -108,36 +108,34 @@ def all_columns(measured: DataFrame, columns: list[str], defaults: dict) -> Data
     return F.broadcast(names).join(measured, "column_name", "left").fillna(defaults)
 
 
-def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    return per_column(
-        df,
-        columns,
-        {
-            "count": F.count,
-            "mean": lambda c: F.avg(c.cast("double")),
-            "std": lambda c: F.stddev_samp(c.cast("double")),
-            "min": lambda c: F.min(c.cast("double")),
-            "max": lambda c: F.max(c.cast("double")),
-            "n_missing": lambda c: F.count_if(c.isNull()),
-        },
-    )
-
-
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles, max, missing and distinct per numeric column.
 
-    One scan for the moments; one shuffle of distinct values that serves both
-    the distinct counts and the exact quartiles.
+    The columns are read and shuffled once, as counted distinct values; every
+    figure comes from those. The driver holds one row per column and block.
     """
     columns = columns or numeric_columns(df)
+    spark, n_rows = df.sparkSession, df.count()
     ordered = order_counts(numeric_counts(df, columns))
+    facts = [
+        (c, ordered.total(c), ordered.mean(c) if ordered.total(c) else None, *ordered.bounds(c), n_rows - ordered.total(c), ordered.distinct(c))
+        for c in columns
+    ]
+    known = local_table(
+        spark, facts, "column_name string, count long, mean double, min double, max double, n_missing long, n_unique long"
+    )
+    off = F.col("value") - F.col("mean")
+    squares = (
+        ordered.values.join(F.broadcast(known), "column_name")
+        .groupBy("column_name")
+        .agg(F.sum(F.col("n") * off * off).alias("squares"))
+    )
     at = {f"p{int(p * 100)}": F.max(F.when(F.col("p") == p, F.col("quantile"))) for p in QUARTILES}
     quartiles = quantiles(ordered, QUARTILES).groupBy("column_name").agg(*[c.alias(a) for a, c in at.items()])
-    unique = local_table(df.sparkSession, [(c, ordered.distinct(c)) for c in columns], "column_name string, n_unique long")
     return (
-        moments(df, columns)
+        known.join(F.broadcast(squares), "column_name", "left")
         .join(F.broadcast(quartiles), "column_name", "left")
-        .join(F.broadcast(unique), "column_name", "left")
+        .withColumn("std", F.sqrt(F.try_divide("squares", F.col("count") - 1)))
         .select("column_name", "count", "mean", "std", "min", *at, "max", "n_missing", "n_unique")
     )
 
