@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.catalogue.registry import Tables, query
-from tallyloom.functions import slices
+from tallyloom.functions import slices, templates
 from tallyloom.functions.urls import with_slash
 from tallyloom.operators import history as h
 from tallyloom.operators import keyed_log as k
@@ -239,6 +239,26 @@ def memory_text(t: Tables):
     return m.memory_text(items, "user_id", "value", "event_id", "item")
 
 
+_SUMMARY = "('Task: ' || event_type || chr(10) || 'Result Summary: ' || event_id)"
+
+
+@query(
+    f"WITH r AS (SELECT user_id, {_SUMMARY} AS item, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events QUALIFY place <= 5), "
+    "m AS (SELECT user_id, string_agg(item, chr(10) ORDER BY place) AS memories FROM r GROUP BY user_id) "
+    "SELECT user_id, 'Context: ' || memories || chr(10) || chr(10) || 'Question: what next?' AS question, 'Q: what next?' || chr(10) || 'A: ' || length(memories) AS remembered FROM m"
+)
+def memory_questions(t: Tables):
+    """A question per user with its memories as context, and what is remembered of the answer."""
+    item = templates.task_summary(F.col("event_type"), F.col("event_id"))
+    texts = m.memory_text(t.events.withColumn("item", item), "user_id", "value", "event_id", "item")
+    asked = F.lit("what next?")
+    return texts.select(
+        "user_id",
+        templates.question_with_memory(F.col("memories"), asked).alias("question"),
+        templates.answered_question(asked, F.length("memories")).alias("remembered"),
+    )
+
+
 def _event_stream(t: Tables):
     """The table as a stream, be it one file or a folder of files; a glob accepts both."""
     return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")

@@ -41,7 +41,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """Rounded for comparison, with minus zero as zero."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 def null_where(column: str, value) -> Column:

@@ -17,6 +17,9 @@ NO_RESULT = "No result available"
 TASK_MESSAGE = "<Task>\n%s\n</Task>"
 CODE_MESSAGE = "<CODE>\n%s\n</CODE>"
 RESULT_MESSAGE = "Result is :\n\n%s"
+MEMORY_QUESTION = "Context: %s\n\nQuestion: %s"
+MEMORY_ANSWER = "Q: %s\nA: %s"
+MEMORY_SUMMARY = "Task: %s\nResult Summary: %s"
 DATA_PATHS = "\n\n\n---\n trian dataset path: ~/train.csv \n\n\n---\n test dataset path: ~/test.csv"
 PROBLEM_DOCUMENT = """
 # %s
@@ -72,3 +75,17 @@ def numbered_lines(items: Column) -> Column:
 
 def dataset_info(details: Column) -> Column:
     return F.concat(details, F.lit(DATA_PATHS))
+
+
+def question_with_memory(memories: Column, question: Column) -> Column:
+    return fill(MEMORY_QUESTION, memories, question)
+
+
+def answered_question(question: Column, answer: Column) -> Column:
+    """What is remembered of an answered question."""
+    return fill(MEMORY_ANSWER, question, answer)
+
+
+def task_summary(task: Column, summary: Column) -> Column:
+    """What is remembered of a finished task."""
+    return fill(MEMORY_SUMMARY, task, summary)
