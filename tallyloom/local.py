@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """Literal rows as a local relation, so the optimizer knows how small they are."""
-    schema = T.StructType.fromDDL(ddl)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     arrow = to_arrow_schema(schema)
     table = pa.Table.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)

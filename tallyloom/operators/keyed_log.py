@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.urls import with_slash
+from tallyloom.local import local_table
 from tallyloom.operators.ranking import latest_per_key, top_n, top_n_per_key
 
 THREAD = ["thread_id", "checkpoint_ns"]
@@ -30,11 +31,15 @@ def join_unique(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFra
     the others are shuffled.
     """
     limit = rows.count() // HEAVY_SHARE
-    heavy = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
-    heavy_keys = F.broadcast(heavy)
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    heavy = counted.where(F.col("__n") > limit).select(*keys)
+    found = [tuple(row) for row in heavy.collect()]
+    if not found:
+        return rows.join(per_key, keys)
+    heavy_keys = F.broadcast(local_table(rows.sparkSession, found, heavy.schema))
     in_place = rows.join(F.broadcast(per_key.join(heavy_keys, keys, "left_semi")), keys)
-    shuffled = rows.join(heavy_keys, keys, "left_anti").join(per_key, keys)
-    return in_place.unionByName(shuffled)
+    others = rows.join(heavy_keys, keys, "left_anti").join(per_key, keys)
+    return in_place.unionByName(others)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -50,7 +55,7 @@ def find_one(df: DataFrame, order_by: list[Column] | None = None, **equals) -> D
 def checkpoint(checkpoints: DataFrame, thread_id, checkpoint_ns="", checkpoint_id=None) -> DataFrame:
     """The named checkpoint of a thread, or its newest one."""
     keys = {"thread_id": thread_id, "checkpoint_ns": checkpoint_ns}
-    if checkpoint_id:
+    if checkpoint_id not in (None, ""):
         keys["checkpoint_id"] = checkpoint_id
     return find_one(checkpoints, [F.desc("checkpoint_id")], **keys)
 
@@ -71,9 +76,14 @@ def checkpoints_for(checkpoints: DataFrame, configs: DataFrame) -> DataFrame:
     return named.unionByName(newest_checkpoints(checkpoints).join(open_ended, THREAD, "left_semi"))
 
 
+def _json_text(value: object) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def metadata_equals(metadata: Column, wanted: dict[str, object]) -> Column:
-    """Every named field of a JSON text equals the given value."""
-    return _all([F.get_json_object(metadata, f"$.{key}") == F.lit(str(value)) for key, value in wanted.items()])
+    """Every named field of a JSON text equals the given value; a dotted name reaches into nested objects."""
+    found = {key: F.get_json_object(metadata, f"$.{key}") for key in wanted}
+    return _all([found[k].isNull() if v is None else found[k] == F.lit(_json_text(v)) for k, v in wanted.items()])
 
 
 def list_checkpoints(

@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tallyloom.functions.chunks import nested_chunks, separator_chunks
 from tallyloom.functions.text import join_blocks, override
 from tallyloom.functions.vectors import METRICS, vector
+from tallyloom.local import local_table
 from tallyloom.operators.ranking import top_n, top_n_per_key
 
 SHOTS = 4
@@ -46,20 +47,21 @@ def nearest_per_type(
     return top_n_per_key(scored, [doc_type], [F.asc("distance"), F.asc(id_column)], k, rank="rank")
 
 
-def ranked(hits: DataFrame, id_column: str = "id") -> DataFrame:
-    """k hits with their 1-based rank; k rows bound the single-task window."""
-    return hits.withColumn("rank", F.row_number().over(W.orderBy(F.asc("distance"), F.asc(id_column))))
+def ranked(hits: DataFrame) -> DataFrame:
+    """A search result with its 1-based rank, fetched once: k rows, kept as a local table so the search is not run again."""
+    rows = [(*row, i) for i, row in enumerate(hits.collect(), start=1)]
+    return local_table(hits.sparkSession, rows, T.StructType([*hits.schema.fields, T.StructField("rank", T.IntegerType())]))
 
 
 def look_up(hits: DataFrame, documents: DataFrame, on: str) -> DataFrame:
-    """Rows of `documents` for at most a few hits, hits without one kept; the hits are what is broadcast."""
-    found = documents.join(F.broadcast(hits.select(on)), on, "left_semi")
-    return hits.join(found, on, "left")
+    """Rows of `documents` for ranked hits, hits without one kept. The k ids go to the scan as a filter."""
+    ids = [row[on] for row in hits.select(on).collect()]
+    return hits.join(documents.where(F.col(on).isin(ids)), on, "left")
 
 
 def few_shots(vectors: DataFrame, query: list[float], examples: DataFrame, n: int = SHOTS, id_column: str = "id") -> DataFrame:
     """Examples behind the n nearest vectors, in rank order."""
-    hits = ranked(nearest(vectors, query, n, id_column=id_column), id_column).select(id_column, "rank", "distance")
+    hits = ranked(nearest(vectors, query, n, id_column=id_column).select(id_column, "distance"))
     return look_up(hits, examples, id_column).orderBy("rank")
 
 

@@ -39,6 +39,14 @@ def test_listing(checkpoints):
     assert len(ids(listed(checkpoints))) == 12
 
 
+def test_metadata_values(spark):
+    texts = ['{"a": true, "b": {"c": "x"}, "n": 1.5}', '{"a": false, "b": {"c": "y"}}', '{"b": null}']
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, m string")
+    cases = [({"a": True}, [0]), ({"a": False}, [1]), ({"b.c": "y"}, [1]), ({"n": 1.5}, [0]), ({"n": None}, [1, 2]), ({"a": True, "b.c": "y"}, [])]
+    for wanted, expected in cases:
+        assert [r.i for r in df.where(keyed_log.metadata_equals(F.col("m"), wanted)).collect()] == expected
+
+
 def test_parents(checkpoints):
     rows = {(r.thread_id, r.checkpoint_ns, r.checkpoint_id): r.parent for r in checkpoints.withColumn("parent", keyed_log.parent_config()).collect()}
     assert rows["t", "", "003"].checkpoint_id == "002"
