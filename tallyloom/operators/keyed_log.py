@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.urls import with_slash
 from tallyloom.local import local_table
 from tallyloom.operators.ranking import latest_per_key, top_n, top_n_per_key
+from tallyloom.scratch import materialize
 
 THREAD = ["thread_id", "checkpoint_ns"]
 CHECKPOINT = [*THREAD, "checkpoint_id"]
@@ -162,11 +163,12 @@ def pack_writes(rows: DataFrame, limit_per_checkpoint: int) -> DataFrame:
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
     """`base` with changed rows replaced and new ones added; `order_by` puts the winning change of a key first.
 
-    Changes are reduced to one row per key before they meet the base table, and
-    the base is only anti-joined on keys, which needs no shuffle of it while
-    the changed keys are small enough for the optimizer to broadcast.
+    Changes are reduced to one row per key and written down before they meet the
+    base table: they are read twice, and only a written table has a size the
+    optimizer can trust. While it is small, its keys are broadcast and the base
+    is not shuffled.
     """
-    winners = latest_per_key(changes, keys, order_by).select(*base.columns)
+    winners = materialize(latest_per_key(changes, keys, order_by).select(*base.columns), "changes")
     kept = base.join(winners.select(*keys), keys, "left_anti")
     return kept.select(*base.columns).unionByName(winners)
 
@@ -174,9 +176,13 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_by: list[
 def set_fields(
     base: DataFrame, changes: DataFrame, keys: list[str], fields: list[str], order_by: list[Column], insert: bool = False
 ) -> DataFrame:
-    """Overwrite only `fields` of matching rows; with `insert`, unmatched changes become new rows."""
+    """Overwrite only `fields` of matching rows; with `insert`, unmatched changes become new rows.
+
+    Without `insert` the base is not shuffled while the written changes are
+    small enough to broadcast.
+    """
     winners = latest_per_key(changes, keys, order_by)
-    marked = winners.select(*keys, F.struct(*fields).alias("__set"))
+    marked = materialize(winners.select(*keys, F.struct(*fields).alias("__set")), "changes")
     merged = base.join(marked, keys, "full" if insert else "left")
     columns = [
         F.when(F.col("__set").isNotNull(), F.col(f"__set.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)

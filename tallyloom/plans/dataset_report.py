@@ -18,21 +18,23 @@ SUMMARY_ROWS = {"count": "count", "mean": "mean", "std": "std", "min": "min", "2
 def overview(df: DataFrame) -> str:
     """Shape, columns, types, missing, distinct and numeric summary. The driver holds one row per column."""
     n_rows, n_columns = shape(df).first()
-    missing = {r.column_name: r.n_missing for r in missing_counts(df).collect()}
-    unique = {r.column_name: r.n_unique for r in distinct_counts(df).collect()}
-    types = {f.name: pandas_type(f.dataType, missing[f.name] > 0) for f in df.schema.fields}
     numeric = numeric_columns(df)
-    summary = pd.DataFrame(
-        {r.column_name: [r[c] for c in SUMMARY_ROWS.values()] for r in describe(df, numeric).collect()} if numeric else {},
-        index=list(SUMMARY_ROWS),
-    )
+    others = [c for c in df.columns if c not in numeric]
+    figures = {r.column_name: r for r in describe(df, numeric).collect()} if numeric else {}
+    missing = {c: r.n_missing for c, r in figures.items()}
+    unique = {c: r.n_unique for c, r in figures.items()}
+    if others:
+        missing |= {r.column_name: r.n_missing for r in missing_counts(df, others).collect()}
+        unique |= {r.column_name: r.n_unique for r in distinct_counts(df, others).collect()}
+    types = {f.name: pandas_type(f.dataType, missing[f.name] > 0) for f in df.schema.fields}
+    summary = pd.DataFrame({c: [figures[c][f] for f in SUMMARY_ROWS.values()] for c in numeric}, index=list(SUMMARY_ROWS))
     sections = {
         "Shape: ": (n_rows, n_columns),
         "Columns: ": df.columns,
         "Data Types:\n": pd.Series(types, dtype=object),
         "Missing Values:\n": pd.Series({c: missing[c] for c in df.columns}),
         "Unique Values:\n": pd.Series({c: unique[c] for c in df.columns}),
-        "Numerical Columns Summary:\n": summary[numeric].to_string(),
+        "Numerical Columns Summary:\n": summary.to_string(),
     }
     return "\n".join(f"{title}{body}" for title, body in sections.items())
 

@@ -98,6 +98,15 @@ def test_upsert_is_idempotent(spark):
     assert sorted(once.collect()) == sorted(twice.collect()) == [(1, "a"), (2, "d"), (3, "e")]
 
 
+def test_small_changes_do_not_shuffle_the_base(spark, tmp_path):
+    spark.range(50000).select(F.col("id").alias("k"), F.lit("a").alias("p")).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    changes = spark.range(10).select(F.col("id").alias("k"), F.lit("b").alias("p"), F.lit(1).alias("v"))
+    for merged in (keyed_log.upsert(base, changes, ["k"], [F.desc("v")]), keyed_log.set_fields(base, changes, ["k"], ["p"], [F.desc("v")])):
+        assert "Exchange hashpartitioning" not in merged._jdf.queryExecution().executedPlan().toString()
+        assert merged.where("p = 'b'").count() == 10 and merged.count() == 50000
+
+
 def insert_one_by_one(items, n=5):
     """Add, sort stably by importance, cut."""
     kept = []
