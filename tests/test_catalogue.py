@@ -4,10 +4,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_point
+from tallyloom import catalogue
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = catalogue.QUERIES
+SQL = catalogue.SQL
 
 
 @pytest.fixture(scope="module")
