@@ -33,3 +33,18 @@ def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tallyloom.llm.near_duplicates import near_duplicates
 
     return near_duplicates(_table(spark, folder, "documents")).select("doc_id", "class_id", "group_id", "kept")
+
+
+@_query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.lines import drop_repeated_lines
+
+    cleaned = drop_repeated_lines(_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", F.col("lines_dropped_").alias("lines_dropped"))
+
+
+@_query
+def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.mixture import mix
+
+    return mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "uses")
