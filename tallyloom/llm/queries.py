@@ -48,3 +48,22 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     from tallyloom.llm.mixture import mix
 
     return mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "uses")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query
+def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.bpe import encode
+
+    found = encode(_table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path())
+    return found.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
