@@ -213,6 +213,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", piece: int = PIECE, d
     return short.union(long).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(others)), "ids", "decoded")
 
 
+def encode_in_place(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """`rows` with `ids` in place of the text, in the same partitions and order; texts of any length are encoded where they stand."""
+    others = [c for c in rows.columns if c not in (text, "ids")]
+    plain = rows.select(*others, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, False)
+        for batch in batches:
+            for part in slices(batch, text):
+                found = coder.chunked([t.encode() for t in part.column(text).to_pylist()], False)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array([f[0] for f in found], pa.binary())], names=[*others, "ids"])
+
+    return plain.mapInArrow(whole, rows.select(*others, F.lit(b"").cast("binary").alias("ids")).schema)
+
+
 def tokens(ids) -> np.ndarray:
     """The numbers in one value of `ids`."""
     return np.frombuffer(ids, "<u4")

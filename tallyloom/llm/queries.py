@@ -67,3 +67,15 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op9_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm import records
+    from tallyloom.llm.bpe import encode_in_place
+
+    place = records.new_folder(spark)
+    encoded = encode_in_place(records.in_order(_table(spark, folder, "documents")), tokenizer_path())
+    files = records.write_sequences(encoded, place, end_id=1)
+    found = records.read_sequences(files, place)
+    return found.select(F.col("id").alias("doc_id"), "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
