@@ -79,3 +79,22 @@ def op9_token_records(spark: SparkSession, folder: str) -> DataFrame:
     files = records.write_sequences(encoded, place, end_id=1)
     found = records.read_sequences(files, place)
     return found.select(F.col("id").alias("doc_id"), "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm import personal_data as pd
+
+    found = pd.personal_data(_table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(pd.BASE))
+    of_rank = lambda rank: F.filter("spans", lambda s: s["rank"] == rank)
+    counts = [F.size(of_rank(rank)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(pd.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pd.listed(base).cast("binary"), 256).alias("base_sha256"), pd.listed(F.col("spans")).alias("spans"), F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"))
+
+
+@_query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.licenses import scan
+
+    found = scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
