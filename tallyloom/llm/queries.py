@@ -98,3 +98,10 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
     found = scan(_table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@_query
+def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.embeddings import near_vectors
+
+    return near_vectors(_table(spark, folder, "embeddings"))
