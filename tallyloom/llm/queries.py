@@ -105,3 +105,10 @@ def op7_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from tallyloom.llm.embeddings import near_vectors
 
     return near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.html_extraction import extract
+
+    return extract(_table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
