@@ -28,8 +28,9 @@ from tallyloom.llm.words import Texts, mix, slices, windows
 from tallyloom.scratch import materialize
 
 RUN_WORDS = 5
-#: Sketches of a document, and labelled runs in each. At a similarity of 0.8 one sketch agrees with probability 0.8^4, and one of 14 with 0.999.
-SKETCHES, RUNS = 14, 4
+#: Sketches of a document, labelled runs in each, and how many sketches candidates agree on. At a similarity of 0.8 a sketch agrees with
+#: probability 0.8^4, and two of 20 with 0.9996; documents that share no more than a passage rarely agree on two.
+SKETCHES, RUNS, AGREE = 20, 4, 2
 LEAST = 0.8
 
 
@@ -135,8 +136,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rows = materialize(_sketched(docs, id_column, text), "sketches")
     classes = rows.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     classes = materialize(classes, "classes")
-    buckets = classes.select("node", "n", F.col("copies").alias("weight"), F.posexplode("sketches").alias("i", "sketch"))
-    buckets = buckets.select(F.xxhash64("i", "sketch").alias("bucket"), "node", "n", "weight")
+    buckets = classes.select("node", "n", F.col("copies").alias("weight"), "sketches", F.posexplode("sketches").alias("i", "sketch"))
+    buckets = buckets.select(F.xxhash64("i", "sketch").alias("bucket"), "node", "n", "weight", "sketches")
     busy = buckets.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
     members = materialize(buckets.join(busy, "bucket"), "members")
 
@@ -148,7 +149,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     def may_link(x: str, y: str) -> Column:
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return F.least(n, m) >= F.floor(least * F.greatest(n, m))
+        agree = [(F.get(F.col(f"{x}.sketches"), F.lit(i)) == F.get(F.col(f"{y}.sketches"), F.lit(i))).cast("int") for i in range(SKETCHES)]
+        return (F.least(n, m) >= F.floor(least * F.greatest(n, m))) & (sum(agree[1:], agree[0]) >= AGREE)
 
     groups = linked_groups(members, _verifier(texts, least), may_link).select(F.col("node").alias("class_node"), "root")
     of_class = classes.select("h1", "h2", F.col("node").alias("class_id"), "n")
