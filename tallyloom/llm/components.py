@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.scratch import materialize
 
+Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (columns a, b of one orderable type); root is the smallest node that can be reached.
@@ -46,35 +48,39 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(found.join(roots, F.col("next") == F.col("at")).select("node", "root"), "components")
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link=None) -> DataFrame:
+def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], to_heaviest: Condition | None = None, to_each_other: Condition | None = None) -> DataFrame:
     """(node, root) of the nodes that verified links join, where only nodes in one bucket can be linked.
 
-    `members` has columns bucket, node, weight and any others that `may_link`
-    reads; it is read several times, so give a stored table. `verify` takes
+    `members` has columns bucket, node, weight and any others that the conditions
+    read; it is read several times, so give a stored table. `verify` takes
     distinct pairs (a, b) and returns those that are linked.
 
     A bucket is not expanded into pairs. Its heaviest node is compared with all
     others first, which joins a group of copies in as many comparisons as it has
     members. Only nodes of one bucket that are then still in different groups are
-    compared with each other, so no link between groups is lost. `may_link(x, y)`
-    is a cheap necessary condition of a link, over the columns of both members.
+    compared with each other, so no link between groups is lost. The conditions say
+    which pairs of either kind are candidates at all; each takes two functions from
+    a column's name to the column of one member.
     """
-    first = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    columns = [c for c in members.columns if c not in ("bucket", "node", "weight")]
+    first = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node", *columns)).alias("pivot"))
     first = materialize(first.where("n > 1").select("bucket", "pivot"), "pivots")
     shared = materialize(members.join(first, "bucket"), "shared")
-    stars = shared.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    star_links = materialize(verify(stars).select("a", "b"), "stars")
-    groups = components(star_links)
+    stars = shared.where("node != pivot.node")
+    if to_heaviest:
+        stars = stars.where(to_heaviest(F.col, lambda c: F.col(f"pivot.{c}")))
+    stars = stars.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+    groups = components(materialize(verify(stars).select("a", "b"), "stars"))
 
-    placed = shared.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
+    placed = shared.withColumn("pivot", F.col("pivot.node")).join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
     placed = materialize(placed.withColumn("root", F.coalesce("root", "node")).drop("g_node"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     mixed = mixed.where("low != high and n > 2").select("bucket")
     left = placed.join(mixed, "bucket").where("node != pivot")
     x, y = left.alias("x"), left.alias("y")
     condition = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    if may_link:
-        condition &= may_link("x", "y")
+    if to_each_other:
+        condition &= to_each_other(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     pairs = x.join(y, condition).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = materialize(verify(pairs).select("a", "b"), "more")
     if more.isEmpty():

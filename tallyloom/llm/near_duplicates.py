@@ -147,12 +147,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts = whole.join(needed, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("node") == F.col("rep")), "left_semi")
     texts = materialize(texts.dropDuplicates(["h1", "h2"]).select("node", "text"), "texts")
 
-    def may_link(x: str, y: str) -> Column:
-        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        agree = [(F.get(F.col(f"{x}.sketches"), F.lit(i)) == F.get(F.col(f"{y}.sketches"), F.lit(i))).cast("int") for i in range(SKETCHES)]
-        return (F.least(n, m) >= F.floor(least * F.greatest(n, m))) & (sum(agree[1:], agree[0]) >= AGREE)
+    def sizes(x, y) -> Column:
+        return F.least(x("n"), y("n")) >= F.floor(least * F.greatest(x("n"), y("n")))
 
-    groups = linked_groups(members, _verifier(texts, least), may_link).select(F.col("node").alias("class_node"), "root")
+    def agree(x, y) -> Column:
+        same = [(F.get(x("sketches"), F.lit(i)) == F.get(y("sketches"), F.lit(i))).cast("int") for i in range(SKETCHES)]
+        return sizes(x, y) & (sum(same[1:], same[0]) >= AGREE)
+
+    groups = linked_groups(members, _verifier(texts, least), sizes, agree).select(F.col("node").alias("class_node"), "root")
     of_class = classes.select("h1", "h2", F.col("node").alias("class_id"), "n")
     of_class = of_class.join(groups, F.col("class_id") == F.col("class_node"), "left").select("h1", "h2", "class_id", "n", F.coalesce("root", "class_id").alias("group_id"))
     # Documents without a word share a class of texts and are still linked to none.

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from tallyloom.llm.kept import kept
 
 #: Bytes of text that are worked on at once; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
