@@ -32,21 +32,39 @@ from tallyloom.llm.words import slices
 PIECE = 16_384
 #: Code points on each side of a join that are encoded anew first; doubled until both sides agree on AGREE tokens.
 WINDOW, AGREE = 32, 4
-#: Chunks whose encoding a worker keeps, and the bytes of the longest chunk that is kept.
-KEPT, KEPT_BYTES = 300_000, 64
+#: Chunks, and cores of chunks, whose encodings a worker keeps, the first it meets; later ones are encoded again each time.
+KEPT = 500_000
+#: Cores that go to the library in one call.
+CALL = 2048
+
+
+class _Table(dict):
+    """A bounded dictionary with a place for what doesn't fit, which lasts for one call."""
+
+    def __init__(self, most: int):
+        self.passing, self.most = {}, most
+
+    def __missing__(self, key):
+        return self.passing[key]
+
+    def add(self, key, value):
+        (self if len(self) < self.most else self.passing)[key] = value
 
 
 class Encoder:
     """A tokenizer of one worker, with the chunks it has encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, decoded: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names = {}
-        self.chunks: dict[bytes, tuple] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.ends = np.array([name.endswith("</w>") for name in self.names])
+        most = KEPT // 2 if decoded else KEPT
+        self.cores, self.ids_of, self.text_of = _Table(most), _Table(most), _Table(most)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,29 +77,59 @@ class Encoder:
     def decode(self, ids) -> str:
         return self.tokenizer.decode([int(i) for i in ids], skip_special_tokens=False)
 
+    def _learn_cores(self, new: list[str]) -> None:
+        """Words of letters only are one unit each for the encoder: they go to it in one text and come apart again where units end."""
+        words = [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        for at in range(0, len(words), CALL):
+            part = words[at : at + CALL]
+            ids = np.array(self.ids([" ".join(part)])[0], np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                others += part
+                continue
+            packed, last = ids.astype("<u4").tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
+                self.cores.add(word, packed[4 * last : 4 * end])
+                last = end
+        for at in range(0, len(others), CALL):
+            part = others[at : at + CALL]
+            for word, ids in zip(part, self.ids(part)):
+                self.cores.add(word, np.array(ids, "<u4").tobytes())
+
+    def _learn(self, new: set[bytes], decoded: bool) -> None:
+        """A chunk is a core and the dots or commas after its last letter, where the encoder parts them too. Plain A-Z may be small at once, but in special tokens."""
+        split = {}
+        for chunk in new:
+            core = (chunk.lower() if chunk.isascii() and b"<" not in chunk else chunk).decode()
+            tail = ""
+            if core[-1] in ".,":
+                short = core.rstrip(".,")
+                # A letter that is one in lower case as well, and not a letter with a mark.
+                if short and short[-1].lower()[-1].isalpha():
+                    core, tail = short, core[len(short) :]
+            split[chunk] = (core, tail)
+        cores = self.cores
+        self._learn_cores(list({part for parts in split.values() for part in parts if part and part not in cores}))
+        for chunk, (core, tail) in split.items():
+            ids = cores[core] + cores[tail] if tail else cores[core]
+            self.ids_of.add(chunk, ids)
+            if decoded:
+                self.text_of.add(chunk, " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()]))
+        cores.passing.clear()
+
     def chunked(self, texts: list[bytes], decoded: bool) -> list[tuple[bytes, str | None]]:
         """For each text its ids as little-endian 32-bit numbers, and the decoded text."""
         split = [text.split() for text in texts]
-        own = self.chunks
-        new = list({c for chunks in split for c in chunks if c not in own})
-        if len(own) + len(new) > KEPT:
-            own.clear()
-            new = list({c for chunks in split for c in chunks})
-        long = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, ids in zip(part, self.ids([c.decode() for c in part])):
-                entry = (np.array(ids, "<u4").tobytes(), self.decode(ids) if decoded else None)
-                (own if len(chunk) <= KEPT_BYTES else long)[chunk] = entry
-        out = []
-        for chunks in split:
-            entries = [own[c] if c in own else long[c] for c in chunks]
-            out.append((b"".join([e[0] for e in entries]), " ".join([e[1] for e in entries if e[0]]) if decoded else None))
+        self._learn(set().union(*split).difference(self.ids_of), decoded)
+        ids, text = self.ids_of.__getitem__, self.text_of.__getitem__
+        out = [(b"".join(map(ids, chunks)), " ".join(filter(None, map(text, chunks))) if decoded else None) for chunks in split]
+        self.ids_of.passing.clear(), self.text_of.passing.clear()
         return out
 
 
 def encoder(path: str, decoded: bool = True) -> Encoder:
-    return kept(("encoder", path, decoded), lambda: Encoder(path))
+    return kept(("encoder", path, decoded), lambda: Encoder(path, decoded))
 
 
 def join(coder: Encoder, text: str, left: np.ndarray, cut: int, right: np.ndarray) -> np.ndarray:
