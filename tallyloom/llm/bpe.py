@@ -18,6 +18,7 @@ have the names of the results, which replace them.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from tallyloom.llm.kept import kept
 from tallyloom.llm.words import slices
 
 #: Code points of a piece; longer texts are halved.
-PIECE = 16_384
+PIECE = 32_768
 #: Code points on each side of a join that are encoded anew first; doubled until both sides agree on AGREE tokens.
 WINDOW, AGREE = 32, 4
 #: Chunks, and cores of chunks, whose encodings a worker keeps, the first it meets; later ones are encoded again each time.
@@ -195,8 +196,17 @@ def halves(text: str, most: int) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:])]
 
 
+def packed(placed: np.ndarray) -> bytes:
+    """Placed tokens in little space: each column as steps from one row to the next, compressed."""
+    return zlib.compress(np.diff(placed.T, axis=1, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4").reshape(3, -1), axis=1, dtype=np.int64).T
+
+
 def _pieces_of(long: DataFrame, path: str, piece: int) -> DataFrame:
-    """(row, part, text, ids, first, last): the encoded leaves of each long text, dealt out over all cores."""
+    """(row, part, text, tokens): the encoded leaves of each long text, dealt out over all cores."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,12 +223,11 @@ def _pieces_of(long: DataFrame, path: str, piece: int) -> DataFrame:
         coder = encoder(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [coder.placed(text) for text in part.column("text").to_pylist()]
-                columns = [pa.array([f[:, i].astype(np.int32) for f in found], pa.list_(pa.int32())) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=["row", "part", "text", "ids", "first", "last"])
+                found = [packed(coder.placed(text)) for text in part.column("text").to_pylist()]
+                yield part.append_column("tokens", pa.array(found, pa.binary()))
 
     leaves = long.mapInArrow(cut, "row long, part int, text string").repartition(F.col("row"), F.col("part"))
-    return leaves.mapInArrow(encode, "row long, part int, text string, ids array<int>, first array<int>, last array<int>")
+    return leaves.mapInArrow(encode, "row long, part int, text string, tokens binary")
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", piece: int = PIECE, decode: bool = True) -> DataFrame:
@@ -241,10 +250,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", piece: int = PIECE, d
     def rejoin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, decode)
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at].as_py() for c in (*carried, "leaves")}
                 leaves = sorted(row["leaves"], key=lambda leaf: leaf["part"])
-                tokens = [np.column_stack([np.array(leaf[c], np.int64) for c in ("ids", "first", "last")]) for leaf in leaves]
-                ids = concatenated(coder, [leaf["text"] for leaf in leaves], tokens)[:, 0]
+                ids = concatenated(coder, [leaf["text"] for leaf in leaves], [unpacked(leaf["tokens"]) for leaf in leaves])[:, 0]
                 columns = [pa.array([row[c]], batch.schema.field(c).type) for c in carried]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array([ids.astype("<u4").tobytes()], pa.binary()), pa.array([coder.decode(ids) if decode else None], pa.string())],
@@ -254,7 +263,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", piece: int = PIECE, d
     size = F.length("text")
     short = plain.where(size <= piece).mapInArrow(whole, results)
     numbered = plain.where(size > piece).withColumn("row", F.monotonically_increasing_id())
-    leaf = F.struct("part", "text", "ids", "first", "last")
+    leaf = F.struct("part", "text", "tokens")
     trees = _pieces_of(numbered.select("row", "text"), path, piece).groupBy(F.col("row").alias("of")).agg(F.collect_list(leaf).alias("leaves"))
     # A tree holds one text, which is one row of the input as well.
     long = numbered.drop("text").join(trees, F.col("row") == F.col("of")).select(*carried, "leaves").mapInArrow(rejoin, results)
