@@ -53,12 +53,16 @@ def leaderboard_scan(t: Tables):
     return found.where(F.col("score").isNotNull()).groupBy("score").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'lang' AS field, lang AS text, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2")
+@query(
+    "SELECT doc_id, 'text' AS field, text AS value FROM documents "
+    "UNION ALL SELECT doc_id, 'lang', CASE WHEN doc_id % 4 <> 0 THEN lang END FROM documents"
+)
 def field_files_sink(t: Tables):
+    """Texts of many lines and fields that may be missing, back under their keys."""
     path = new_path(t.spark, "fields")
-    d.write_fields(t.documents, ["lang", "source"], path)
-    back = t.spark.read.text(path)
-    return back.groupBy("field", F.col("value").alias("text")).agg(F.count("*").alias("n"))
+    rows = t.documents.select("doc_id", "text", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"))
+    d.write_fields(rows, ["text", "lang"], path, keys=["doc_id"])
+    return t.spark.read.schema("doc_id long, value string, field string").json(path).select("doc_id", "field", "value")
 
 
 @query("SELECT event_id, user_id, event_type FROM events UNION ALL SELECT -1 - event_id, user_id, 'late' FROM events WHERE event_type = 'error'")
@@ -85,7 +89,7 @@ def summarize_fields(t: Tables):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN doc_id % 5 - 1 = len(string_split(text, chr(10))) - 1 THEN '__end__' ELSE 'enhancer' END AS plan_route, "
+    "SELECT doc_id, CASE WHEN doc_id % 5 - 1 >= len(string_split(text, chr(10))) - 1 THEN '__end__' ELSE 'enhancer' END AS plan_route, "
     "CASE WHEN doc_id % 3 = 0 AND doc_id % 8 > 4 THEN 'fail' WHEN doc_id % 3 = 0 THEN 'reflect_on_error' ELSE '__end__' END AS attempt_route, "
     "CASE WHEN doc_id % 3 <> 0 THEN 'generate' WHEN doc_id % 8 <= 3 THEN 'debug' ELSE 'new_solution' END AS prompt, "
     "CASE WHEN doc_id % 4 = 0 THEN 1 ELSE len(string_split(text, chr(10))) END::INTEGER AS plan_size FROM documents"

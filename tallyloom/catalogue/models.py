@@ -10,6 +10,7 @@ from tallyloom.local import local_table
 from tallyloom.operators import evaluation as e
 from tallyloom.operators import features as f
 from tallyloom.plans import tabular_model as m
+from tallyloom.scratch import materialize
 
 _GAPS = "(SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS c_acctbal) FROM customer)"
 
@@ -131,13 +132,13 @@ def vectors(t: Tables):
 @query()
 def forest_predict(t: Tables):
     train, valid = vectors(t)
-    return m.predict(m.forest("label", trees=20).fit(train), valid, "vec_id", "label", "int")
+    return m.predict(m.forest("label").fit(train), valid, "vec_id", "label", "int")
 
 
 @query()
 def forest_report(t: Tables):
     train, valid = vectors(t)
-    scored = m.forest("label", trees=20).fit(train).transform(valid)
+    scored = m.forest("label").fit(train).transform(valid)
     return e.class_report(scored, "label", "prediction")
 
 
@@ -151,20 +152,17 @@ def order_rows(t: Tables):
     )
 
 
-@query()
-def boosted_search(t: Tables):
-    """The whole job on all orders, with a small grid: impute, scale, one-hot, split, search, predict."""
-    marked = f.mark_test_rows(order_rows(t), "o_orderkey")
-    ready = m.Preprocessor(["price"], ["priority"]).fit(order_rows(t)).transform(marked)
-    found = m.grid_search(ready.where(~F.col("is_test")), "label", {"maxIter": [2], "maxDepth": [2, 3]}, folds=2)
-    return m.predict(found.bestModel, ready.where("is_test"), "o_orderkey", "fulfilled")
+def ready_orders(t: Tables):
+    """Training and test orders, prepared with what the training side shows, each written once."""
+    marked = materialize(f.mark_test_rows(order_rows(t), "o_orderkey"), "orders")
+    train, valid = marked.where(~F.col("is_test")), marked.where("is_test")
+    prepare = m.Preprocessor(["price"], ["priority"]).fit(train)
+    return materialize(prepare.transform(train), "train"), materialize(prepare.transform(valid), "valid")
 
 
 @query()
 def compare_models(t: Tables):
-    """Validation accuracy of two estimators on all orders."""
-    marked = f.mark_test_rows(order_rows(t), "o_orderkey")
-    ready = m.Preprocessor(["price"], ["priority"]).fit(order_rows(t)).transform(marked)
-    boosted = m.boosted("label").setMaxIter(2)
-    found = m.compare(ready.where(~F.col("is_test")), ready.where("is_test"), "label", {"forest": m.forest("label", 10), "boosted": boosted})
+    """Validation accuracy of two estimators on all orders, each at its own defaults."""
+    train, valid = ready_orders(t)
+    found = m.compare(train, valid, "label", {"forest": m.forest("label"), "boosted": m.boosted("label")})
     return local_table(t.spark, found, "model string, accuracy double")

@@ -83,12 +83,12 @@ def store(t: Tables):
     return t.documents.select(F.col("doc_id").alias("id"), "text", metadata.alias("metadata"))
 
 
-@query("SELECT doc_id::VARCHAR AS id, lang AS doc_type, source FROM documents ORDER BY doc_id LIMIT 1000")
+@query("SELECT doc_id::VARCHAR AS id, lang AS doc_type, source FROM documents")
 def list_documents(t: Tables):
     return r.list_documents(store(t)).select("id", "doc_type", F.col("metadata")["source"].alias("source"))
 
 
-@query("SELECT doc_id::VARCHAR AS id, lang AS doc_type, source FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 1000")
+@query("SELECT doc_id::VARCHAR AS id, lang AS doc_type, source FROM documents WHERE lang = 'de'")
 def list_documents_of_type(t: Tables):
     return r.list_documents(store(t), "de").select("id", "doc_type", F.col("metadata")["source"].alias("source"))
 

@@ -24,8 +24,8 @@ def last(items: Column, n: int | Column) -> Column:
 
 
 def newest_first(items: Column, n: int) -> Column:
-    """Slice [:-n:-1]: n-1 items from the end, newest first; n = -1 means n = size, which leaves out the oldest."""
-    count = F.size(items) - 1 if n == -1 else F.lit(n - 1)
+    """Slice [:-n:-1]: n-1 items from the end, newest first; n = -1 means n = size, which leaves out the oldest, as n = 0 does."""
+    count = F.size(items) - 1 if n in (-1, 0) else F.lit(n - 1)
     return F.reverse(last(items, count))
 
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyloom.local import local_table
 
 
 def accuracy(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    return df.agg(F.avg((F.col(truth) == F.col(prediction)).cast("double")).alias("accuracy"))
+    return df.agg(F.avg(F.col(truth).eqNullSafe(F.col(prediction)).cast("double")).alias("accuracy"))
 
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, classes: list) -> DataFrame:
-    """One row per true class, one column predicted_<class> per class, zero where nothing fell."""
-    counted = df.groupBy(truth).pivot(prediction, classes).agg(F.count(F.lit(1)))
-    return counted.select(
+    """One row and one column predicted_<class> per class, zero where nothing fell. Values that are no class raise."""
+
+    def known(c: str) -> Column:
+        other = F.raise_error(F.concat(F.lit(f"{c} is no class: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+        return F.when(F.coalesce(F.col(c).isin(classes), F.lit(False)), F.col(c)).otherwise(other.cast(df.schema[c].dataType)).alias(c)
+
+    counted = df.select(known(truth), known(prediction)).groupBy(truth).pivot(prediction, classes).agg(F.count(F.lit(1)))
+    listed = local_table(df.sparkSession, [(c,) for c in classes], T.StructType([T.StructField(truth, df.schema[truth].dataType)]))
+    return listed.join(counted, truth, "left").select(
         truth, *[F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("long")).alias(f"predicted_{c}") for c in classes]
     )
 

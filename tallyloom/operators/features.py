@@ -80,8 +80,11 @@ def mark_test_rows(df: DataFrame, key: str, test_share: float = 0.2, seed: int =
 
     The rows with the lowest key hashes are the test set. Hashes are uniform,
     so the cut lies in a known narrow band; only rows of that band are put in
-    order, the rest is counted. Should the cut fall outside, all are ordered.
+    order, the rest is counted. Should the cut fall outside, all are ordered. A null
+    key raises.
     """
+    refused = F.raise_error(F.lit(f"{key} is null")).cast(df.schema[key].dataType)
+    df = df.withColumn(key, F.coalesce(F.col(key), refused))
     hashed = df.withColumn("__hash", split_hash(F.col(key), seed))
     n = df.count()
     k = ceil(test_share * n)

@@ -22,9 +22,9 @@ def last_entries(log: DataFrame, n: int) -> DataFrame:
 
 
 def executed_codes(log: DataFrame, n: int = -1) -> DataFrame:
-    """Code cells newest first: the last n-1 of a run, or all but the oldest for n = -1."""
+    """Code cells newest first: the last n-1 of a run, or all but the oldest for n = -1 or 0."""
     cell = F.concat(F.lit(t.CODE_CELL), F.col("code")).alias("cell")
-    if n == -1:
+    if n in (-1, 0):
         return log.where(F.col("seq") > 0).select("run_id", "seq", cell)
     return last_entries(log, n - 1).select("run_id", "seq", cell)
 

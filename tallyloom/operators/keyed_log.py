@@ -6,6 +6,7 @@ Checkpoints are keyed by (thread_id, checkpoint_ns, checkpoint_id); writes add
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,14 +78,25 @@ def checkpoints_for(checkpoints: DataFrame, configs: DataFrame) -> DataFrame:
     return named.unionByName(newest_checkpoints(checkpoints).join(open_ended, THREAD, "left_semi"))
 
 
-def _json_text(value: object) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+def _json_equals(parsed: Column, path: str, value: object) -> Column:
+    """Whether the value at a path of a parsed JSON text is this one, its type included; 1 and 1.0 are one number."""
+    found = F.try_variant_get(parsed, path, "variant")
+    kind = F.schema_of_variant(found)
+    if value is None:
+        return found.isNull() | F.is_variant_null(found)
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(parsed, path, "boolean") == value)
+    if isinstance(value, (int, float)):
+        return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(parsed, path, "double") == float(value))
+    if isinstance(value, str):
+        return (kind == "STRING") & (F.try_variant_get(parsed, path, "string") == value)
+    return F.to_json(found) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
 def metadata_equals(metadata: Column, wanted: dict[str, object]) -> Column:
     """Every named field of a JSON text equals the given value; a dotted name reaches into nested objects."""
-    found = {key: F.get_json_object(metadata, f"$.{key}") for key in wanted}
-    return _all([found[k].isNull() if v is None else found[k] == F.lit(_json_text(v)) for k, v in wanted.items()])
+    parsed = F.try_parse_json(metadata)
+    return _all([F.coalesce(_json_equals(parsed, f"$.{key}", value), F.lit(False)) for key, value in wanted.items()])
 
 
 def list_checkpoints(
@@ -147,17 +159,20 @@ def pack_writes(rows: DataFrame, limit_per_checkpoint: int) -> DataFrame:
     """Writes of each checkpoint as one array ordered by task and idx.
 
     For checkpoints known to hold at most `limit_per_checkpoint` writes; a
-    larger one raises instead of being gathered into a single row.
+    larger one raises: no more than one write beyond the bound is gathered.
     """
-    counted = rows.groupBy(*CHECKPOINT).agg(F.count("idx").alias("n"))
-    over = F.raise_error(F.lit("a checkpoint holds more writes than the stated bound; use the row form"))
-    checked = counted.where(F.when(F.col("n") <= limit_per_checkpoint, F.lit(True)).otherwise(over.cast("boolean")))
+    few = top_n_per_key(rows, CHECKPOINT, [F.asc("task_id"), F.asc("idx")], limit_per_checkpoint + 1, rank="__rank")
     entry = F.struct("task_id", "idx", "channel", "value")
-    return (
-        rows.join(checked.select(*CHECKPOINT), CHECKPOINT)
-        .groupBy(*CHECKPOINT)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), entry))).alias("pending_writes"))
-    )
+    packed = few.groupBy(*CHECKPOINT).agg(F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), entry))).alias("pending_writes"))
+    over = F.raise_error(F.lit("a checkpoint holds more writes than the stated bound; use the row form"))
+    fits = F.size("pending_writes") <= limit_per_checkpoint
+    return packed.withColumn("pending_writes", F.when(fits, F.col("pending_writes")).otherwise(over.cast(packed.schema["pending_writes"].dataType)))
+
+
+def _same_key(base: DataFrame, other: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """`other` with its keys renamed, and the condition that all keys agree; null agrees with null."""
+    renamed = other.withColumnsRenamed({c: f"__key_{c}" for c in keys})
+    return renamed, _all([F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in keys])
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
@@ -169,7 +184,7 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_by: list[
     is not shuffled.
     """
     winners = materialize(latest_per_key(changes, keys, order_by).select(*base.columns), "changes")
-    kept = base.join(winners.select(*keys), keys, "left_anti")
+    kept = base.join(*_same_key(base, winners.select(*keys), keys), "left_anti")
     return kept.select(*base.columns).unionByName(winners)
 
 
@@ -183,12 +198,17 @@ def set_fields(
     """
     winners = latest_per_key(changes, keys, order_by)
     marked = materialize(winners.select(*keys, F.struct(*fields).alias("__set")), "changes")
-    merged = base.join(marked, keys, "full" if insert else "left")
+    merged = base.join(*_same_key(base, marked, keys), "left")
     columns = [
         F.when(F.col("__set").isNotNull(), F.col(f"__set.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
         for c in base.columns
     ]
-    return merged.select(*columns)
+    changed = merged.select(*columns)
+    if not insert:
+        return changed
+    new = marked.join(*_same_key(marked, base.select(*keys), keys), "left_anti")
+    blank = [F.col(c) if c in keys else F.col(f"__set.{c}") if c in fields else F.lit(None).cast(base.schema[c].dataType) for c in base.columns]
+    return changed.unionByName(new.select(*[value.alias(c) for c, value in zip(base.columns, blank)]))
 
 
 def explode_writes(batches: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from tallyloom.operators.ranking import top_n, top_n_per_key
 
 SHOTS = 4
 HITS = 5
-LISTED = 1000
 
 
 def centroid(vectors: DataFrame, embedding: str) -> list[float]:
@@ -80,11 +79,12 @@ def _described() -> list[Column]:
     return [F.col("metadata")["doc_type"].alias("doc_type"), F.col("metadata")]
 
 
-def list_documents(store: DataFrame, doc_type: str | None = None, limit: int = LISTED) -> DataFrame:
-    """Up to `limit` documents by id, with empty text for a missing id or type."""
+def list_documents(store: DataFrame, doc_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """All documents by id, or the first `limit`, with empty text for a missing id or type."""
     pool = store if doc_type is None else store.where(F.col("metadata")["doc_type"] == doc_type)
     blank = F.lit("")
-    return top_n(pool, [F.asc("id")], limit).select(
+    listed = pool.orderBy("id") if limit is None else top_n(pool, [F.asc("id")], limit)
+    return listed.select(
         F.coalesce(F.col("id").cast("string"), blank).alias("id"),
         F.coalesce(F.col("metadata")["doc_type"], blank).alias("doc_type"),
         "metadata",

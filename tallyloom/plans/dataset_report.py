@@ -28,12 +28,14 @@ def overview(df: DataFrame) -> str:
         unique |= {r.column_name: r.n_unique for r in distinct_counts(df, others).collect()}
     types = {f.name: pandas_type(f.dataType, missing[f.name] > 0) for f in df.schema.fields}
     summary = pd.DataFrame({c: [figures[c][f] for f in SUMMARY_ROWS.values()] for c in numeric}, index=list(SUMMARY_ROWS))
+    # The titles of the sections, in order. Every column has its line, however many there are.
+    listed = lambda values: pd.Series(values).to_string(dtype=True)
     sections = {
         "Shape: ": (n_rows, n_columns),
         "Columns: ": df.columns,
-        "Data Types:\n": pd.Series(types, dtype=object),
-        "Missing Values:\n": pd.Series({c: missing[c] for c in df.columns}),
-        "Unique Values:\n": pd.Series({c: unique[c] for c in df.columns}),
+        "Data Types:\n": listed(types),
+        "Missing Values:\n": listed({c: missing[c] for c in df.columns}),
+        "Unique Values:\n": listed({c: unique[c] for c in df.columns}),
         "Numerical Columns Summary:\n": summary.to_string(),
     }
     return "\n".join(f"{title}{body}" for title, body in sections.items())

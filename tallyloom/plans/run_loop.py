@@ -23,13 +23,14 @@ FAIL = "fail"
 MAX_ITERATIONS = 4
 DEBUG_UNTIL = 3
 STEP_CAP = 50
+UNFINISHED = "step_cap"
 
 Step = Callable[[DataFrame], DataFrame]
 
 
 def plan_route(index: Column, plan: Column) -> Column:
-    """Ends a run after its last task."""
-    return F.when(index == F.size(plan) - 1, F.lit(END)).otherwise(F.lit(NEXT_TASK))
+    """Ends a run after its last task, and one without tasks."""
+    return F.when(F.coalesce(index >= F.size(plan) - 1, F.lit(True)), F.lit(END)).otherwise(F.lit(NEXT_TASK))
 
 
 def attempt_route(error: Column, iterations: Column, max_iterations: int = MAX_ITERATIONS) -> Column:
@@ -59,21 +60,22 @@ def repeat(runs: DataFrame, step: Step, route: Column, stop: list[str], cap: int
     """Apply `step` to the runs whose `route` is not a stop until all have stopped; adds `route`.
 
     Stopped runs are set aside after each round, so a round costs what is still
-    active. More than `cap` rounds raise.
+    active. Runs that have not stopped after `cap` rounds get the route `step_cap`;
+    a null route stops nothing.
     """
     finished = []
     active = runs
     for _ in range(cap):
         active = materialize(active.drop("route").transform(step).withColumn("route", route), "runs")
-        halted = F.col("route").isin(stop)
+        halted = F.coalesce(F.col("route").isin(stop), F.lit(False))
         finished.append(active.where(halted))
         active = active.where(~halted)
         if active.isEmpty():
-            whole = finished[0]
-            for part in finished[1:]:
-                whole = whole.unionByName(part)
-            return whole
-    raise RuntimeError(f"runs still active after {cap} rounds")
+            break
+    whole = active.withColumn("route", F.lit(UNFINISHED))
+    for part in finished:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def solve_task(runs: DataFrame, generate: Step, execute: Step, reflect: Step, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
@@ -83,8 +85,8 @@ def solve_task(runs: DataFrame, generate: Step, execute: Step, reflect: Step, ma
     """
 
     def attempt(df: DataFrame) -> DataFrame:
-        again = df.where((F.col("error") == "yes") & (F.col("iterations") > 0))
-        fresh = df.where(~((F.col("error") == "yes") & (F.col("iterations") > 0)))
+        failed = F.coalesce((F.col("error") == "yes") & (F.col("iterations") > 0), F.lit(False))
+        again, fresh = df.where(failed), df.where(~failed)
         ready = fresh.unionByName(again.transform(reflect))
         counted = F.col("iterations") + 1
         return (

@@ -11,53 +11,7 @@ def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, _text) for n in names]
 
 
-CHECKPOINTS = T.StructType(
-    [
-        *_strings("thread_id", "checkpoint_ns", "checkpoint_id", "parent_checkpoint_id", "type"),
-        T.StructField("checkpoint", T.BinaryType()),
-        T.StructField("metadata", T.BinaryType()),
-    ]
-)
-CHECKPOINT_WRITES = T.StructType(
-    [
-        *_strings("thread_id", "checkpoint_ns", "checkpoint_id", "task_id"),
-        T.StructField("idx", T.IntegerType()),
-        *_strings("channel", "type"),
-        T.StructField("value", T.BinaryType()),
-    ]
-)
-EXAMPLES = T.StructType(_strings("id", "task", "code", "result"))
-ANALYSES = T.StructType(
-    _strings("challenge_url", "dataset_info", "quantitative_analysis", "qualitative_analysis", "feature_recommendations")
-)
-SCRAPED = T.StructType(
-    [
-        T.StructField("challenge_url", _text),
-        T.StructField("scraped_data", T.StructType(_strings("description", "evaluation", "data_details"))),
-        T.StructField(
-            "summarized",
-            T.StructType(
-                [
-                    T.StructField("description", _text),
-                    T.StructField("evaluation", T.StructType(_strings("description", "metric"))),
-                    T.StructField("data_details", _text),
-                ]
-            ),
-        ),
-    ]
-)
 ENTRY = T.StructType(_strings("task", "code", "result"))
-RUN = T.StructType(
-    [
-        T.StructField("run_id", _text),
-        T.StructField("index", T.IntegerType()),
-        T.StructField("planned_tasks", T.ArrayType(_text)),
-        T.StructField("enhanced_tasks", T.ArrayType(_text)),
-        T.StructField("entries", T.ArrayType(ENTRY)),
-        *_strings("problem_description", "dataset_info", "evaluation_metric", "error", "error_msg"),
-        T.StructField("iterations", T.IntegerType()),
-    ]
-)
 OUTPUT = T.StructType(
     [
         *_strings("output_type", "name", "text"),
@@ -69,10 +23,3 @@ OUTPUT = T.StructType(
 LEADERBOARD = T.StructType(
     [T.StructField("submissions", T.ArrayType(T.StructType([T.StructField("score", _text)])))]
 )
-VECTORS = T.StructType(
-    [
-        *_strings("id", "text"),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-        T.StructField("metadata", T.MapType(_text, _text)),
-    ]
-)

@@ -61,21 +61,27 @@ def frame_rows(json: Column, schema: T.StructType) -> Column:
     return F.transform(index, row)
 
 
-_SOURCE = T.ArrayType(T.StringType())
+# A text of a notebook is one string or a list of strings.
+_TEXT = T.VariantType()
 _CELL = T.StructType(
     [
         T.StructField("cell_type", T.StringType()),
-        T.StructField("source", _SOURCE),
+        T.StructField("source", _TEXT),
         T.StructField("outputs", T.ArrayType(T.StructType([
             *[T.StructField(n, T.StringType()) for n in ("output_type", "name", "ename", "evalue")],
-            T.StructField("text", _SOURCE),
-            T.StructField("data", T.MapType(T.StringType(), T.StringType())),
-            T.StructField("traceback", _SOURCE),
+            T.StructField("text", _TEXT),
+            T.StructField("data", T.MapType(T.StringType(), _TEXT)),
+            T.StructField("traceback", T.ArrayType(T.StringType())),
         ]))),
     ]
 )
 
 
+def _joined(value: Column) -> Column:
+    """The text of a string or of a list of strings; any other value as JSON."""
+    return F.coalesce(F.array_join(F.try_variant_get(value, "$", "array<string>"), ""), F.try_variant_get(value, "$", "string"), F.to_json(value))
+
+
 def notebook_cells(df: DataFrame, book: str) -> DataFrame:
     """Cells of a notebook text column, one row each: (..., seq, cell_type, code, outputs)."""
     kept = [c for c in df.columns if c != book]
@@ -83,12 +89,12 @@ def notebook_cells(df: DataFrame, book: str) -> DataFrame:
     cells = df.select(*kept, F.posexplode(parsed["cells"]).alias("seq", "cell"))
 
     def output(o: Column) -> Column:
-        made = {**{f.name: o[f.name] for f in OUTPUT.fields}, "text": F.array_join(o["text"], "")}
+        made = {**{f.name: o[f.name] for f in OUTPUT.fields}, "text": _joined(o["text"]), "data": F.transform_values(o["data"], lambda _, v: _joined(v))}
         return F.struct(*[made[f.name].alias(f.name) for f in OUTPUT.fields])
 
     return cells.select(
         *kept, "seq", "cell.cell_type",
-        F.array_join("cell.source", "").alias("code"),
+        _joined(F.col("cell.source")).alias("code"),
         F.transform("cell.outputs", output).alias("outputs"),
     )
 
@@ -107,10 +113,18 @@ def write_json(rows: DataFrame, record: Column, path: str) -> None:
     rows.select(pretty_json(record).alias("value")).write.text(path)
 
 
-def write_fields(rows: DataFrame, fields: list[str], path: str) -> None:
-    """Each text field of the rows under its own folder field=<name>."""
-    picked = rows.select(*fields).unpivot([], fields, "field", "value")
-    picked.write.partitionBy("field").text(path)
+def write_fields(rows: DataFrame, fields: list[str], path: str, keys: list[str] | None = None) -> None:
+    """Each text field of the rows under its own folder field=<name>, as JSON records of the row's keys and the value.
+
+    A text may span lines, and a null stays null.
+    """
+    picked = rows.select(*(keys or []), *fields).unpivot(keys or [], fields, "field", "value")
+    picked.write.option("ignoreNullFields", "false").partitionBy("field").json(path)
+
+
+def read_field(spark: SparkSession, path: str, field: str, schema: str = "value string") -> DataFrame:
+    """The records of one field."""
+    return spark.read.schema(schema).json(f"{path}/field={field}")
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
@@ -131,6 +145,8 @@ def write_problem_documents(problems: DataFrame, path: str) -> None:
         "challenge_name", "problem_description", "quantitative_analysis", "qualitative_analysis", "dataset_info", "evaluation"
     )])
     fields = F.to_json(F.struct(*DOCUMENT_FIELDS), {"ignoreNullFields": "false"})
+    marked = F.raise_error(F.lit("a problem document holds the record mark"))
+    text = F.when(text.contains(RECORD_END), marked.cast("string")).otherwise(text)
     kinds = F.array(F.struct(F.lit("text").alias("kind"), text.alias("value")), F.struct(F.lit("json").alias("kind"), fields.alias("value")))
     named.select(F.inline(kinds)).write.option("lineSep", RECORD_END).partitionBy("kind").text(path)
 

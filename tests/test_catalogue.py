@@ -53,7 +53,7 @@ def test_rank_filter_runs_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in text[shuffle:], text
 
 
-@pytest.mark.parametrize("name", ["knn", "knn_filtered", "latest_row", "profile_head", "checkpoint_list_limit", "list_documents"])
+@pytest.mark.parametrize("name", ["knn", "knn_filtered", "latest_row", "profile_head", "checkpoint_list_limit"])
 def test_global_top_n_keeps_n_rows_per_task(spark, name):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, SMALL))
 

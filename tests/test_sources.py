@@ -131,10 +131,11 @@ def test_results_come_through_the_cache(spark):
     assert [tuple(r) for r in new.collect()] == [("http://b/", "made")]
 
 
-def test_runs_that_never_stop_raise(spark):
-    runs = spark.createDataFrame([(1, 0)], "run_id int, index int")
-    with pytest.raises(RuntimeError, match="still active after 3 rounds"):
-        run_loop.repeat(runs, lambda df: df, F.lit("again"), ["end"], cap=3)
+def test_runs_that_do_not_stop_are_returned(spark):
+    runs = spark.createDataFrame([(1, 0), (2, 5), (3, None)], "run_id int, index int")
+    route = F.when(F.col("index") > 6, "__end__").when(F.col("index").isNotNull(), "on")
+    found = run_loop.repeat(runs, lambda df: df.withColumn("index", F.col("index") + 1), route, ["__end__"], cap=3)
+    assert sorted((r.run_id, r.route) for r in found.collect()) == [(1, "step_cap"), (2, "__end__"), (3, "step_cap")]
 
 
 def test_runs_stop_independently(spark):

@@ -36,25 +36,37 @@ def test_strip_and_squeeze(samples):
     same(samples, text.squeeze(F.col("s")), lambda s: " ".join(s.split()))
 
 
-def test_clean_console(samples):
-    def expected(s):
-        for pattern in (text.ESCAPE_SEQUENCE, text.COLOR_PAIR, text.COLOR):
-            s = re.sub(pattern, "", s)
-        return " ".join(s.split())
+def cases(spark, column, pairs):
+    """Literal inputs and results of a column function of `s`."""
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(pairs)], "i int, s string")
+    found = {r.i: r.v for r in df.select("i", column.alias("v")).collect()}
+    for i, (given, wanted) in enumerate(pairs):
+        assert found[i] == wanted, repr(given)
 
-    same(samples, text.clean_console(F.col("s")), expected)
+
+def test_clean_console(spark):
+    cases(spark, text.clean_console(F.col("s")), [
+        ("", ""),
+        ("plain", "plain"),
+        ("\x1b[31mred\x1b[0m text", "red text"),
+        ("\x1b[1;31mbold\x1b[m", "bold"),
+        ("  lead\tand\n\ntrail  ", "lead and trail"),
+    ])
 
 
 def test_truncate_counts_characters(samples):
     same(samples, text.truncate(F.col("s")), lambda s: s[:300] + "..." if len(s) > 300 else s)
 
 
-def test_code_candidates(samples):
-    def expected(s):
-        fenced = [body for _, body in re.findall(r"```(python)?\n*(.*?)\n*```", s, re.S)]
-        return fenced or [re.findall(r"^(```(python)?)?\n?(.*?)\n?(```)?$", s, re.S)[0][2]]
-
-    same(samples, text.code_candidates(F.col("s")), expected)
+def test_code_candidates(spark):
+    cases(spark, text.code_candidates(F.col("s")), [
+        ("", [""]),
+        ("x = 3", ["x = 3"]),
+        ("```python\nx = 1\n```", ["x = 1"]),
+        ("say ```\ny = 2\n``` more ```python\nz(\n``` end", ["y = 2", "z("]),
+        ("\n```\n\n\na = 1\n\n\n```\n", ["a = 1"]),
+        ("```python\nunclosed = 1", ["unclosed = 1"]),
+    ])
 
 
 def test_extract_code_keeps_what_compiles(spark):
@@ -62,14 +74,17 @@ def test_extract_code_keeps_what_compiles(spark):
     assert [r.code for r in text.extract_code(df, "s", "code").collect()] == ["x = 1\n\ny = 2", ""]
 
 
-def test_text_around_code(samples):
-    same(samples, text.text_before_code(F.col("s")), lambda s: s[: s.find("```")].strip() if "```" in s else "")
-
-    def outside(s):
-        pieces = [re.sub(r"^>>>\s?", "", p.replace("`", ""), flags=re.M).strip() for p in re.split(r"```[\s\S]*?```", s)]
-        return "\n\n".join(p for p in pieces if p)
-
-    same(samples, text.text_outside_code(F.col("s")), outside)
+def test_text_around_code(spark):
+    cases(spark, text.text_before_code(F.col("s")), [
+        ("", ""), ("no fence", ""), (" before \n```python\nx\n``` after", "before"), ("```x```", ""), ("a ```b``` c ```d```", "a"),
+    ])
+    cases(spark, text.text_outside_code(F.col("s")), [
+        ("", ""),
+        ("a `b` c", "a b c"),
+        (">>> first\n>>>second", "first\nsecond"),
+        ("before\n```js\ncode\n```\n\n tail", "before\n\ntail"),
+        ("```only```", ""),
+    ])
 
 
 def test_error_digest(samples):
@@ -96,17 +111,11 @@ def test_python_float(spark):
 
 
 def test_urls(spark):
-    tried = ["a.b", "http://a.b", "https://a.b/", "a/", "", "httpx://q"]
-    df = spark.createDataFrame([(s,) for s in tried], "u string")
-    for https in (True, False):
-        def expected(base):
-            if not base.startswith(("http://", "https://")):
-                base = ("https://" if https else "http://") + base
-            return base + ("" if base.endswith("/") else "/") + "sub"
-
-        assert [r[0] for r in df.select(urls.join_url(F.col("u"), "sub", https)).collect()] == [expected(s) for s in tried]
-    parts = df.select(urls.path_part(F.col("u"), 1), urls.path_part(F.col("u"), 2)).collect()
-    assert [tuple(r) for r in parts] == [(s.split("/")[-1], s.split("/")[-2] if "/" in s else None) for s in tried]
+    joined = [("a.b", "https://a.b/sub"), ("http://a.b", "http://a.b/sub"), ("https://a.b/", "https://a.b/sub"), ("a/", "https://a/sub"), ("httpx://q", "https://httpx://q/sub")]
+    cases(spark, urls.join_url(F.col("s"), "sub", True), joined)
+    cases(spark, urls.join_url(F.col("s"), "sub", False), [("a.b", "http://a.b/sub"), ("https://a.b", "https://a.b/sub")])
+    cases(spark, urls.path_part(F.col("s"), 1), [("https://a.b/c/d", "d"), ("a/", ""), ("a", "a")])
+    cases(spark, urls.path_part(F.col("s"), 2), [("https://a.b/c/d", "c"), ("a/", "a"), ("a", None)])
 
 
 def test_override_prefers_the_second_map(spark):
