@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.html_blocks import WIDTH, blocks, features
+from tallyloom.llm.sample import drawn
 from tallyloom.llm.words import slices
 
 #: Pages that the model is trained on, at most, and blocks of one of them that are learnt from.
@@ -204,8 +205,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS) -
 
 def fit(pages: DataFrame, html_column: str = "html", fit_pages: int = FIT_PAGES) -> Labeller:
     """A labeller from at most `fit_pages` of the pages, those whose html hashes lowest."""
-    few = pages.where(F.length(html_column) > 0).select(F.col(html_column).alias("html"), F.xxhash64(html_column).alias("h"))
-    return train(training_set([row.html for row in few.orderBy("h", "html").limit(fit_pages).collect()]))
+    some = pages.where(F.length(html_column) > 0).select(F.col(html_column).alias("html"))
+    return train(training_set([row.html for row in drawn(some, fit_pages, "html").collect()]))
 
 
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
