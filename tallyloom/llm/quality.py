@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.sample import drawn
 from tallyloom.llm.words import CONTINUES, SPACE, Texts, slices, windows
 from tallyloom.scratch import materialize
 
@@ -213,14 +214,14 @@ def calibrated(good: np.ndarray, bad: np.ndarray, lost: float = GOOD_LOST) -> fl
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> Forest | None:
-    """Trees from at most `fit_rows` labelled rows, the cut from all of them. `stats` is read three times: give a stored table.
+    """Trees from at most `fit_rows` labelled rows, the cut from all of them. `stats` is read several times: give a stored table.
 
     None where labels of both kinds are missing.
     """
     worst = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.min(label).alias("label"))
     # Rows that the base rules reject anyway tell nothing about the others.
     known = stats.where(~base_failed()).join(worst, F.col(id_column) == F.col("label_id")).select("label", id_column, *RULES)
-    picked = known.orderBy(F.xxhash64(id_column), *RULES).limit(fit_rows).select(*RULES).toPandas()
+    picked = drawn(known, fit_rows, id_column, *RULES).select(*RULES).toPandas()
     if picked.empty:
         return None
     forest = grow(picked.to_numpy(float))
