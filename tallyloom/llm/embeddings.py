@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
+from tallyloom.llm.sample import drawn
 from tallyloom.scratch import materialize
 
 LEAST = 0.93
@@ -152,7 +153,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     classes = materialize(classes.select(*same, F.struct(F.col("smallest").alias("id"), "h1").alias("node"), "copies", "vector"), "vectors")
 
     width = classes.agg(F.max("dim")).first()[0] or 1
-    sample = classes.orderBy(F.xxhash64("h1"), "h2").limit(FIT_ROWS).select("vector").toArrow().column("vector").combine_chunks()
+    sample = drawn(classes, FIT_ROWS, "h1", "h2").select("vector").toArrow().column("vector").combine_chunks()
     rotations = fit_rotations(_unit(_padded(sample, width)), width)
     coded = materialize(_coded(classes, rotations, width), "codes")
     links = materialize(_linked(_close_pairs(coded), classes, least), "vector-links")
