@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyloom.llm.words import Texts, slices
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -72,3 +78,22 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether 1 - distance / longer length is at least `least`."""
     longer = max(len(a), len(b))
     return edit_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
+
+
+def verifier(texts: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (a, b) whose texts in a stored table (node, text) have at least this edit similarity, counted in words."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text_a"):
+                x, y = Texts(part.column("text_a")), Texts(part.column("text_b"))
+                x.words(), y.words()
+                hx, hy = x.hashes(x.start, x.end), y.hashes(y.start, y.end)
+                linked = [similar(hx[x.word_at[i] : x.word_at[i + 1]], hy[y.word_at[i] : y.word_at[i + 1]], least) for i in range(len(x))]
+                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(align, pairs.schema)
+
+    return verify

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.alignment import similar
+from tallyloom.llm.alignment import verifier
 from tallyloom.llm.components import linked_groups
 from tallyloom.llm.words import Texts, mix, slices, windows
 from tallyloom.scratch import materialize
@@ -109,25 +109,6 @@ def _prints(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
-def _verifier(texts: DataFrame, least: float):
-    """`verify` of linked_groups over a stored table (node, text)."""
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a"):
-                x, y = Texts(part.column("text_a")), Texts(part.column("text_b"))
-                x.words(), y.words()
-                hx, hy = x.hashes(x.start, x.end), y.hashes(y.start, y.end)
-                linked = [similar(hx[x.word_at[i] : x.word_at[i + 1]], hy[y.word_at[i] : y.word_at[i + 1]], least) for i in range(len(x))]
-                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(align, "a long, b long")
-
-    return verify
-
-
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, class_id (exact copies), group_id (copies and near copies, the smallest id of the group), kept, h1, h2.
 
@@ -154,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         same = [(F.get(x("sketches"), F.lit(i)) == F.get(y("sketches"), F.lit(i))).cast("int") for i in range(SKETCHES)]
         return sizes(x, y) & (sum(same[1:], same[0]) >= AGREE)
 
-    groups = linked_groups(members, _verifier(texts, least), sizes, agree).select(F.col("node").alias("class_node"), "root")
+    groups = linked_groups(members, verifier(texts, least), sizes, agree).select(F.col("node").alias("class_node"), "root")
     of_class = classes.select("h1", "h2", F.col("node").alias("class_id"), "n")
     of_class = of_class.join(groups, F.col("class_id") == F.col("class_node"), "left").select("h1", "h2", "class_id", "n", F.coalesce("root", "class_id").alias("group_id"))
     # Documents without a word share a class of texts and are still linked to none.
