@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.catalogue.registry import Tables, query, rounded
 from tallyloom.operators import retrieval as r
+from tallyloom.operators.ranking import top_n_per_key
+from tallyloom.plans import assistant
 
 _CENTROID = (
     "q AS (SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) g(i) GROUP BY i))"
@@ -139,3 +141,50 @@ def add_documents(t: Tables):
     )
     rows = r.add_documents(docs, lambda text: F.array(F.length(text).cast("float")))
     return rows.select("id", "text", F.get("embedding", F.lit(0)).cast("double").alias("size"), F.col("metadata")["doc_type"].alias("doc_type"))
+
+
+def memory_items(t: Tables):
+    """Events as memories of their users."""
+    text = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))
+    return t.events.select(F.col("user_id").alias("owner"), F.col("value").cast("double").alias("importance"), F.col("event_id").alias("seq"), text.alias("text"))
+
+
+_ITEMS = "i AS (SELECT user_id AS owner, value::DOUBLE AS importance, event_id AS seq, event_type || ' ' || event_id AS text FROM events), last AS (SELECT owner, max(seq) AS last FROM i GROUP BY owner)"
+_KEPT = "SELECT owner, importance, seq, text FROM (SELECT owner, importance, seq, text FROM i UNION ALL SELECT owner, importance, seq, text FROM n) QUALIFY row_number() OVER (PARTITION BY owner ORDER BY importance DESC, seq) <= 5"
+
+
+@query(
+    f"WITH {_CENTROID}, {_ITEMS}, "
+    f"h AS (SELECT vec_id, row_number() OVER (ORDER BY {_L2}, vec_id) AS rank FROM embeddings, q WHERE label = (SELECT max(label) FROM embeddings) QUALIFY rank <= 5), "
+    "c AS (SELECT coalesce(string_agg(d.text, chr(10) || chr(10) ORDER BY h.rank), '') AS context FROM h JOIN documents d ON d.doc_id = h.vec_id), "
+    "m AS (SELECT owner, string_agg(text, chr(10) ORDER BY importance DESC, seq) AS memories FROM (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY owner ORDER BY importance DESC, seq) <= 5) GROUP BY owner), "
+    "a AS (SELECT owner, length(context || 'Context: ' || memories || chr(10) || chr(10) || 'Question: what next?') AS answer FROM m, c), "
+    "n AS (SELECT owner, 1.0::DOUBLE AS importance, last + 1 AS seq, 'Q: what next?' || chr(10) || 'A: ' || answer AS text FROM a JOIN last USING (owner)) " + _KEPT
+)
+def answered_from_memory(t: Tables):
+    """Every user's question with memories and retrieved documents of one label, and the memory after the answer; the model says how long its prompt is."""
+    label = t.embeddings.agg(F.max("label")).first()[0]
+    documents = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
+    model = lambda context, question: F.length(F.concat(context, question)).cast("string")
+    _, memory = assistant.ask(memory_items(t), t.embeddings, documents, probe(t), "what next?", model, where=F.col("label") == label, id_column="vec_id")
+    return memory
+
+
+@query(
+    f"WITH {_ITEMS}, "
+    "e AS (SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS task, o_orderpriority AS code, o_orderdate::VARCHAR AS result FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1), "
+    "n AS (SELECT e.owner, 2.0::DOUBLE AS importance, coalesce(last, -1) + 1 AS seq, 'Task: ' || task || chr(10) || 'Result Summary: ' || task || code AS text FROM e LEFT JOIN last USING (owner)), "
+    f"k AS ({_KEPT}) "
+    "SELECT 'row' AS kind, id AS owner, task || code AS text, NULL::DOUBLE AS number FROM e UNION ALL SELECT 'vector', id, task, length(task)::DOUBLE FROM e UNION ALL SELECT 'memory', owner, text, importance FROM k"
+)
+def added_examples(t: Tables):
+    """A finished task per customer: its row, its vector under the same id, and what is remembered."""
+    first = top_n_per_key(t.orders, ["o_custkey"], [F.asc("o_orderkey")], 1, rank="place")
+    done = first.select(
+        F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("task"),
+        F.col("o_orderpriority").alias("code"), F.col("o_orderdate").cast("string").alias("result"),
+    )
+    rows, vectors, memory = assistant.add_examples(memory_items(t), done, lambda task, code, _: F.concat(task, code), lambda task: F.array(F.length(task).cast("float")))
+    listed = rows.select(F.lit("row").alias("kind"), F.col("id").alias("owner"), F.concat("task", "code").alias("text"), F.lit(None).cast("double").alias("number"))
+    listed = listed.unionByName(vectors.select(F.lit("vector").alias("kind"), F.col("id").alias("owner"), "text", F.get("embedding", F.lit(0)).cast("double").alias("number")))
+    return listed.unionByName(memory.select(F.lit("memory").alias("kind"), "owner", "text", F.col("importance").alias("number")))
