@@ -34,7 +34,7 @@ PIECE = 32_768
 #: Code points on each side of a join that are encoded anew first; doubled until both sides agree on AGREE tokens.
 WINDOW, AGREE = 32, 4
 #: Chunks, and cores of chunks, whose encodings a worker keeps, the first it meets; later ones are encoded again each time.
-KEPT = 500_000
+KEPT = 300_000
 #: Cores that go to the library in one call.
 CALL = 2048
 
@@ -122,7 +122,7 @@ class Encoder:
     def chunked(self, texts: list[bytes], decoded: bool) -> list[tuple[bytes, str | None]]:
         """For each text its ids as little-endian 32-bit numbers, and the decoded text."""
         split = [text.split() for text in texts]
-        self._learn(set().union(*split).difference(self.ids_of), decoded)
+        self._learn({c for c in set().union(*split) if c not in self.ids_of}, decoded)
         ids, text = self.ids_of.__getitem__, self.text_of.__getitem__
         out = [(b"".join(map(ids, chunks)), " ".join(filter(None, map(text, chunks))) if decoded else None) for chunks in split]
         self.ids_of.passing.clear(), self.text_of.passing.clear()
