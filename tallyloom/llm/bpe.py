@@ -34,7 +34,7 @@ PIECE = 32_768
 #: Code points on each side of a join that are encoded anew first; doubled until both sides agree on AGREE tokens.
 WINDOW, AGREE = 32, 4
 #: Chunks, and cores of chunks, whose encodings a worker keeps, the first it meets; later ones are encoded again each time.
-KEPT = 300_000
+KEPT = 400_000
 #: Cores that go to the library in one call.
 CALL = 2048
 
