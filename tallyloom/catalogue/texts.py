@@ -224,10 +224,15 @@ def html_to_markdown(t: Tables):
     return t.spread("pages").select("page_id", markup.html_to_markdown("html").alias("markdown"))
 
 
-@query(r"SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading FROM pages WHERE html LIKE '%<article><h1>%'")
+@query(
+    r"SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading, nullif(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1), '') AS advert "
+    "FROM pages WHERE html LIKE '%<article><h1>%'"
+)
 def page_fields(t: Tables):
-    """Inner markup of one element of every page."""
-    found = t.spread("pages").select("page_id", markup.inner_html(F.col("html"), "article > h1:nth-child(1)").alias("heading"))
+    """Inner markup of two elements of every page, by position and by class."""
+    found = t.spread("pages").select(
+        "page_id", markup.inner_html(F.col("html"), "article > h1:nth-child(1)").alias("heading"), markup.inner_html(F.col("html"), "body > div.ad").alias("advert")
+    )
     return found.where(F.col("heading").isNotNull())
 
 

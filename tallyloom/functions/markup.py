@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 # Element classes of HTML and the Markdown marks used for them.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "title", "head", "template"}
+IN_HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
 BLOCKS = {"p", "div", "article", "section", "header", "footer", "nav", "main", "aside", "figure", "table", "form"}
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
@@ -42,6 +43,9 @@ class _MarkdownWriter(HTMLParser):
         return any(self.depth[tag] for tag in tags)
 
     def handle_starttag(self, tag, attrs):
+        # The end tag of the head may be left out: anything of the body ends it.
+        while self.depth["head"] and tag not in IN_HEAD:
+            self.close_top()
         if tag in VOID:
             self.buffers[-1].append(self.void(tag, dict(attrs)))
             return
@@ -126,17 +130,21 @@ class _MarkdownWriter(HTMLParser):
         return f"{lead}{before}{bare}{after}{text[len(text.rstrip()):]}"
 
     def item(self, text: str) -> str:
-        lists = [(i, tag) for i, (tag, _) in enumerate(self.open) if tag in ("ul", "ol")]
-        if lists and lists[-1][1] == "ol":
-            parent = "".join(self.buffers[-1])
-            mark = f"{len(re.findall(r'^[0-9]+[.] ', parent, re.M)) + 1}. "
+        lists = [(tag, attrs) for tag, attrs in self.open if tag in ("ul", "ol")]
+        if lists and lists[-1][0] == "ol":
+            attrs = lists[-1][1]
+            start = attrs.get("start") or ""
+            number = attrs["next item"] = attrs.get("next item", int(start) - 1 if start.isdigit() else 0) + 1
+            mark = f"{number}. "
         else:
-            depth = sum(tag == "ul" for _, tag in lists)
+            depth = sum(tag == "ul" for tag, _ in lists)
             mark = f"{BULLETS[max(depth - 1, 0) % len(BULLETS)]} "
         return mark + text.replace("\n", "\n" + " " * len(mark)) + "\n"
 
     def table_row(self, cells: str) -> str:
-        first = "|" not in "".join(self.buffers[-1]) and not (self.open[-1][0] == "tbody" and "|" in "".join(self.buffers[-2]))
+        table = next((attrs for tag, attrs in reversed(self.open) if tag == "table"), self.open[-1][1])
+        first = not table.get("has rows")
+        table["has rows"] = True
         line = f"|{cells}".replace("\n", " ").rstrip() + "\n"
         return line + "|" + " --- |" * cells.count(" |") + "\n" if first else line
 
@@ -150,10 +158,10 @@ class _MarkdownWriter(HTMLParser):
 class _ElementFinder(HTMLParser):
     """Captures the inner markup of the first element that matches a path of child steps."""
 
-    def __init__(self, steps: list[tuple[str | None, str | None, int | None]]) -> None:
+    def __init__(self, steps: list[tuple[str | None, str | None, set[str], int | None]]) -> None:
         super().__init__(convert_charrefs=False)
         self.steps = steps
-        self.path: list[tuple[str, str | None, int]] = []
+        self.path: list[tuple[str, str | None, set[str], int]] = []
         self.children = [0]
         self.depth: int | None = None
         self.inner: list[str] = []
@@ -162,8 +170,8 @@ class _ElementFinder(HTMLParser):
     def matches(self) -> bool:
         tail = self.path[-len(self.steps) :]
         return len(tail) == len(self.steps) and all(
-            (tag is None or tag == name) and (ident is None or ident == own) and (nth is None or nth == place)
-            for (tag, ident, nth), (name, own, place) in zip(self.steps, tail)
+            (tag is None or tag == name) and (ident is None or ident == own) and classes <= worn and (nth is None or nth == place)
+            for (tag, ident, classes, nth), (name, own, worn, place) in zip(self.steps, tail)
         )
 
     def handle_starttag(self, tag, attrs):
@@ -172,7 +180,7 @@ class _ElementFinder(HTMLParser):
         self.children[-1] += 1
         if tag in VOID:
             return
-        self.path.append((tag, dict(attrs).get("id"), self.children[-1]))
+        self.path.append((tag, dict(attrs).get("id"), set((dict(attrs).get("class") or "").split()), self.children[-1]))
         self.children.append(0)
         if self.depth is None and self.found is None and self.matches():
             self.depth = len(self.path)
@@ -183,12 +191,12 @@ class _ElementFinder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if all(tag != name for name, _, _ in self.path):
+        if all(tag != name for name, *_ in self.path):
             return
         while True:
             if self.depth == len(self.path):
                 self.found, self.depth = "".join(self.inner), None
-            name, _, _ = self.path.pop()
+            name, *_ = self.path.pop()
             self.children.pop()
             if name == tag:
                 break
@@ -212,16 +220,16 @@ class _ElementFinder(HTMLParser):
         return "".join(self.inner) if self.depth is not None else self.found
 
 
-def _step(text: str) -> tuple[str | None, str | None, int | None]:
-    match = re.fullmatch(r"([a-zA-Z][\w-]*)?(?:#([\w-]+))?(?::nth-child\((\d+)\))?", text.strip())
+def _step(text: str) -> tuple[str | None, str | None, set[str], int | None]:
+    match = re.fullmatch(r"([a-zA-Z][\w-]*)?(?:#([\w-]+))?((?:\.[\w-]+)*)(?::nth-child\((\d+)\))?", text.strip())
     if not match or not text.strip():
         raise ValueError(f"unsupported selector step: {text!r}")
-    tag, ident, nth = match.groups()
-    return tag and tag.lower(), ident, int(nth) if nth else None
+    tag, ident, classes, nth = match.groups()
+    return tag and tag.lower(), ident, set(classes.split(".")) - {""}, int(nth) if nth else None
 
 
 def inner_html(html: Column, selector: str) -> Column:
-    """Markup inside the first element at `selector`, a path such as `#main > div > p:nth-child(2)`."""
+    """Markup inside the first element at `selector`, a path such as `#main > div.a.b > p:nth-child(2)`."""
     steps = [_step(part) for part in selector.split(">")]
 
     @F.pandas_udf("string")

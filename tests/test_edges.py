@@ -4,12 +4,13 @@ import json
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import slices
+from tallyloom.functions import markup, slices
 from tallyloom.operators import evaluation, features, history, keyed_log, retrieval
 from tallyloom.plans import run_loop
 from tallyloom.sources import documents
@@ -99,3 +100,27 @@ def test_the_rest_imports_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; names = e.queries(); print(len(names), any(n.startswith('op') and n[2].isdigit() for n in names), 'pipeline' in names)"
     out = subprocess.run([sys.executable, "-c", code], cwd=bare, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin"} | {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert out.stdout.split()[1:] == ["False", "False"], out.stderr[-600:]
+
+
+def test_elements_by_class(spark):
+    page = '<div class="x"><div class="a c b">hit</div></div><div class="a">miss</div>'
+    df = spark.createDataFrame([(page,)], "h string")
+    assert df.select(markup.inner_html(F.col("h"), "div.a.b"), markup.inner_html(F.col("h"), "div.x > .c"), markup.inner_html(F.col("h"), "div.z")).first()[:] == ("hit", "hit", None)
+
+
+def test_markdown_of_lists_tables_and_open_heads(spark):
+    page = "<head><title>t</title><p>seen</p><ol start=3><li>c<li>d</ol><table><caption>a | b</caption><tr><td>1<td>2<tr><td>3<td>4</table>"
+    found = spark.createDataFrame([(page,)], "h string").select(markup.html_to_markdown("h")).first()[0]
+    assert found.startswith("seen") and "3. c" in found and "4. d" in found and found.count("---") == 2
+
+
+def test_long_lists_take_time_in_proportion():
+    def seconds(n):
+        start = time.perf_counter()
+        writer = markup._MarkdownWriter()
+        writer.feed("<ol>" + "<li>item</li>" * n + "</ol>")
+        writer.close()
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.005)

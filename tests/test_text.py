@@ -257,4 +257,4 @@ def test_inner_html(spark):
     ).first()
     assert tuple(found) == ("yes <b>x</b><br>&amp;", "o", None)
     with pytest.raises(ValueError):
-        markup.inner_html(F.col("h"), "div.class")
+        markup.inner_html(F.col("h"), "div[a]")
