@@ -76,7 +76,7 @@ def append_sink(t: Tables):
 
 
 @query(
-    "SELECT doc_id, '{' || chr(10) || '  \"doc_id\" : ' || doc_id || ',' || chr(10) || '  \"lang\" : \"' || lang || '\"' || chr(10) || '}' AS record FROM documents"
+    "SELECT doc_id, '{' || chr(10) || '  \"doc_id\": ' || doc_id || ',' || chr(10) || '  \"lang\": \"' || lang || '\"' || chr(10) || '}' AS record FROM documents"
 )
 def indented_json(t: Tables):
     return t.documents.select("doc_id", d.pretty_json(F.struct("doc_id", "lang")).alias("record"))

@@ -1,8 +1,8 @@
 """Splitting text into chunks.
 
-`separator_chunks` is a JVM-side fold. `nested_chunks` tries ever finer
-separators and keeps an overlap; its state does not fit a fold over one split,
-so it runs as an Arrow-batched function over whole texts.
+`separator_chunks` packs pieces; `nested_chunks` tries ever finer separators and
+keeps an overlap. A fold over an array would copy what it has gathered at every
+piece, so both run as Arrow-batched functions over whole texts, in linear time.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import strip
-
 # Sizes, overlap and separators, coarse to fine.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -23,27 +21,36 @@ PARAGRAPH = "\n\n"
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
 
+def pack_pieces(text: str, separator: str, size: int) -> Iterator[str]:
+    """Pieces between separators, put together again as long as they fit."""
+    held: list[str] = []
+    length = 0
+    for piece in filter(None, text.split(separator)):
+        if held and length + len(separator) + len(piece) > size:
+            yield separator.join(held)
+            held, length = [], 0
+        length += len(piece) + (len(separator) if held else 0)
+        held.append(piece)
+    if held:
+        yield separator.join(held)
+
+
 def separator_chunks(text: Column, separator: str = PARAGRAPH, size: int = CHUNK_SIZE) -> Column:
     """Pack pieces between separators greedily into chunks of at most `size` characters.
 
     A piece longer than `size` stays whole. Chunks are trimmed, empty ones dropped.
     """
-    pieces = F.filter(F.split(text, rf"\Q{separator}\E", -1), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def add(state: Column, piece: Column) -> Column:
-        fits = F.length(state["open"]) + len(separator) + F.length(piece) <= size
-        return (
-            F.when(state["open"].isNull(), F.struct(state["done"].alias("done"), piece.alias("open")))
-            .when(fits, F.struct(state["done"].alias("done"), F.concat(state["open"], F.lit(separator), piece).alias("open")))
-            .otherwise(F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), piece.alias("open")))
-        )
-
-    def close(state: Column) -> Column:
-        return F.when(state["open"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
-
-    chunks = F.aggregate(pieces, start, add, close)
-    return F.filter(F.transform(chunks, strip), lambda c: c != "")
+
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        def one(value: str | None) -> list[str] | None:
+            if value is None:
+                return None
+            return [c for c in (part.strip() for part in pack_pieces(value, separator, size)) if c]
+
+        return texts.map(one)
+
+    return chunks(text)
 
 
 def _pieces(text: str, separators: list[str]) -> tuple[list[str], list[str]]:

@@ -46,7 +46,8 @@ def head_markdown(df: DataFrame, order_by: list, n: int = 5) -> str:
     rows = head(df, order_by, n).collect()
     width = len(df.columns)
     lines = ["| | " + " | ".join(df.columns) + " |", "|" + " --- |" * (width + 1)]
-    lines += ["| " + " | ".join([str(i), *("nan" if v is None else str(v) for v in row)]) + " |" for i, row in enumerate(rows)]
+    cell = lambda v: "nan" if v is None else str(v).replace("\\", "\\\\").replace("|", "\\|").replace("\n", "<br>")
+    lines += ["| " + " | ".join([str(i), *map(cell, row)]) + " |" for i, row in enumerate(rows)]
     return "\n".join(lines)
 
 

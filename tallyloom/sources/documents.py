@@ -51,14 +51,18 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
 
 def frame_rows(json: Column, schema: T.StructType) -> Column:
     """Rows of a column-oriented data-frame JSON text ({column: {index: value}}) as an array of structs."""
-    columns = F.from_json(json, T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())))
+    kinds = T.MapType(T.StringType(), T.StringType())
+    columns = F.from_json(json, T.StructType([T.StructField(f.name, kinds) for f in schema.fields]))
     index = F.map_keys(columns[schema.fields[0].name])
 
-    def row(key: Column) -> Column:
-        cells = [F.try_element_at(columns[f.name], key).try_cast(f.dataType).alias(f.name) for f in schema.fields]
-        return F.struct(key.alias("index"), *cells)
+    def values(column: Column) -> Column:
+        """The column's values in the order of the index; in a frame all columns have it, and no value is searched for."""
+        found = F.transform(index, lambda key: F.try_element_at(column, key))
+        return F.when(F.map_keys(column) == index, F.map_values(column)).otherwise(found)
 
-    return F.transform(index, row)
+    whole = F.arrays_zip(index.alias("index"), *[values(columns[f.name]).alias(f"c{i}") for i, f in enumerate(schema.fields)])
+    cells = lambda row: [row[f"c{i}"].try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
+    return F.transform(whole, lambda row: F.struct(row["index"].alias("index"), *cells(row)))
 
 
 # A text of a notebook is one string or a list of strings.
@@ -105,7 +109,9 @@ def read_notebook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pretty_json(record: Column) -> Column:
-    return F.to_json(record, {"pretty": "true", "ignoreNullFields": "false"})
+    """A record as JSON with one field a line, indented by two, and a colon right after each name."""
+    spaced = F.to_json(record, {"pretty": "true", "ignoreNullFields": "false"})
+    return F.regexp_replace(spaced, r'(?m)^(\s*"(?:[^"\\]|\\.)*+") : ', "$1: ")
 
 
 def write_json(rows: DataFrame, record: Column, path: str) -> None:

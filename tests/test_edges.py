@@ -9,10 +9,11 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import markup, slices
-from tallyloom.operators import evaluation, features, history, keyed_log, retrieval
-from tallyloom.plans import run_loop
+from tallyloom.operators import evaluation, features, history, keyed_log, records, retrieval
+from tallyloom.plans import dataset_report, run_loop
 from tallyloom.sources import documents
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -124,3 +125,29 @@ def test_long_lists_take_time_in_proportion():
 
     seconds(100)
     assert seconds(16_000) < 20 * max(seconds(2_000), 0.005)
+
+
+def test_log_views_name_what_is_missing(spark):
+    whole = spark.range(1).select(F.lit("r").alias("run_id"), *[F.lit(c).alias(c) for c in sorted({c for step in records.LOGGED.values() for c in step})])
+    for step, fields in records.LOGGED.items():
+        assert records.log_view(whole, step).columns == ["run_id", *fields]
+    with pytest.raises(Exception, match="best_score"):
+        records.log_view(whole.drop("best_score"), "enhancer")
+
+
+def test_indented_records_read_like_plain_json(spark):
+    record = {"a": "x : y", "b \" c": 1, "d": None}
+    df = spark.createDataFrame([("x : y", 1, None)], "a string, `b \" c` int, d string")
+    assert df.select(documents.pretty_json(F.struct("*"))).first()[0] == json.dumps(record, indent=2)
+
+
+def test_cells_of_a_report_stay_in_their_rows(spark):
+    df = spark.createDataFrame([("a|b\nc", None)], "s string, n int")
+    assert dataset_report.head_markdown(df, ["s"]).split("\n")[2:] == ["| 0 | a\\|b<br>c | nan |"]
+
+
+def test_frames_whose_columns_differ_in_order(spark):
+    text = json.dumps({"a": {"0": 1, "1": 2}, "b": {"1": "y", "0": "x"}})
+    schema = T.StructType.fromDDL("a int, b string, missing string")
+    rows = spark.createDataFrame([(text,)], "j string").select(F.inline(documents.frame_rows(F.col("j"), schema))).collect()
+    assert [tuple(r) for r in rows] == [("0", 1, "x", None), ("1", 2, "y", None)]
