@@ -37,7 +37,7 @@ _MOMENTS = (
     "round(quantile_cont({c}::DOUBLE, 0.25), 6) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50, "
     "round(quantile_cont({c}::DOUBLE, 0.75), 6) AS p75, max({c})::DOUBLE AS max"
 )
-_DESCRIBE = _each(NUMERIC, _MOMENTS + ", count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_unique", LINEITEM)
+_DESCRIBE = _each(NUMERIC, _MOMENTS + ", count(*) - count({c}) AS n_missing", LINEITEM)
 _COLUMNS = [*NUMERIC, "l_returnflag", "l_linestatus", "l_shipdate"]
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil, floor
+from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -50,17 +50,6 @@ def value_counts(df: DataFrame, columns: list[str], kind: T.DataType | None = No
     return _count(df, columns, [{"value": v.cast(kind) if kind else v} for v in values])
 
 
-def numeric_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, value, whole, n): value as double to order by, `whole` keeps integers apart beyond 2^53."""
-
-    def cell(name: str) -> dict:
-        value = without_nan(df, name)
-        whole = value if isinstance(df.schema[name].dataType, WHOLE) else F.lit(None)
-        return {"value": value.cast("double"), "whole": whole.cast("long")}
-
-    return _count(df, columns, [cell(name) for name in columns])
-
-
 @dataclass(frozen=True)
 class Block:
     block: int
@@ -157,29 +146,49 @@ def order_counts(counts: DataFrame, partitions: int | None = None) -> OrderedCou
     return OrderedCounts(values, blocks)
 
 
-def quantiles(ordered: OrderedCounts, probabilities: list[float]) -> DataFrame:
-    """Linearly interpolated quantiles: (column_name, p, quantile)."""
-    spots = []
-    for column in ordered.blocks:
-        for p in probabilities:
-            position = p * (ordered.total(column) - 1)
-            spots.append((column, float(p), floor(position), ceil(position), position - floor(position)))
-    ranks: dict[str, list[int]] = {}
-    for column, _, low, high, _ in spots:
-        ranks.setdefault(column, []).extend((low, high))
-    wanted = local_table(
-        ordered.values.sparkSession,
-        spots,
-        "column_name string, p double, low long, high long, fraction double",
-    )
-    rank, value = F.col("rank"), F.col("value").cast("double")
-    low = F.max(F.when(rank == F.col("low"), value))
-    high = F.max(F.when(rank == F.col("high"), value))
-    return (
-        ordered.at_ranks(ranks)
-        .join(F.broadcast(wanted), "column_name")
-        .where((rank == F.col("low")) | (rank == F.col("high")))
-        .groupBy("column_name", "p", "fraction")
-        .agg(low.alias("lo"), high.alias("hi"))
-        .select("column_name", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("fraction")).alias("quantile"))
-    )
+#: Ranks that the quantile sketch may be off by, as a share of the rows, is one over this.
+SKETCH_ACCURACY = 10_000
+
+
+def values_at_ranks(df: DataFrame, numbers: dict[str, Column], ranks: dict[str, list[int]], totals: dict[str, int]) -> dict[tuple[str, int], float]:
+    """Exact values at 0-based ascending ranks of some number columns, by (name, rank); a few per column reach the driver.
+
+    A sketch brackets each rank, a second scan counts what lies below the bracket
+    and puts in order only what lies inside, a few ten-thousandths of the rows. Should
+    a bracket miss its rank, that column is put in order whole.
+    """
+    names = [name for name in numbers if totals[name]]
+    wanted = [(name, rank) for name in names for rank in sorted(set(ranks[name]))]
+    if not wanted:
+        return {}
+    # Each value once more under a short name, so that it is computed before the sketches and counts.
+    plain = df.select(*[numbers[name].cast("double").alias(f"v{i}") for i, name in enumerate(names)])
+    place = {name: f"v{i}" for i, name in enumerate(names)}
+    slack = 2 / SKETCH_ACCURACY
+
+    def share(name: str, rank: int, off: float) -> float:
+        return min(1.0, max(0.0, rank / max(1, totals[name] - 1) + off))
+
+    shares = {name: [share(name, rank, off) for rank in sorted(set(ranks[name])) for off in (-slack, slack)] for name in names}
+    found = plain.agg(*[F.percentile_approx(place[name], shares[name], SKETCH_ACCURACY).alias(place[name]) for name in names]).first()
+    brackets = {}
+    for name in names:
+        for i, rank in enumerate(sorted(set(ranks[name]))):
+            brackets[name, rank] = found[place[name]][2 * i], found[place[name]][2 * i + 1]
+    counts = plain.agg(*[
+        F.count(F.when(F.col(place[name]) < brackets[name, rank][0] if below else F.col(place[name]) <= brackets[name, rank][1], True)).alias(f"{kind}{i}")
+        for i, (name, rank) in enumerate(wanted) for kind, below in (("below", True), ("upto", False))
+    ]).first()
+    held = [i for i, (_, rank) in enumerate(wanted) if counts[f"below{i}"] <= rank < counts[f"upto{i}"]]
+    bands = [F.when(F.col(place[wanted[i][0]]).between(*brackets[wanted[i]]), F.col(place[wanted[i][0]])).alias(str(i)) for i in held]
+    out: dict[tuple[str, int], float] = {}
+    if held:
+        ordered = order_counts(value_counts(plain.select(*bands), [str(i) for i in held]))
+        for row in ordered.at_ranks({str(i): [wanted[i][1] - counts[f"below{i}"]] for i in held}).collect():
+            out[wanted[int(row.column_name)]] = row.value
+    missed = {wanted[i][0] for i in range(len(wanted)) if i not in held}
+    if missed:
+        whole = order_counts(value_counts(plain.select(*[F.col(place[name]).alias(place[name]) for name in missed]), [place[name] for name in missed]))
+        for row in whole.at_ranks({place[name]: [r for n, r in wanted if n == name] for name in missed}).collect():
+            out[names[int(row.column_name[1:])], row.rank] = row.value
+    return out

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.local import local_table
-from tallyloom.operators.ordering import WHOLE, numeric_counts, order_counts, quantiles, value_counts, without_nan
+from tallyloom.operators.ordering import WHOLE, value_counts, values_at_ranks, without_nan
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -109,35 +110,32 @@ def all_columns(measured: DataFrame, columns: list[str], defaults: dict) -> Data
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles, max, missing and distinct per numeric column.
+    """Count, mean, std, min, quartiles, max and missing per numeric column.
 
-    The columns are read and shuffled once, as counted distinct values; every
-    figure comes from those. The driver holds one row per column and block.
+    One aggregation for the moments, then exact quartiles between bracketed ranks:
+    no column is shuffled. The driver holds a few numbers per column.
     """
     columns = columns or numeric_columns(df)
-    spark, n_rows = df.sparkSession, df.count()
-    ordered = order_counts(numeric_counts(df, columns))
-    facts = [
-        (c, ordered.total(c), ordered.mean(c) if ordered.total(c) else None, *ordered.bounds(c), n_rows - ordered.total(c), ordered.distinct(c))
+    numbers = {c: without_nan(df, c).cast("double") for c in columns}
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(F.count("*").alias("rows"), *[f(v).alias(f"{m}_{i}") for i, v in enumerate(numbers.values()) for m, f in measures.items()]).first()
+    facts = {c: {m: row[f"{m}_{i}"] for m in measures} for i, c in enumerate(columns)}
+    totals = {c: facts[c]["count"] for c in columns}
+    spots = {c: [p * (totals[c] - 1) for p in QUARTILES] for c in columns if totals[c]}
+    found = values_at_ranks(df, numbers, {c: [r for spot in own for r in (floor(spot), ceil(spot))] for c, own in spots.items()}, totals)
+
+    def quartile(c: str, k: int) -> float | None:
+        if c not in spots:
+            return None
+        low, high = found[c, floor(spots[c][k])], found[c, ceil(spots[c][k])]
+        return low + (high - low) * (spots[c][k] - floor(spots[c][k]))
+
+    lines = [
+        (c, totals[c], *(facts[c][m] for m in ("mean", "std", "min")), *(quartile(c, k) for k in range(len(QUARTILES))), facts[c]["max"], row["rows"] - totals[c])
         for c in columns
     ]
-    known = local_table(
-        spark, facts, "column_name string, count long, mean double, min double, max double, n_missing long, n_unique long"
-    )
-    off = F.col("value") - F.col("mean")
-    squares = (
-        ordered.values.join(F.broadcast(known), "column_name")
-        .groupBy("column_name")
-        .agg(F.sum(F.col("n") * off * off).alias("squares"))
-    )
-    at = {f"p{int(p * 100)}": F.max(F.when(F.col("p") == p, F.col("quantile"))) for p in QUARTILES}
-    quartiles = quantiles(ordered, QUARTILES).groupBy("column_name").agg(*[c.alias(a) for a, c in at.items()])
-    return (
-        known.join(F.broadcast(squares), "column_name", "left")
-        .join(F.broadcast(quartiles), "column_name", "left")
-        .withColumn("std", F.sqrt(F.try_divide("squares", F.col("count") - 1)))
-        .select("column_name", "count", "mean", "std", "min", *at, "max", "n_missing", "n_unique")
-    )
+    at = ", ".join(f"p{int(p * 100)} double" for p in QUARTILES)
+    return local_table(df.sparkSession, lines, f"column_name string, count long, mean double, std double, min double, {at}, max double, n_missing long")
 
 
 def top_values(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyloom.functions.text import python_float
-from tallyloom.operators.ordering import order_counts, value_counts
+from tallyloom.operators.ordering import values_at_ranks
 
 
 def top_n(df: DataFrame, order_by: list[Column], n: int) -> DataFrame:
@@ -39,29 +39,20 @@ def latest_per_key(df: DataFrame, keys: list[str], by: list[Column]) -> DataFram
 def top_decile_mean(df: DataFrame, score: Column) -> DataFrame:
     """Mean of the highest tenth of the scores (at least one); 0.0 when there is none.
 
-    The cut is found as an exact order statistic. Values above it are summed
-    with map-side combining and the cut value fills what is left of the tenth,
-    so no task ever sees the sorted table.
+    The cut is an exact order statistic between bracketed ranks. Scores above it are
+    summed in a scan and the cut fills what is left of the tenth, so the scores are
+    neither sorted nor shuffled.
     """
-    scores = df.select(score.cast("double").alias("score"))
-    ordered = order_counts(value_counts(scores, ["score"]))
-    total = ordered.total("score")
+    value = score.cast("double")
+    scores = df.select(F.when(~F.isnan(value), value).alias("score")).where(F.col("score").isNotNull())
+    total = scores.count()
     if not total:
         return df.sparkSession.range(1).select(F.lit(0.0).alias("top_decile_mean"), F.lit(0).cast("long").alias("n_scores"))
     k = max(1, total // 10)
-    cut = ordered.at_ranks({"score": [total - k]}).select("column_name", F.col("value").alias("cut"))
-    above = F.col("value") > F.col("cut")
-    summed = (
-        ordered.values.join(F.broadcast(cut), "column_name")
-        .where(F.col("value") >= F.col("cut"))
-        .groupBy("cut")
-        .agg(
-            F.coalesce(F.sum(F.when(above, F.col("value") * F.col("n"))), F.lit(0.0)).alias("sum_above"),
-            F.coalesce(F.sum(F.when(above, F.col("n"))), F.lit(0)).alias("n_above"),
-        )
-    )
-    filled = F.col("sum_above") + (F.lit(k) - F.col("n_above")) * F.col("cut")
-    return summed.select((filled / F.lit(k)).alias("top_decile_mean"), F.lit(total).cast("long").alias("n_scores"))
+    cut = values_at_ranks(scores, {"score": F.col("score")}, {"score": [total - k]}, {"score": total})["score", total - k]
+    above = F.col("score") > cut
+    filled = F.coalesce(F.sum(F.when(above, F.col("score"))), F.lit(0.0)) + (F.lit(k) - F.count(F.when(above, 1))) * F.lit(cut)
+    return scores.agg((filled / F.lit(k)).alias("top_decile_mean"), F.lit(total).cast("long").alias("n_scores"))
 
 
 def text_scores(df: DataFrame, score: str) -> DataFrame:

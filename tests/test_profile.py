@@ -102,13 +102,13 @@ def test_published_invariant():
 def test_integers_beyond_double_precision_stay_apart(spark):
     big = 2**53
     df = spark.createDataFrame([(big,), (big + 1,), (big + 2,)], "v long")
-    assert profile.describe(df).first().n_unique == 3
+    assert profile.distinct_counts(df).first().n_unique == 3
 
 
 def test_all_missing_column(spark):
     df = spark.createDataFrame([(None, 1.0), (float("nan"), 2.0)], "v double, w double")
     rows = by_column(profile.describe(df))
-    assert (rows["v"]["count"], rows["v"].n_unique, rows["v"].n_missing, rows["v"].p50) == (0, 0, 2, None)
+    assert (rows["v"]["count"], rows["v"].n_missing, rows["v"].p50) == (0, 2, None)
     assert rows["w"].p50 == 1.5
     assert by_column(profile.describe_all(df))["v"]["mean"] is None
 
@@ -152,9 +152,14 @@ def test_head_markdown(spark):
     assert dataset_report.head_markdown(df, ["a"]).split("\n")[2:] == ["| 0 | 1 | x |", "| 1 | 2 | nan |"]
 
 
-def test_quantile_positions(spark):
-    values = np.arange(11) ** 2.0
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    ordered = ordering.order_counts(ordering.value_counts(df, ["v"]))
-    found = {r.p: r.quantile for r in ordering.quantiles(ordered, [0.0, 0.13, 0.5, 1.0]).collect()}
-    assert all(math.isclose(found[p], np.quantile(values, p)) for p in found) and len(found) == 4
+@pytest.mark.parametrize("accuracy", [10_000, 3])
+def test_ranks_of_columns(spark, monkeypatch, accuracy):
+    """Exact with a fine sketch, and with one so coarse that brackets are wide or miss."""
+    monkeypatch.setattr(ordering, "SKETCH_ACCURACY", accuracy)
+    random.seed(accuracy)
+    a = [random.choice([1.0, 2.0, random.random() * 50]) for _ in range(700)]
+    df = spark.createDataFrame([(x, int(x) if x > 2 else None) for x in a], "a double, b int")
+    b = [int(x) for x in a if x > 2]
+    ranks = {"a": [0, 1, 350, 698, 699], "b": [0, len(b) // 3, len(b) - 1], "c": [0]}
+    found = ordering.values_at_ranks(df, {"a": F.col("a"), "b": F.col("b"), "c": F.lit(None).cast("int")}, ranks, {"a": 700, "b": len(b), "c": 0})
+    assert found == {**{("a", r): sorted(a)[r] for r in ranks["a"]}, **{("b", r): float(sorted(b)[r]) for r in ranks["b"]}}
