@@ -109,6 +109,9 @@ def test_sieve_loses_nothing(spark):
     some, none = Sieve(keys, F.col("k")).split(rows, F.xxhash64("id"))
     kept, left = {r.id for r in some.collect()}, {r.id for r in none.collect()}
     assert kept >= set(range(0, 5000, 7)) and not kept & left and len(kept) + len(left) == 5000
+    pairs = rows.select("id", F.array(F.xxhash64("id"), F.xxhash64(F.col("id") + 1)).alias("both"))
+    found = {r.id for r in Sieve(keys, F.col("k")).with_any(pairs, F.col("both")).collect()}
+    assert found >= {i for i in range(5000) if i % 7 == 0 or (i + 1) % 7 == 0 and i < 4999} and len(found) < 1600
     some, none = Sieve(keys.limit(0), F.col("k")).split(rows, F.xxhash64("id"))
     assert some.count() == 0 and none.count() == 5000
 
