@@ -1,6 +1,7 @@
 """Personal data in texts, with built-in functions only.
 
-A pattern proposes spans of each kind, leftmost and without overlap inside the kind;
+A pattern proposes spans of each kind, leftmost and without overlap inside the kind (of
+an account number where it begins; its end follows from its country and check);
 a validator (number ranges, Luhn, mod-97, digit counts) confirms them or drops them;
 words in the text before a span raise its score. Spans are code points, end
 exclusive, of the whole text.
@@ -32,6 +33,9 @@ class Kind:
     valid: Callable[[Column], Column]
     score: float
     context: str
+    #: For a pattern that gives only where a span begins: the code points to look at from there, and the length of the span in them, null if it is none.
+    ahead: int = 0
+    length: Callable[[Column], Column] | None = None
 
 
 def _only(m: Column, drop: str) -> Column:
@@ -63,6 +67,28 @@ def _mod97(m: Column) -> Column:
     return size.between(15, 34) & (F.aggregate(F.sequence(F.lit(1), size), F.lit(0), step) == 1)
 
 
+#: Length of an account number by country, of those in the registry.
+_IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: An account number of 34 characters with a space after each but the last, and the character that ends it.
+_IBAN_AHEAD = 68
+
+
+def _iban_length(seen: Column) -> Column:
+    """Of the ends that no letter or digit follows and that pass the check: the one of the country's length, or else the last."""
+    run = F.regexp_extract(seen, r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){0,30}+", 0)
+    ends = F.sequence(F.length(run), F.lit(15), F.lit(-1))
+    until = lambda e: F.substring(seen, F.lit(1), e)
+    closed = lambda e: ~F.substring(seen, e + 1, F.lit(1)).rlike("[A-Za-z0-9]") & (F.substring(seen, e, F.lit(1)) != " ")
+    valid = F.filter(F.filter(ends, closed), lambda e: _mod97(until(e)))
+    sizes = F.create_map(*(F.lit(x) for size, names in _IBAN_SIZES.items() for name in names.split() for x in (name, size)))
+    own = F.filter(valid, lambda e: F.length(_only(until(e), " ")) == F.element_at(sizes, F.substring(seen, 1, 2)))
+    return F.when(F.length(run) >= 15, F.coalesce(F.get(own, F.lit(0)), F.get(valid, F.lit(0))))
+
+
 def _parts_to_255(m: Column) -> Column:
     return ~F.exists(F.split(m, r"\."), lambda part: F.length(F.ltrim(part, F.lit("0"))).between(4, 1 << 30) | (F.length(F.ltrim(part, F.lit("0"))).between(1, 3) & (F.ltrim(part, F.lit("0")).cast("int") > 255)))
 
@@ -88,8 +114,8 @@ KINDS = [
         lambda t: t.contains("+"), lambda m: F.length(_only(m, "[^0-9]")).between(10, 15), 0.6, r"(?i)(?:phone|call|tel|mobil|fax)",
     ),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-        lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), _mod97, 0.9, r"(?i)(?:iban|account|bank|konto|cuenta|compte)",
+        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})",
+        lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), _ALWAYS, 0.9, r"(?i)(?:iban|account|bank|konto|cuenta|compte)", _IBAN_AHEAD, _iban_length,
     ),
     Kind(
         "key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
@@ -111,13 +137,18 @@ def _proposed(rank: int, kind: Kind) -> Column:
     def add(state: Column, i: Column) -> Column:
         match, gap = F.get(found, i), F.get(between, i)
         start = state["at"] + F.length(gap)
-        end = start + F.length(match)
+        after = start + F.length(match)
+        end, valid = after, kind.valid(match)
+        if kind.length:
+            end = start + kind.length(F.substring(F.col("t"), start + 1, F.lit(kind.ahead)))
+            # What begins inside a span is no span of its own.
+            valid = (start >= state["until"]) & end.isNotNull()
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(F.right(gap, F.lit(CONTEXT)).rlike(kind.context), 0.2).otherwise(0.0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
-        spans = F.when(kind.valid(match), F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        spans = F.when(valid, F.array_append(state["spans"], span)).otherwise(state["spans"])
+        return F.struct(after.alias("at"), F.when(valid, end).otherwise(state["until"]).alias("until"), spans.alias("spans"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("until"), F.array().cast(_SPAN).alias("spans"))
     counted = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, add, lambda state: state["spans"])
     return F.when(F.size(found) > 0, counted).otherwise(F.array().cast(_SPAN))
 

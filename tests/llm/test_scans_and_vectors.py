@@ -57,6 +57,19 @@ def test_personal_data(spark):
     assert personal_data.personal_data(df.limit(0)).count() == 0
 
 
+def spans_of(spark, texts, kind):
+    found = personal_data.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [[r.text[s.start : s.end] for s in r.spans if s.kind == kind] for r in sorted(found)]
+
+
+def test_account_numbers_before_capitals_and_digits(spark):
+    grouped, plain, french = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"
+    after = [" Please", " The", " BIC COBADEFFXXX", " 2 times", " 2024", "", ".", " é", " A1B2C3D4E5F6G7H8", " AB12", f" {french}"]
+    texts = [f"\U0001f600 IBAN {n}{x}" for n in (grouped, plain) for x in after] + [f"AB12 CDEF GHIJ KLMN {plain} X", f"{plain}A", f"{plain}a", f"{grouped}1", "DE88 3704 0044 0532 0130 00 Please"]
+    expected = [[n, french] if french in x else [n] for n in (grouped, plain) for x in after] + [[plain], [], [], [], []]
+    assert spans_of(spark, texts, "iban") == expected
+
+
 def test_context_raises_the_score(spark):
     df = spark.createDataFrame([(1, "card 4111111111111111"), (2, "thing 4111111111111111")], "doc_id long, text string")
     scores = {r.doc_id: r.spans[0].score for r in personal_data.personal_data(df).collect()}
