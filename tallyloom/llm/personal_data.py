@@ -122,7 +122,7 @@ KINDS = [
         lambda t: t.contains("AKIA") | t.contains("ASIA"), _ALWAYS, 0.8, r"(?i)(?:key|aws|access|secret)",
     ),
     Kind(
-        "secret", r"(?i)(?<![a-z0-9])(?:password|passwd|api_key|apikey|secret|token)[=:][^\s,;]{8,200}+",
+        "secret", r"(?i)(?<![a-z0-9])(?:password|passwd|api_key|apikey|secret|token)[=:][^\s,;]{8,}+",
         lambda t: t.contains("=") | t.contains(":"), _ALWAYS, 0.6, r"(?i)(?:login|user|config|export)",
     ),
 ]

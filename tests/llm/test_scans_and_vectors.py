@@ -70,6 +70,12 @@ def test_account_numbers_before_capitals_and_digits(spark):
     assert spans_of(spark, texts, "iban") == expected
 
 
+def test_long_secrets_are_whole(spark):
+    long = "token=" + "eyJhbGciOi" * 100
+    huge = "secret:" + "0aZ_" * 50_000
+    assert spans_of(spark, [f"x {long}, y", f"{huge} {long};", "password=short"], "secret") == [[long], [huge, long], []]
+
+
 def test_context_raises_the_score(spark):
     df = spark.createDataFrame([(1, "card 4111111111111111"), (2, "thing 4111111111111111")], "doc_id long, text string")
     scores = {r.doc_id: r.spans[0].score for r in personal_data.personal_data(df).collect()}
