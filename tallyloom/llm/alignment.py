@@ -80,16 +80,26 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return edit_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
 
 
-def verifier(texts: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs (a, b) whose texts in a stored table (node, text) have at least this edit similarity, counted in words."""
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """The words of each text as hashes."""
+    t = Texts(texts)
+    t.words()
+    hashes = t.hashes(t.start, t.end)
+    return [hashes[t.word_at[i] : t.word_at[i + 1]] for i in range(len(t))]
+
+
+def characters(texts: pa.Array) -> list[np.ndarray]:
+    """The code points of each text."""
+    return [np.frombuffer((text or "").encode("utf-32-le"), np.uint32) for text in texts.to_pylist()]
+
+
+def verifier(texts: DataFrame, least: float, items: Callable[[pa.Array], list[np.ndarray]] = words_of) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (a, b) whose texts in a stored table (node, text) have at least this edit similarity, counted in words or other items."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a"):
-                x, y = Texts(part.column("text_a")), Texts(part.column("text_b"))
-                x.words(), y.words()
-                hx, hy = x.hashes(x.start, x.end), y.hashes(y.start, y.end)
-                linked = [similar(hx[x.word_at[i] : x.word_at[i + 1]], hy[y.word_at[i] : y.word_at[i + 1]], least) for i in range(len(x))]
+                linked = [similar(x, y, least) for x, y in zip(items(part.column("text_a")), items(part.column("text_b")))]
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from tallyloom.llm import lines, mixture, near_duplicates, quality
+from tallyloom.llm import alignment, lines, mixture, near_duplicates, quality
+from tallyloom.llm.words import Texts
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,6 +115,26 @@ def test_near_copies_of_odd_rows(spark):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0 and near_duplicates.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_scattered_edits_meet_in_a_sketch(spark):
+    import random
+
+    r = random.Random(2)
+    pairs = []
+    for k in range(200):
+        a = [f"w{r.randrange(5000)}" for _ in range(r.choice([50, 200, 600]))]
+        b = list(a)
+        for i in r.sample(range(len(a)), len(a) // 5):
+            b[i] = f"x{r.randrange(5000)}"
+        pairs.append((" ".join(a), " ".join(b)))
+    assert all(alignment.similar(*alignment.words_of(pa.array(p)), 0.8) for p in pairs)
+    found = near_duplicates.sketches(Texts(pa.array([t for p in pairs for t in p])))
+    assert sum(bool((found[2 * i] == found[2 * i + 1]).any()) for i in range(200)) >= 0.9 * 200
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs[:60]) for j, t in enumerate(p)], "doc_id long, text string")
+    group = {r.doc_id: r.group_id for r in near_duplicates.near_duplicates(docs).collect()}
+    assert sum(group[2 * i] == group[2 * i + 1] for i in range(60)) >= 0.9 * 60
+    assert len(set(group.values())) >= 60
+
+
 def test_hot_group_of_near_copies(spark):
     base = prose(4, 200).split()
     rows = [(i, " ".join(base[: i % 190] + [f"new{i}"] + base[i % 190 + 1 :])) for i in range(300)] + [(1000 + i, prose(50 + i, 200)) for i in range(20)]
