@@ -228,3 +228,39 @@ def test_mixed_documents_repeat_by_pass(spark, documents):
     mixed = mixture.mixed_documents(documents)
     assert mixed.columns == documents.columns
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: n for i, n in uses.items() if n})
+
+
+def changed_lines(kind, n, seed):
+    """Pairs of lines at about the least similarity: words replaced, one word added, or letters changed here and there."""
+    import random
+
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("etaoinsrhldcumfpgwyb") for _ in range(r.randint(3, 8)))
+    pairs = []
+    while len(pairs) < n:
+        if kind == "short":
+            a = " ".join(word() for _ in range(r.randint(2, 8)))
+        else:
+            a = " ".join(word() for _ in range({"words": 20, "many words": 50, "added": 10, "letters": 20, "few letters": 20}[kind]))
+        b = a.split() if "words" in kind or kind == "added" else list(a)
+        if "words" in kind:
+            for i in r.sample(range(len(b)), len(b) // 10):
+                b[i] = word()
+        elif kind == "added":
+            b.insert(r.randint(0, 10), word())
+        else:
+            for i in r.sample([i for i, c in enumerate(b) if c != " "], {"short": 1, "letters": len(a) // 10, "few letters": len(a) // 20}[kind]):
+                b[i] = "z"
+        b = (" " if "words" in kind or kind == "added" else "").join(b)
+        x, y = alignment.characters(pa.array([a, b]))
+        if a != b and alignment.similar(x, y, 0.9):
+            pairs.append((a, b))
+    return pairs
+
+
+@pytest.mark.parametrize("kind", ["words", "many words", "added", "short", "letters", "few letters"])
+def test_similar_lines_meet_in_a_bucket(kind):
+    pairs = changed_lines(kind, 400, 3)
+    keys = lines._line_rows(Texts(pa.array([line for pair in pairs for line in pair])))[-1]
+    met = sum(bool(set(keys[2 * i].tolist()) & set(keys[2 * i + 1].tolist())) for i in range(len(pairs)))
+    assert met >= 0.9 * len(pairs), met
