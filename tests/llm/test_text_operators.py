@@ -264,3 +264,12 @@ def test_similar_lines_meet_in_a_bucket(kind):
     keys = lines._line_rows(Texts(pa.array([line for pair in pairs for line in pair])))[-1]
     met = sum(bool(set(keys[2 * i].tolist()) & set(keys[2 * i + 1].tolist())) for i in range(len(pairs)))
     assert met >= 0.9 * len(pairs), met
+
+
+def test_short_lines_and_single_letters_are_linked(spark):
+    shown = ["Home | Contact | Imprint", "Home | Contact | Imprimt", "Copyright 2023 by the authors", "Copyright 2024 by the authors", "Open from Monday", "Shut on Tuesdays", "größere Straße, später", "größere Strasse, später"]
+    pairs = changed_lines("words", 12, 5) + changed_lines("added", 6, 7) + changed_lines("short", 12, 9)
+    rows = [(i, line) for i, line in enumerate(shown)] + [(100 + i, line) for i, line in enumerate(x for pair in pairs for x in pair)]
+    found = {r.doc_id: r.lines_dropped_ for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(8)] == [0, 1, 0, 1, 0, 0, 0, 1]
+    assert sum(found[100 + 2 * i + 1] for i in range(len(pairs))) >= 0.9 * len(pairs) and not any(found[100 + 2 * i] for i in range(len(pairs)))
