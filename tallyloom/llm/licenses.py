@@ -1,10 +1,10 @@
 """License scan by a positional index of rare words, with built-in functions only.
 
 Templates are short passages of licences. How rare each of their words is, is counted
-over all documents. The rarest words of a template are its postings: where a file has
-the rarest one, the template would have to stand at that place less the word's own
-place in it, so the next rarest must stand at its relative position too. At the
-places that remain, the template's mandatory key phrase is verified word by word, and
+over all documents. The rarest word of a template's mandatory key phrase is its
+posting: a file without it has no key phrase, and where a file has it, the template
+would have to stand at that place less the word's own place in it. At each such place
+the key phrase is verified word by word, and
 the share of the template's words that stand at their places, weighted by rarity, is
 the score.
 
@@ -21,8 +21,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words by whose relative position a place is found.
-ANCHORS = 2
 #: Least score of a template beyond its key phrase.
 LEAST = 0.6
 _WORDLESS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -84,26 +82,24 @@ def rarity(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1e-9 for w in VOCABULARY}
 
 
-def _anchors(template: Template, rare: dict[str, float]) -> list[tuple[str, int]]:
-    """The rarest words that the template has once, with their places in it."""
-    once = [(w, i) for i, w in enumerate(template.words) if template.words.count(w) == 1]
-    return sorted(once, key=lambda x: (-rare[x[0]], x[1]))[:ANCHORS]
+def _rarest_first(template: Template, rare: dict[str, float]) -> list[tuple[str, int]]:
+    """The words of the key phrase with their places in it. The first one leads to every place where the phrase stands."""
+    return sorted(((w, i) for i, w in enumerate(template.key)), key=lambda x: (-rare[x[0]], x[1]))
 
 
 def _places(template: Template, rare: dict[str, float]) -> Column:
-    """(label, start, score, base) of the places in `w` where the anchors stand and the key phrase is verified; `hits` has the words that are anchors."""
-    (first, at), *others = _anchors(template, rare)
-    starts = F.transform(F.filter("hits", lambda h: h["word"] == first), lambda h: h["at"] - F.lit(at))
+    """(label, start, score, base) of the places in `w` where the key phrase is verified; `hits` has the words that are anchors."""
+    key = _rarest_first(template, rare)
+    first, at = key[0]
+    starts = F.transform(F.filter("hits", lambda h: h["word"] == first), lambda h: h["at"] - F.lit(template.key_at + at))
     word_at = lambda start, i: F.get(F.col("w"), start + F.lit(i))
 
     def stands(start: Column) -> Column:
         # The base takes a phrase wherever it stands; a longer passage may begin before the text does.
         begin = start + F.lit(template.key_at)
         found = begin >= 0
-        for word, place in others:
-            found &= F.coalesce(word_at(start, place) == word, F.lit(False)) if template.key_at <= place < template.key_at + len(template.key) else F.lit(True)
-        for i, word in enumerate(template.key):
-            found &= F.coalesce(word_at(begin, i) == word, F.lit(False))
+        for word, place in key[1:]:
+            found &= F.coalesce(word_at(begin, place) == word, F.lit(False))
         return found
 
     total = sum(rare[w] for w in template.words)
@@ -118,7 +114,7 @@ def _places(template: Template, rare: dict[str, float]) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score and `places` (label, start of the key phrase, score)."""
     rare = rarity(docs, text)
-    anchors = sorted({w for t in TEMPLATES for w, _ in _anchors(t, rare)})
+    anchors = sorted({_rarest_first(t, rare)[0][0] for t in TEMPLATES})
     results = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
     names = [c for c in docs.columns if c not in results]
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), words(F.col(text)).alias("w"))

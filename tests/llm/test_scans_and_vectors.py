@@ -115,6 +115,20 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_passages_without_their_rarest_word(spark):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person acquiring a copy of this software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this",
+        "free and unencumbered software released into the public domain", "permission is hereby granted", "",
+    ]
+    scanned = lambda rows: [r.labels for r in sorted(licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect())]
+    expected = ["mit", "mit", "unlicense", "", ""]
+    assert scanned(texts) == expected
+    # Another document with the word that the first one lacks takes no label away.
+    assert scanned([*texts, "obtaining"])[:5] == expected
+    assert scanned(texts[:1] + [""] * 9)[0] == "mit"
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>if (a < b) "</p>"</script></head><body><nav><ul><li><a href=/x>Menu</a></ul></nav>'
     "<!-- <p>gone</p> --><article><h1>Big &amp; bold</h1><p>One <b>t</b>wo<br>three&nbsp;four<p>Five &lt; six < 7 &copy;<ul><li>item<li>next</ul></article><div class='ad'>Buy</div><footer>End"
