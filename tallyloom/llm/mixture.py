@@ -4,7 +4,9 @@ Sources get shares of the words to take. The points of the golden-ratio sequence
 mapped through the cumulative shares, say which source fills each slot, so that
 every stretch of the schedule holds the sources in nearly their shares. A source's
 documents stand in a shuffled order, twice over, cut into blocks of equally many
-words; the source's n-th slot takes its n-th block.
+words; the source's n-th slot takes its n-th block. The schedule is settled at its end:
+each source has the blocks of its target, rounded to words and one at least, and no
+more, and of its last block only the words still due.
 
 Defined cases: a null or blank text has no words and is never taken. Null is a
 source, the last one. Rows are mixed row by row; rows equal in doc_id and text are
@@ -79,6 +81,19 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", F.col("source_number").alias("number"), F.col("number").alias("block"))
 
 
+def settled(order: DataFrame, shares: DataFrame, block: int) -> DataFrame:
+    """(number, block, due): the blocks of each source in `order` up to its target, those that the schedule left out added, and how many words of each are taken."""
+    due = F.least(F.greatest(F.round("target"), F.lit(1.0)).cast("long"), PASSES * F.col("source_size"))
+    given = order.groupBy(F.col("number").alias("g_number")).agg(F.count("*").alias("given"))
+    goals = shares.where("target > 0").select("number", due.alias("goal")).withColumn("blocks", F.expr(f"(goal + {block - 1}) div {block}"))
+    goals = materialize(goals.join(given, F.col("number") == F.col("g_number"), "left").select("number", "goal", "blocks", F.coalesce("given", F.lit(0)).alias("given")), "goals")
+    words = F.least(F.lit(block), F.col("goal") - F.col("block") * block).alias("due")
+    on = goals.select(F.col("number").alias("o_number"), "goal", "blocks")
+    taken = order.join(on, F.col("number") == F.col("o_number")).where("block < blocks").select("number", "block", words)
+    added = goals.where("given < blocks").withColumn("block", F.explode(F.sequence("given", F.col("blocks") - 1))).select("number", "block", words)
+    return taken.union(added)
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, print (hash of the text), size, source, source_size, target, taken, uses (passes that take some of its words)."""
     rows = docs.select(
@@ -101,13 +116,13 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     passes = placed.where("size > 0").select("source_number", "number", "size", F.explode(starts).alias("start"))
     cut = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
     pieces = passes.withColumn("block", F.explode(cut))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    words = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("due")) - F.greatest(F.col("start"), F.col("block") * block)
     order = schedule(shares, slots) if slots else None
     if order is None:
         return placed.select("id", "print", "size", "source", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("uses")).withColumnRenamed("id", id_column)
-    order = order.select(F.col("number").alias("o_source"), F.col("block").alias("o_block"))
-    took = pieces.join(order, (F.col("source_number") == F.col("o_source")) & (F.col("block") == F.col("o_block")))
-    took = took.groupBy(F.col("source_number").alias("t_source"), F.col("number").alias("t_number")).agg(F.sum(words).alias("taken"), F.countDistinct("start").alias("uses"))
+    order = settled(order, shares, block).select(F.col("number").alias("o_source"), F.col("block").alias("o_block"), "due")
+    took = pieces.join(order, (F.col("source_number") == F.col("o_source")) & (F.col("block") == F.col("o_block"))).withColumn("words", words).where("words > 0")
+    took = took.groupBy(F.col("source_number").alias("t_source"), F.col("number").alias("t_number")).agg(F.sum("words").alias("taken"), F.countDistinct("start").alias("uses"))
     found = placed.join(took, (F.col("source_number") == F.col("t_source")) & (F.col("number") == F.col("t_number")), "left")
     return found.select(
         F.col("id").alias(id_column), "print", "size", "source", "source_size", "target",

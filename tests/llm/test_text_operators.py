@@ -204,6 +204,19 @@ def test_mix(spark, documents, monkeypatch, slots):
     assert sorted(map(str, found)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("slots", [mixture.SLOTS, 500, 7, 1])
+def test_each_source_gets_its_target(spark, documents, monkeypatch, slots):
+    monkeypatch.setattr(mixture, "SLOTS", slots)
+    docs = documents.union(spark.createDataFrame([(90_000 + i, f"tiny {i}", "en", f"t{i}", 1) for i in range(9)], DOCS))
+    taken, target = defaultdict(int), {}
+    for r in mixture.mix(docs).collect():
+        assert (r.uses > 0) == (r.taken > 0)
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert taken == {s: round(t) or 1 for s, t in target.items()}
+    assert {f"t{i}" for i in range(9)} <= {r.source for r in mixture.mixed_documents(docs).select("source").collect()}
+
+
 def test_schedule_keeps_shares_in_every_stretch(spark):
     shares = spark.createDataFrame([(0, 50.0), (1, 30.0), (2, 20.0), (3, 0.0)], "number long, target double")
     rows = sorted(mixture.schedule(shares, 1000).collect())
