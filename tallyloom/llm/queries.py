@@ -112,3 +112,59 @@ def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     from tallyloom.llm.html_extraction import extract
 
     return extract(_table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, folder, "conversations"))
+
+
+SQL["op12_prefix_trie"] = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, CAST(c AS VARCHAR) AS s FROM turns GROUP BY c
+), crc(c, i, bit, r) AS (
+  SELECT c, 1, 0, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL
+  SELECT c, CASE WHEN bit = 8 THEN i + 1 ELSE i END, (bit + 1) % 9,
+         CASE WHEN bit = 0 THEN xor(r, CAST(ascii(substr(s, i, 1)) AS BIGINT))
+              ELSE xor(r // 2, CASE WHEN r % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END) END
+  FROM crc JOIN ids USING (c) WHERE i <= length(s)
+), heads AS (
+  SELECT c, xor(max_by(r, i * 10 + bit), CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc GROUP BY c
+), rebuilt AS (
+  SELECT heads.c, pos, role, text FROM heads JOIN turns ON turns.c = heads.c - heads.c % 5 WHERE pos < h
+  UNION ALL
+  SELECT heads.c, pos + 1000000, role, text FROM heads JOIN turns ON turns.c = heads.c WHERE pos >= h
+), whole AS (
+  SELECT heads.c, coalesce(list({'role': role, 'text': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS turns
+  FROM heads LEFT JOIN rebuilt USING (c) GROUP BY heads.c
+), starts AS (
+  SELECT c, len(turns) AS size, d AS depth, turns[1:d] AS prefix, CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS n_bytes
+  FROM whole, unnest(range(0, len(turns) + 1)) AS depths(d)
+), nodes AS (
+  SELECT depth, min(c) AS node, count(*) AS n_convs, any_value(n_bytes) AS n_bytes, prefix,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = depth), '')) AS ends_sha256
+  FROM starts GROUP BY depth, prefix
+), above AS (
+  SELECT low.depth AS low_depth, low.node AS low_node, high.depth, high.node
+  FROM nodes AS low JOIN starts ON starts.c = low.node AND starts.depth <= low.depth
+  JOIN nodes AS high ON high.depth = starts.depth AND high.prefix = starts.prefix
+), children AS (
+  SELECT depth, node, count(*) AS n_children FROM above WHERE low_depth = depth + 1 GROUP BY depth, node
+), totals AS (
+  SELECT above.depth, above.node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * n_bytes) AS saved_tokens
+  FROM above JOIN nodes ON nodes.depth = low_depth AND nodes.node = low_node
+  LEFT JOIN children ON children.depth = low_depth AND children.node = low_node
+  GROUP BY above.depth, above.node
+)
+SELECT nodes.node AS conv_id, nodes.depth, parents.node AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes JOIN totals USING (depth, node) LEFT JOIN children USING (depth, node)
+LEFT JOIN above AS parents ON parents.low_depth = nodes.depth AND parents.low_node = nodes.node AND parents.depth = nodes.depth - 1
+"""
