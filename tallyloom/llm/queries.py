@@ -168,3 +168,33 @@ SELECT nodes.node AS conv_id, nodes.depth, parents.node AS parent_conv_id, n_con
 FROM nodes JOIN totals USING (depth, node) LEFT JOIN children USING (depth, node)
 LEFT JOIN above AS parents ON parents.low_depth = nodes.depth AND parents.low_node = nodes.node AND parents.depth = nodes.depth - 1
 """
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.hard_negatives import hard_negatives
+
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings").withColumn("label", shifted), F.col("id") % 50 == 0)
+
+
+SQL["op11_hard_negatives"] = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors AS a JOIN vectors AS b ON a.vec_id != b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor AS anchor_id, p.other AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives AS p JOIN scores AS n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
