@@ -198,3 +198,34 @@ SELECT p.anchor AS anchor_id, p.other AS positive_id,
 FROM positives AS p JOIN scores AS n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
 QUALIFY rank <= 3
 """
+
+
+@_query
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.llm.suffixes import without_repeats
+
+    found = without_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op13_suffix_dedup"] = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS d FROM documents
+), strings AS (
+  SELECT d, p, md5(substr(h, 2 * p + 1, 200)) AS s FROM docs, unnest(range(0, length(h) // 2 - 99)) AS places(p)
+), later AS (
+  SELECT d, p FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, p) > 1
+), opened AS (
+  SELECT d, p, CASE WHEN p <= lag(p) OVER (PARTITION BY d ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM later
+), spans AS (
+  SELECT d, min(p) AS a, max(p) + 100 AS b FROM (SELECT d, p, sum(opens) OVER (PARTITION BY d ORDER BY p) AS span FROM opened) GROUP BY d, span
+), parts AS (
+  SELECT d, a, b, lag(b, 1, 0) OVER (PARTITION BY d ORDER BY a) AS before FROM spans
+), kept AS (
+  SELECT d, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM parts JOIN docs USING (d) GROUP BY d
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (d)
+"""
