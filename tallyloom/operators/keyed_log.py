@@ -93,9 +93,9 @@ def _json_equals(parsed: Column, path: str, value: object) -> Column:
     return F.to_json(found) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
 
 
-def metadata_equals(metadata: Column, wanted: dict[str, object]) -> Column:
-    """Every named field of a JSON text equals the given value; a dotted name reaches into nested objects."""
-    parsed = F.try_parse_json(metadata)
+def metadata_equals(metadata: Column, wanted: dict[str, object], parsed: bool = False) -> Column:
+    """Every named field of a JSON text, or of a variant if `parsed`, equals the given value; a dotted name reaches into nested objects."""
+    parsed = metadata if parsed else F.try_parse_json(metadata)
     return _all([F.coalesce(_json_equals(parsed, f"$.{key}", value), F.lit(False)) for key, value in wanted.items()])
 
 

@@ -54,6 +54,18 @@ def finished_batches(spark: SparkSession, folder: str) -> list[int]:
     return [int(name[len("batch="):]) for name in batches if files.exists(_hadoop(spark, f"{folder}/{name}/_SUCCESS")[1])]
 
 
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders in a folder; none if it isn't there."""
+    files, path = _hadoop(spark, folder)
+    return [status.getPath().getName() for status in files.listStatus(path) if status.isDirectory()] if files.exists(path) else []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    files, path = _hadoop(spark, folder)
+    files.delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables this application wrote below the scratch root. Frames read from them become unusable."""
     files, path = _hadoop(spark, f"{scratch_root(spark)}/tallyloom-{spark.sparkContext.applicationId}")
