@@ -5,10 +5,11 @@ earlier in the same one. The steps:
 
 1. Documents are put in order, cut into pieces with an overlap, and packed into blocks,
    which are stored in buckets so that answers meet their text without moving it.
-2. Two sieves leave out what needs no sorting, and lose nothing. Every string of WIDTH bytes has an
+2. Sieves leave out what needs no sorting, and lose nothing. Every string of WIDTH bytes has an
    anchor, the GRAM bytes in it with the smallest hash. Strings whose anchor stands nowhere else
    have no copy. Of the rest, stretches of strings with one anchor that are equal as a whole
-   are sorted once, where they first stand; in their later copies all strings start earlier.
+   are looked at once, where they first stand; in their later copies all strings start earlier. What is left
+   passes the first sieve again.
 3. What is left is sorted by the difference cover of 3. Letters are 4 bytes long and start at every
    byte. Positions whose letter number isn't divisible by 3 are the sample; their triples of letters
    are sorted and named. Names are the letters of the next level, with steps three times as wide.
@@ -38,15 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.kept import kept
 from tallyloom.scratch import materialize, new_path
 
-WIDTH, GRAM = 100, 32
+WIDTH, GRAM = 100, 64
 #: Bytes of a piece that are its own, bytes and pieces of a block.
 PIECE, BLOCK, BLOCK_ROWS = 1 << 20, 1 << 20, 1 << 14
 #: Bytes of a letter, and of the step from letter to letter at each level.
 LETTER, STEPS = 4, (4, 12, 36)
 #: Zero bytes that end each sorted stretch: what a triple of the last level may reach over.
-PAD = 108
+PAD = 72
 #: Items of a bucket.
 BUCKET = 1 << 19
 
@@ -82,24 +84,43 @@ def _unpack_all(raw: bytes) -> list[np.ndarray]:
     return [_unpack(raw[a:b]) for a, b in zip(at, at[1:])]
 
 
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number, and of its inverse, modulo 2^64."""
+    def made(size: int) -> tuple[np.ndarray, np.ndarray]:
+        both = (seed | 1, pow(seed | 1, -1, 1 << 64))
+        return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in both)
+
+    most = max(BLOCK, PIECE + WIDTH) + 1
+    return kept(("suffix powers", seed, most), lambda: made(most)) if n <= most else made(n)
+
+
 class Rolling:
     """Two 64-bit hashes of any ranges of some bytes."""
 
     def __init__(self, data: np.ndarray):
-        self.sums, self.inverse = [], []
-        codes = np.arange(256, dtype=np.uint64)
-        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            base, n = np.uint64(seed | 1), len(data) + 1
-            inverse = np.uint64(pow(seed | 1, -1, 1 << 64))
-            powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]))
-            self.inverse.append(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse)])))
-            sums = np.zeros(n, np.uint64)
-            np.cumsum(_mix(codes * np.uint64(seed) + np.uint64(seed >> 7))[data] * powers[:-1], out=sums[1:])
-            self.sums.append(sums)
+        self.data, self.sums = data, {}
+
+    def _sums(self, which: int) -> np.ndarray:
+        if which not in self.sums:
+            seed, n = SEEDS[which], len(self.data)
+            codes = _mix(np.arange(256, dtype=np.uint64) * np.uint64(seed) + np.uint64(seed >> 7))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(codes[self.data] * _powers(seed, n + 1)[0][:n], out=sums[1:])
+            self.sums[which] = sums
+        return self.sums[which]
 
     def of(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        sums = self.sums[which]
-        return _mix((sums[end] - sums[start]) * self.inverse[which][start] + (end - start).astype(np.uint64))
+        sums = self._sums(which)
+        return _mix((sums[end] - sums[start]) * _powers(SEEDS[which], len(sums))[1][start] + (end - start).astype(np.uint64))
+
+    def grams(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of a width, by start."""
+        sums = self._sums(0)
+        n = len(sums) - width
+        return _mix((sums[width:] - sums[:n]) * _powers(SEEDS[0], len(sums))[1][:n] + np.uint64(width))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -194,13 +215,13 @@ class Stretches:
         n = len(self.data) - WIDTH + 1
         if n <= 0:
             self.first = self.last = self.anchor = np.zeros(0, np.int64)
+            self.gram = np.zeros(0, np.uint64)
             return
         grams = len(self.data) - GRAM + 1
-        where = np.arange(grams)
-        gram = self.hashes.of(where, where + GRAM)
+        gram = self.hashes.grams(GRAM)
         # The smallest hash of WIDTH - GRAM + 1 grams, the first of equals; the place is kept in the low bits.
         low = np.uint64((1 << max(1, grams.bit_length())) - 1)
-        least, width, wanted = (gram & ~low) | where.astype(np.uint64), 1, WIDTH - GRAM + 1
+        least, width, wanted = (gram & ~low) | np.arange(grams, dtype=np.uint64), 1, WIDTH - GRAM + 1
         while width < wanted:
             shift = min(width, wanted - width)
             least = np.minimum(least[:-shift], least[shift:])
@@ -222,12 +243,8 @@ class Stretches:
         self.anchor = anchor[self.first]
         self.gram = gram[self.anchor]
 
-    def content(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(self.hashes.of(self.first, self.last + WIDTH, which) for which in (0, 1))
-
-
-def _of_block(row: dict) -> Stretches:
-    return Stretches(row["size"], row["own"], row["data"])
+    def content(self, chosen: np.ndarray) -> list[np.ndarray]:
+        return [self.hashes.of(self.first[chosen], self.last[chosen] + WIDTH, which) for which in (0, 1)]
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -260,48 +277,58 @@ def _map(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str = "
     return df.mapInArrow(run, schema)
 
 
-def _repeated_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Answers that say for each distinct anchor of a block, by hash, whether it stands elsewhere too."""
-
-    def send(row: dict) -> Iterator[tuple]:
-        s = _of_block(row)
-        _, first = np.unique(s.anchor, return_index=True)
-        gram, count = np.unique(s.gram[first] if len(first) else np.zeros(0, np.uint64), return_counts=True)
-        at = _bucket_of(gram, buckets)
-        # Within a bucket the high bits are settled; the low bit says that the block has it twice.
-        short = (_mix(gram) >> np.uint64(33)) << np.uint64(1) | (count > 1).astype(np.uint64)
-        for bucket, a, b in _cut(at, len(gram)):
-            yield row["block"], bucket, short[a:b].astype(np.uint32).tobytes()
+def _repeated(sent: DataFrame, label: str) -> DataFrame:
+    """Answers that say for each distinct hash of a block whether it stands elsewhere too."""
 
     def answer(parts: list[bytes]) -> list[bytes]:
         each = [np.frombuffer(p, np.uint32) for p in parts]
         all_ = np.concatenate(each)
-        key, place, count = np.unique(all_ >> 1, return_inverse=True, return_counts=True)
+        _, place, count = np.unique(all_ >> 1, return_inverse=True, return_counts=True)
         again = (count > 1)[place] | (all_ & 1).astype(bool)
         return [_flags(x) for x in np.split(again, np.cumsum([len(x) for x in each])[:-1])]
 
-    return _exchange(_map(blocks, send), answer, "anchors")
+    return _exchange(sent, answer, label)
+
+
+def _hashes_to_send(block: int, grams: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """The distinct hashes of a block. Within a bucket the high bits are settled; the low bit says that the block has it twice."""
+    gram, count = np.unique(grams, return_counts=True)
+    short = (_mix(gram) >> np.uint64(33)) << np.uint64(1) | (count > 1).astype(np.uint64)
+    for bucket, a, b in _cut(_bucket_of(gram, buckets), len(gram)):
+        yield block, bucket, short[a:b].astype(np.uint32).tobytes()
+
+
+def _answered(grams: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+    return _unflag(answers or [])[np.searchsorted(np.unique(grams), grams)] if len(grams) else np.zeros(0, bool)
 
 
-def _suspects(row: dict) -> tuple[Stretches, np.ndarray]:
-    """The stretches of a block, and which have an anchor that stands elsewhere too."""
-    s = _of_block(row)
-    if not len(s.first):
-        return s, np.zeros(0, bool)
-    flags = _unflag(row["answers"] or [])
-    return s, flags[np.searchsorted(np.unique(s.gram), s.gram)]
+def _suspects(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, first, last, gram, one, two): stretches whose anchor stands elsewhere too, with their anchor and content as hashes."""
 
+    def anchors(row: dict) -> Iterator[tuple]:
+        s = Stretches(row["size"], row["own"], row["data"])
+        # Stretches may share an anchor.
+        yield from _hashes_to_send(row["block"], s.gram[np.unique(s.anchor, return_index=True)[1]], buckets)
 
-def _first_of_equals(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Answers that say for each distinct content of a suspect stretch whether an earlier block has it."""
+    def each(row: dict) -> Iterator[tuple]:
+        s = Stretches(row["size"], row["own"], row["data"])
+        again = _answered(s.gram, row["answers"])
+        if again.any():
+            one, two = s.content(again)
+            yield row["block"], _pack(s.first[again]), _pack(s.last[again] - s.first[again]), s.gram[again].tobytes(), one.tobytes(), two.tobytes()
+
+    texts = blocks.select("block", "size", "own", "data")
+    answers = _by_block(_repeated(_map(texts, anchors), "anchors"))
+    kind = "block long, first binary, length binary, gram binary, one binary, two binary"
+    return materialize(_map(texts.join(answers, "block"), each, kind), "suspects")
+
+
+def _first_of_equals(suspects: DataFrame, buckets: int) -> DataFrame:
+    """Answers that say for each distinct content of a block's suspect stretches whether an earlier block has it."""
 
     def send(row: dict) -> Iterator[tuple]:
-        s, again = _suspects(row)
-        if not again.any():
-            return
-        one, two = (x[again] for x in s.content())
-        one, first = np.unique(one, return_index=True)
-        two = two[first]
+        one, first = np.unique(np.frombuffer(row["one"], np.uint64), return_index=True)
+        two = np.frombuffer(row["two"], np.uint64)[first]
         for bucket, a, b in _cut(_bucket_of(one, buckets), len(one)):
             yield row["block"], bucket, one[a:b].tobytes() + two[a:b].tobytes()
 
@@ -314,35 +341,46 @@ def _first_of_equals(blocks: DataFrame, buckets: int) -> DataFrame:
         later[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         return [_flags(x) for x in np.split(later, np.cumsum([x.shape[1] for x in each])[:-1])]
 
-    return _exchange(_map(blocks, send), answer, "contents")
+    return _exchange(_map(suspects.select("block", "one", "two"), send), answer, "contents")
+
 
+def _later(row: dict) -> np.ndarray:
+    """Which suspect stretches of a block are later copies of equal ones."""
+    one = np.frombuffer(row["one"], np.uint64)
+    _, first, place = np.unique(one, return_index=True, return_inverse=True)
+    here = np.ones(len(one), bool)
+    here[first] = False
+    return _unflag(row["contents"] or [])[place] | here
 
-def _sorted_and_later(row: dict) -> tuple[Stretches, np.ndarray, np.ndarray]:
-    """Which stretches are to be sorted, and which are later copies of equal ones."""
-    s, again = _suspects(row)
-    later = np.zeros(len(again), bool)
-    if again.any():
-        one = s.content()[0][again]
-        unique, first, place = np.unique(one, return_index=True, return_inverse=True)
-        earlier = _unflag(row["contents"] or [])[place]
-        here = np.ones(len(one), bool)
-        here[first] = False
-        later[again] = earlier | here
-    return s, again & ~later, later
 
+def _to_sort(blocks: DataFrame, suspects: DataFrame, buckets: int) -> DataFrame:
+    """(block, at, size, data, later): the stretches to sort as runs of bytes, and where later copies start and end.
 
-def _to_sort(blocks: DataFrame) -> DataFrame:
-    """(block, at, size, data, later): the stretches to sort as runs of bytes, and where later copies start and end."""
+    Copies of whole stretches are out of the way now, and many a stretch had no other partner: only those go on whose
+    anchor stands in another stretch that is left.
+    """
+    contents = _by_block(_first_of_equals(suspects, buckets)).withColumnRenamed("answers", "contents")
+    suspects = suspects.drop("two").join(contents, "block")
+
+    def anchors(row: dict) -> Iterator[tuple]:
+        yield from _hashes_to_send(row["block"], np.frombuffer(row["gram"], np.uint64)[~_later(row)], buckets)
+
+    answers = _by_block(_repeated(_map(suspects.select("block", "one", "gram", "contents"), anchors), "anchors"))
+
+    def chosen(row: dict) -> Iterator[tuple]:
+        first, later = _unpack(row["first"]).astype(np.int64), _later(row)
+        end, sort = first + _unpack(row["length"]).astype(np.int64) + 1, ~later
+        sort[sort] = _answered(np.frombuffer(row["gram"], np.uint64)[~later], row["answers"])
+        yield row["block"], _pack_all(*_runs(first[sort], end[sort]).T), _pack_all(*_runs(first[later], end[later]).T)
+
+    ranges = materialize(_map(suspects.join(answers, "block", "left"), chosen, "block long, sort binary, later binary"), "ranges")
 
     def each(row: dict) -> Iterator[tuple]:
-        s, sort, later = _sorted_and_later(row)
-        runs = _runs(s.first[sort], s.last[sort] + 1)
-        data = b"".join(s.data[a : b + WIDTH - 1].tobytes() for a, b in runs.tolist())
-        copies = _runs(s.first[later], s.last[later] + 1)
-        if len(runs) or len(copies):
-            yield row["block"], _pack_all(runs[:, 0]), _pack_all(runs[:, 1] - runs[:, 0]), data, _pack_all(*copies.T)
+        start, end = (x.astype(np.int64) for x in _unpack_all(row["sort"]))
+        data = b"".join(row["data"][a : b + WIDTH - 1] for a, b in zip(start.tolist(), end.tolist()))
+        yield row["block"], _pack_all(start), _pack_all(end - start), data, row["later"]
 
-    return materialize(_map(blocks, each, "block long, at binary, size binary, data binary, later binary"), "to_sort")
+    return materialize(_map(blocks.select("block", "data").join(ranges, "block"), each, "block long, at binary, size binary, data binary, later binary"), "to_sort")
 
 
 def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -368,12 +406,15 @@ class Layout:
         self.n = int(start[-1])
         place = np.arange(self.n) - np.repeat(start[:-1], length + PAD)
         inside = place < np.repeat(length, length + PAD)
-        self.starts = np.flatnonzero(place < np.repeat(sizes, length + PAD))
         self.begin, self.length, self.place = start[:-1], length, place
-        # members[k]: the positions that level k puts in order; members[k + 1] is the sample of level k.
-        self.members = [inside]
+        # members[k + 1] is the sample of level k, which is named; ranked[k] is what level k puts in order: the strings, and
+        # of each sample what the order of the level before looks ahead to.
+        self.members, self.ranked, reach = [inside], [place < np.repeat(sizes, length + PAD)], 0
         for step in STEPS:
             self.members.append(self.members[-1] & (place // step % 3 != 0))
+            reach += 2 * step
+            self.ranked.append(self.members[-1] & (place < np.repeat(sizes + reach, length + PAD)))
+        self.ranked[-1] = self.members[-1]
 
     def letters(self, data: bytes) -> np.ndarray:
         out, at = np.zeros(self.n + LETTER, np.uint64), 0
@@ -382,10 +423,10 @@ class Layout:
             at += n
         return out[:-4] << np.uint64(24) | out[1:-3] << np.uint64(16) | out[2:-2] << np.uint64(8) | out[3:-1]
 
-    def spread(self, values: np.ndarray, level: int) -> np.ndarray:
-        """Values of a level's members at their positions, 0 elsewhere."""
+    def spread(self, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Values at their positions, 0 elsewhere."""
         out = np.zeros(self.n, np.uint64)
-        out[self.members[level]] = values
+        out[wanted] = values
         return out
 
 
@@ -488,7 +529,7 @@ def _with_names(state: DataFrame, level: int, letters: Callable[[dict, Layout],
     return materialize(_map(joined, each, "block long, size binary, names binary"), f"named{level}")
 
 
-def _order(state: DataFrame, level: int, letters: Callable[[dict, Layout], np.ndarray], ranks: Callable[[dict, Layout], np.ndarray], wanted: Callable[[Layout], np.ndarray], items: int, answer_with: Callable, extra=None):
+def _order(state: DataFrame, level: int, letters: Callable[[dict, Layout], np.ndarray], ranks: Callable[[dict, Layout], np.ndarray], items: int, answer_with: Callable, extra=None):
     """Answers of buckets of positions in order.
 
     A position's class is its letter number modulo 3. Classes 1 and 2 are in the sample and in its order. A position of class 0
@@ -500,7 +541,7 @@ def _order(state: DataFrame, level: int, letters: Callable[[dict, Layout], np.nd
     def keys(row: dict) -> tuple:
         layout = Layout(_unpack_all(row["size"])[0])
         x, r = letters(row, layout), ranks(row, layout)
-        at = np.flatnonzero(wanted(layout))
+        at = np.flatnonzero(layout.ranked[level])
         return layout, at, layout.place[at] // step % 3, np.stack([x[at], _ahead(x, step)[at], r[at], _ahead(r, step)[at], _ahead(r, 2 * step)[at]])
 
     def sample(row: dict, share: int) -> np.ndarray:
@@ -566,7 +607,7 @@ def _rank_answers(sizes: list[int], order: np.ndarray, more: np.ndarray) -> list
 
 
 def _ranked(state: DataFrame, level: int, answers: DataFrame, keys, bucket_of) -> DataFrame:
-    """(block, ranks): ranks of the level's members."""
+    """(block, ranks): ranks of what the level puts in order."""
     # One row for each bucket.
     sizes = {r["bucket"]: int(_unpack_all(r["raw"])[0][0]) for r in answers.groupBy("bucket").agg(F.first("raw").alias("raw")).collect()}
     before, total = {}, 1
@@ -676,9 +717,8 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
     sizes = [max(1, int(total * (2 / 3) ** k)) for k in range(4)]
     text = to_sort.select("block", "size", "data")
     of_text = lambda row, layout: layout.letters(row["data"])
-    of_names = lambda level: lambda row, layout: layout.spread(_unpack_all(row["names"])[0], level)
-    of_ranks = lambda level: lambda row, layout: layout.spread(_unpack_all(row["ranks"])[0], level)
-    members = lambda level: lambda layout: layout.members[level]
+    of_names = lambda level: lambda row, layout: layout.spread(_unpack_all(row["names"])[0], layout.members[level])
+    of_ranks = lambda level: lambda row, layout: layout.spread(_unpack_all(row["ranks"])[0], layout.ranked[level])
 
     # Down: names of samples.
     first = _with_names(text, 0, of_text, *_names(text, 0, of_text, sizes[1]))
@@ -688,7 +728,7 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
     ranks = third.select("block", F.col("names").alias("ranks"))
     for level, state in ((2, second), (1, first)):
         state = state.join(ranks, "block")
-        found = _order(state, level, of_names(level), of_ranks(level + 1), members(level), sizes[level], _rank_answers)
+        found = _order(state, level, of_names(level), of_ranks(level + 1), sizes[level], _rank_answers)
         ranks = _ranked(state, level, *found)
 
     def prints(row: dict, layout: Layout, at: np.ndarray) -> np.ndarray:
@@ -700,13 +740,8 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
         rolling = Rolling(raw)
         return np.stack([rolling.of(at, at + WIDTH, which) for which in (0, 1)])
 
-    def strings(layout: Layout) -> np.ndarray:
-        out = np.zeros(layout.n, bool)
-        out[layout.starts] = True
-        return out
-
     state = text.join(ranks, "block")
-    return _later_strings(state, *_order(state, 0, of_text, of_ranks(1), strings, sizes[0], _run_answers, prints))
+    return _later_strings(state, *_order(state, 0, of_text, of_ranks(1), sizes[0], _run_answers, prints))
 
 
 # -- what is left of the documents
@@ -715,12 +750,9 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
 def without_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every document; kept is the rest of its bytes."""
     blocks, n_bytes = stored_blocks(documents)
-    # An anchor stands in every 35 bytes or so.
-    buckets = _blocks_of(n_bytes // 32)
-    anchors = _by_block(_repeated_anchors(blocks, buckets))
-    suspects = blocks.join(anchors, "block", "left")
-    contents = _by_block(_first_of_equals(suspects, buckets)).withColumnRenamed("answers", "contents")
-    to_sort = _to_sort(suspects.join(contents, "block", "left"))
+    # An anchor stands in every 19 bytes or so.
+    buckets = _blocks_of(n_bytes // 16)
+    to_sort = _to_sort(blocks, _suspects(blocks, buckets), buckets)
     strings = later_strings(to_sort.where("octet_length(data) > 0"))
     gone = to_sort.select("block", "at", F.col("size").alias("strings_in_run"), "later").join(strings, "block", "left")
 
