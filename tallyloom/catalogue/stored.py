@@ -64,15 +64,15 @@ def stored_update_fields(t: Tables):
 
 
 @query(
-    "WITH w AS (SELECT l_orderkey AS checkpoint_id, l_linenumber::VARCHAR AS task_id, 0 AS idx, l_returnflag AS channel, l_quantity AS value FROM lineitem), "
-    "ch AS (SELECT l_orderkey AS checkpoint_id, l_linenumber::VARCHAR AS task_id, 0 AS idx, 'quantity' AS channel, l_quantity + 1 AS value FROM lineitem WHERE l_orderkey % 7 = 0 "
-    "UNION ALL SELECT l_orderkey, l_linenumber::VARCHAR, 1, 'price', l_extendedprice FROM lineitem WHERE l_orderkey % 7 = 0) "
+    "WITH w AS (SELECT l_orderkey AS checkpoint_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS task_id, 0 AS idx, l_returnflag AS channel, l_quantity AS value FROM lineitem), "
+    "ch AS (SELECT l_orderkey AS checkpoint_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS task_id, 0 AS idx, 'quantity' AS channel, l_quantity + 1 AS value FROM lineitem WHERE l_orderkey % 7 = 0 "
+    "UNION ALL SELECT l_orderkey, l_partkey || '-' || l_suppkey || '-' || l_linenumber, 1, 'price', l_extendedprice FROM lineitem WHERE l_orderkey % 7 = 0) "
     "SELECT w.* FROM w WHERE checkpoint_id % 7 <> 0 UNION ALL SELECT * FROM ch"
 )
 def stored_bulk_upsert(t: Tables):
     lines = t.lineitem.select(
         F.col("l_orderkey").alias("thread_id"), F.lit("").alias("checkpoint_ns"), F.col("l_orderkey").alias("checkpoint_id"),
-        F.col("l_linenumber").cast("string").alias("task_id"), "l_returnflag", "l_quantity", "l_extendedprice",
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber")]).alias("task_id"), "l_returnflag", "l_quantity", "l_extendedprice",
     )
     base = lines.select(*k.CHECKPOINT, "task_id", F.lit(0).alias("idx"), F.col("l_returnflag").alias("channel"), F.col("l_quantity").alias("value"))
     log = StoredLog.create(base, new_path(t.spark, "writes"), k.WRITE, k.THREAD, buckets=32)
