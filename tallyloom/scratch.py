@@ -7,6 +7,7 @@ and never a recomputation with different partition bounds.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,21 @@ def remove(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and no plan reads any more."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            remove(table.sparkSession, files[0].rpartition("/")[0])
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of finished jobs be deleted. Spark's cleaner does so once the driver's garbage is collected, which a
+    driver with little to do may put off for long; call it between the phases of a job that writes much more than it keeps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables this application wrote below the scratch root. Frames read from them become unusable."""
     files, path = _hadoop(spark, f"{scratch_root(spark)}/tallyloom-{spark.sparkContext.applicationId}")

@@ -151,3 +151,13 @@ def test_frames_whose_columns_differ_in_order(spark):
     schema = T.StructType.fromDDL("a int, b string, missing string")
     rows = spark.createDataFrame([(text,)], "j string").select(F.inline(documents.frame_rows(F.col("j"), schema))).collect()
     assert [tuple(r) for r in rows] == [("0", 1, "x", None), ("1", 2, "y", None)]
+
+
+def test_dropped_tables_are_gone(spark):
+    from tallyloom import scratch
+
+    table = scratch.materialize(spark.range(10), "gone")
+    folder = table.inputFiles()[0].rpartition("/")[0]
+    scratch.drop(table)
+    scratch.release(spark)
+    assert folder.rpartition("/")[2] not in scratch.subfolders(spark, folder.rpartition("/")[0])
