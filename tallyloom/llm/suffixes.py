@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.kept import kept
-from tallyloom.scratch import materialize, new_path
+from tallyloom.scratch import drop, materialize, new_path, release
 
 WIDTH, GRAM = 100, 64
 #: Bytes of a piece that are its own, bytes and pieces of a block.
@@ -49,6 +49,8 @@ PIECE, BLOCK, BLOCK_ROWS = 1 << 20, 1 << 20, 1 << 14
 LETTER, STEPS = 4, (4, 12, 36)
 #: Zero bytes that end each sorted stretch: what a triple of the last level may reach over.
 PAD = 72
+#: Blocks that splitters are taken from.
+SAMPLED = 64
 #: Items of a bucket.
 BUCKET = 1 << 19
 
@@ -395,25 +397,32 @@ def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 # -- the suffix array
 
 
+def _letter_class(place: np.ndarray, step: int) -> np.ndarray:
+    """Letter numbers modulo 3."""
+    letter = place // np.int32(step)
+    return letter - letter // np.int32(3) * np.int32(3)
+
+
 class Layout:
     """Positions of a block's runs of bytes, each run followed by PAD that belongs to none."""
 
     def __init__(self, sizes: np.ndarray):
         """`sizes`: how many strings start in each run."""
-        sizes = sizes.astype(np.int64)
-        length = sizes + WIDTH - 1
-        start = np.concatenate([[0], np.cumsum(length + PAD)])
+        sizes = sizes.astype(np.int32)
+        length = sizes + np.int32(WIDTH - 1)
+        start = np.concatenate([[0], np.cumsum(length + PAD, dtype=np.int64)])
         self.n = int(start[-1])
-        place = np.arange(self.n) - np.repeat(start[:-1], length + PAD)
-        inside = place < np.repeat(length, length + PAD)
+        place = np.arange(self.n, dtype=np.int32) - np.repeat(start[:-1].astype(np.int32), length + PAD)
+        size = np.repeat(sizes, length + PAD)
+        inside = place < size + np.int32(WIDTH - 1)
         self.begin, self.length, self.place = start[:-1], length, place
         # members[k + 1] is the sample of level k, which is named; ranked[k] is what level k puts in order: the strings, and
         # of each sample what the order of the level before looks ahead to.
-        self.members, self.ranked, reach = [inside], [place < np.repeat(sizes, length + PAD)], 0
+        self.members, self.ranked, reach = [inside], [place < size], 0
         for step in STEPS:
-            self.members.append(self.members[-1] & (place // step % 3 != 0))
+            self.members.append(self.members[-1] & (_letter_class(place, step) != 0))
             reach += 2 * step
-            self.ranked.append(self.members[-1] & (place < np.repeat(sizes + reach, length + PAD)))
+            self.ranked.append(self.members[-1] & (place < size + np.int32(reach)))
         self.ranked[-1] = self.members[-1]
 
     def letters(self, data: bytes) -> np.ndarray:
@@ -442,13 +451,17 @@ def _triples(letters: np.ndarray, layout: Layout, level: int) -> np.ndarray:
 def _named(triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct triples in order, and where each stands among them."""
     n = triples.shape[1]
-    order = np.lexsort(triples[::-1])
-    laid = triples[:, order]
+    keys = triples
+    if n and int(triples.max()) < 1 << 32:
+        # Two letters fit in one number.
+        keys = np.stack([triples[0] << np.uint64(32) | triples[1], triples[2]])
+    order = np.lexsort(keys[::-1])
+    laid = keys[:, order]
     new = np.ones(n, bool)
     new[1:] = (laid[:, 1:] != laid[:, :-1]).any(0)
     place = np.empty(n, np.int64)
     place[order] = np.cumsum(new) - 1
-    return laid[:, new], place
+    return triples[:, order[new]], place
 
 
 def _rank_among(splitters: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -467,7 +480,11 @@ def _rank_among(splitters: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _splitters(state: DataFrame, sample: Callable[[dict, int], np.ndarray], items: int) -> np.ndarray:
     """Bounds of buckets from an even sample of columns; about 64 a bucket come to the driver."""
     buckets = _blocks_of(items)
-    share = max(1, items // (64 * buckets))
+    blocks = state.count()
+    # SAMPLED blocks are enough to know how content is spread, if they have 64 items a bucket.
+    every = max(1, min(blocks // SAMPLED, items // (64 * buckets)))
+    share = max(1, items // (64 * buckets * every))
+    state = state.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0)
 
     def some(row: dict) -> Iterator[tuple]:
         found = sample(row, share)
@@ -542,7 +559,7 @@ def _order(state: DataFrame, level: int, letters: Callable[[dict, Layout], np.nd
         layout = Layout(_unpack_all(row["size"])[0])
         x, r = letters(row, layout), ranks(row, layout)
         at = np.flatnonzero(layout.ranked[level])
-        return layout, at, layout.place[at] // step % 3, np.stack([x[at], _ahead(x, step)[at], r[at], _ahead(r, step)[at], _ahead(r, 2 * step)[at]])
+        return layout, at, _letter_class(layout.place[at], step), np.stack([x[at], _ahead(x, step)[at], r[at], _ahead(r, step)[at], _ahead(r, 2 * step)[at]])
 
     def sample(row: dict, share: int) -> np.ndarray:
         _, _, kind, key = keys(row)
@@ -721,15 +738,21 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
     of_ranks = lambda level: lambda row, layout: layout.spread(_unpack_all(row["ranks"])[0], layout.ranked[level])
 
     # Down: names of samples.
-    first = _with_names(text, 0, of_text, *_names(text, 0, of_text, sizes[1]))
-    second = _with_names(first, 1, of_names(1), *_names(first, 1, of_names(1), sizes[2]))
-    third = _with_names(second, 2, of_names(2), *_names(second, 2, of_names(2), sizes[3]))
+    states = [text]
+    for level, letters in enumerate((of_text, of_names(1), of_names(2))):
+        answers, before = _names(states[-1], level, letters, sizes[level + 1])
+        states.append(_with_names(states[-1], level, letters, answers, before))
+        drop(answers)
+        release(text.sparkSession)
+    _, first, second, third = states
     # Up: names of the last level stand for more than WIDTH bytes, so they are ranks.
     ranks = third.select("block", F.col("names").alias("ranks"))
     for level, state in ((2, second), (1, first)):
         state = state.join(ranks, "block")
         found = _order(state, level, of_names(level), of_ranks(level + 1), sizes[level], _rank_answers)
         ranks = _ranked(state, level, *found)
+        drop(found[0])
+        release(text.sparkSession)
 
     def prints(row: dict, layout: Layout, at: np.ndarray) -> np.ndarray:
         raw = np.zeros(layout.n, np.uint8)
@@ -741,7 +764,10 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
         return np.stack([rolling.of(at, at + WIDTH, which) for which in (0, 1)])
 
     state = text.join(ranks, "block")
-    return _later_strings(state, *_order(state, 0, of_text, of_ranks(1), sizes[0], _run_answers, prints))
+    found = _later_strings(state, *_order(state, 0, of_text, of_ranks(1), sizes[0], _run_answers, prints))
+    drop(first, second, third)
+    release(text.sparkSession)
+    return found
 
 
 # -- what is left of the documents
@@ -752,7 +778,12 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     blocks, n_bytes = stored_blocks(documents)
     # An anchor stands in every 19 bytes or so.
     buckets = _blocks_of(n_bytes // 16)
-    to_sort = _to_sort(blocks, _suspects(blocks, buckets), buckets)
+    release(documents.sparkSession)
+    suspects = _suspects(blocks, buckets)
+    release(documents.sparkSession)
+    to_sort = _to_sort(blocks, suspects, buckets)
+    drop(suspects)
+    release(documents.sparkSession)
     strings = later_strings(to_sort.where("octet_length(data) > 0"))
     gone = to_sort.select("block", "at", F.col("size").alias("strings_in_run"), "later").join(strings, "block", "left")
 
