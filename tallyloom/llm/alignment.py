@@ -93,8 +93,8 @@ def characters(texts: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer((text or "").encode("utf-32-le"), np.uint32) for text in texts.to_pylist()]
 
 
-def verifier(texts: DataFrame, least: float, items: Callable[[pa.Array], list[np.ndarray]] = words_of) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs (a, b) whose texts in a stored table (node, text) have at least this edit similarity, counted in words or other items."""
+def aligned(least: float, items: Callable[[pa.Array], list[np.ndarray]]):
+    """For `mapInArrow`: the pairs (a, b) whose text_a and text_b have at least this edit similarity, counted in items."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,8 +102,14 @@ def verifier(texts: DataFrame, least: float, items: Callable[[pa.Array], list[np
                 linked = [similar(x, y, least) for x, y in zip(items(part.column("text_a")), items(part.column("text_b")))]
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
+    return align
+
+
+def verifier(texts: DataFrame, least: float, items: Callable[[pa.Array], list[np.ndarray]] = words_of) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (a, b) whose texts in a stored table (node, text) have at least this edit similarity, counted in words or other items."""
+
     def verify(pairs: DataFrame) -> DataFrame:
         of = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(align, pairs.schema)
+        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(aligned(least, items), pairs.schema)
 
     return verify

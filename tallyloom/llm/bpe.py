@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.kept import kept
 from tallyloom.llm.words import slices
+from tallyloom.scratch import materialize
 
 #: Code points of a piece; longer texts are halved.
 PIECE = 32_768
@@ -235,7 +236,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", piece: int = PIECE, d
     others = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     plain = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     carried = [f"c{i}" for i in range(len(others))]
-    results = plain.select(*carried, F.lit(b"").cast("binary").alias("ids"), F.lit("").alias("decoded")).schema
+    results = plain.select(*carried, F.lit(b"").cast("binary").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, decode)
@@ -262,7 +263,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", piece: int = PIECE, d
 
     size = F.length("text")
     short = plain.where(size <= piece).mapInArrow(whole, results)
-    numbered = plain.where(size > piece).withColumn("row", F.monotonically_increasing_id())
+    # Stored, as the numbers are read twice: a frame that is computed again may come in another order.
+    numbered = materialize(plain.where(size > piece).withColumn("row", F.monotonically_increasing_id()), "long-texts")
     leaf = F.struct("part", "text", "tokens")
     trees = _pieces_of(numbered.select("row", "text"), path, piece).groupBy(F.col("row").alias("of")).agg(F.collect_list(leaf).alias("leaves"))
     # A tree holds one text, which is one row of the input as well.

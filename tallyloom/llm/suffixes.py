@@ -131,7 +131,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _exchange(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]], label: str) -> DataFrame:
+def exchange(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]], label: str) -> DataFrame:
     """Blocks send parts of what they have to buckets and get an answer for each part back.
 
     (block, bucket, raw) of what is sent becomes (block, bucket, raw) with the answers; `answer` gets a bucket's parts in the order of blocks.
@@ -146,7 +146,7 @@ def _exchange(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]], lab
     return materialize(sent.groupBy("bucket").applyInArrow(one, "block long, bucket int, raw binary"), label)
 
 
-def _by_block(answers: DataFrame) -> DataFrame:
+def by_block(answers: DataFrame) -> DataFrame:
     return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "raw"))).alias("answers"))
 
 
@@ -158,7 +158,7 @@ def _cut(at: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
             yield int(at[a]), a, b
 
 
-def _blocks_of(n: int) -> int:
+def blocks_of(n: int) -> int:
     return max(1, -(-n // BUCKET))
 
 
@@ -262,7 +262,7 @@ def _unflag(answers: list[dict]) -> np.ndarray:
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
-def _map(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str = "block long, bucket int, raw binary") -> DataFrame:
+def map_rows(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str = "block long, bucket int, raw binary") -> DataFrame:
     """`each` of every row, as a table of rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -279,7 +279,7 @@ def _map(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str = "
     return df.mapInArrow(run, schema)
 
 
-def _repeated(sent: DataFrame, label: str) -> DataFrame:
+def repeated(sent: DataFrame, label: str) -> DataFrame:
     """Answers that say for each distinct hash of a block whether it stands elsewhere too."""
 
     def answer(parts: list[bytes]) -> list[bytes]:
@@ -289,10 +289,10 @@ def _repeated(sent: DataFrame, label: str) -> DataFrame:
         again = (count > 1)[place] | (all_ & 1).astype(bool)
         return [_flags(x) for x in np.split(again, np.cumsum([len(x) for x in each])[:-1])]
 
-    return _exchange(sent, answer, label)
+    return exchange(sent, answer, label)
 
 
-def _hashes_to_send(block: int, grams: np.ndarray, buckets: int) -> Iterator[tuple]:
+def hashes_to_send(block: int, grams: np.ndarray, buckets: int) -> Iterator[tuple]:
     """The distinct hashes of a block. Within a bucket the high bits are settled; the low bit says that the block has it twice."""
     gram, count = np.unique(grams, return_counts=True)
     short = (_mix(gram) >> np.uint64(33)) << np.uint64(1) | (count > 1).astype(np.uint64)
@@ -300,7 +300,7 @@ def _hashes_to_send(block: int, grams: np.ndarray, buckets: int) -> Iterator[tup
         yield block, bucket, short[a:b].astype(np.uint32).tobytes()
 
 
-def _answered(grams: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+def answered(grams: np.ndarray, answers: list[dict] | None) -> np.ndarray:
     return _unflag(answers or [])[np.searchsorted(np.unique(grams), grams)] if len(grams) else np.zeros(0, bool)
 
 
@@ -310,19 +310,19 @@ def _suspects(blocks: DataFrame, buckets: int) -> DataFrame:
     def anchors(row: dict) -> Iterator[tuple]:
         s = Stretches(row["size"], row["own"], row["data"])
         # Stretches may share an anchor.
-        yield from _hashes_to_send(row["block"], s.gram[np.unique(s.anchor, return_index=True)[1]], buckets)
+        yield from hashes_to_send(row["block"], s.gram[np.unique(s.anchor, return_index=True)[1]], buckets)
 
     def each(row: dict) -> Iterator[tuple]:
         s = Stretches(row["size"], row["own"], row["data"])
-        again = _answered(s.gram, row["answers"])
+        again = answered(s.gram, row["answers"])
         if again.any():
             one, two = s.content(again)
             yield row["block"], _pack(s.first[again]), _pack(s.last[again] - s.first[again]), s.gram[again].tobytes(), one.tobytes(), two.tobytes()
 
     texts = blocks.select("block", "size", "own", "data")
-    answers = _by_block(_repeated(_map(texts, anchors), "anchors"))
+    answers = by_block(repeated(map_rows(texts, anchors), "anchors"))
     kind = "block long, first binary, length binary, gram binary, one binary, two binary"
-    return materialize(_map(texts.join(answers, "block"), each, kind), "suspects")
+    return materialize(map_rows(texts.join(answers, "block"), each, kind), "suspects")
 
 
 def _first_of_equals(suspects: DataFrame, buckets: int) -> DataFrame:
@@ -343,7 +343,7 @@ def _first_of_equals(suspects: DataFrame, buckets: int) -> DataFrame:
         later[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         return [_flags(x) for x in np.split(later, np.cumsum([x.shape[1] for x in each])[:-1])]
 
-    return _exchange(_map(suspects.select("block", "one", "two"), send), answer, "contents")
+    return exchange(map_rows(suspects.select("block", "one", "two"), send), answer, "contents")
 
 
 def _later(row: dict) -> np.ndarray:
@@ -361,28 +361,28 @@ def _to_sort(blocks: DataFrame, suspects: DataFrame, buckets: int) -> DataFrame:
     Copies of whole stretches are out of the way now, and many a stretch had no other partner: only those go on whose
     anchor stands in another stretch that is left.
     """
-    contents = _by_block(_first_of_equals(suspects, buckets)).withColumnRenamed("answers", "contents")
+    contents = by_block(_first_of_equals(suspects, buckets)).withColumnRenamed("answers", "contents")
     suspects = suspects.drop("two").join(contents, "block")
 
     def anchors(row: dict) -> Iterator[tuple]:
-        yield from _hashes_to_send(row["block"], np.frombuffer(row["gram"], np.uint64)[~_later(row)], buckets)
+        yield from hashes_to_send(row["block"], np.frombuffer(row["gram"], np.uint64)[~_later(row)], buckets)
 
-    answers = _by_block(_repeated(_map(suspects.select("block", "one", "gram", "contents"), anchors), "anchors"))
+    answers = by_block(repeated(map_rows(suspects.select("block", "one", "gram", "contents"), anchors), "anchors"))
 
     def chosen(row: dict) -> Iterator[tuple]:
         first, later = _unpack(row["first"]).astype(np.int64), _later(row)
         end, sort = first + _unpack(row["length"]).astype(np.int64) + 1, ~later
-        sort[sort] = _answered(np.frombuffer(row["gram"], np.uint64)[~later], row["answers"])
+        sort[sort] = answered(np.frombuffer(row["gram"], np.uint64)[~later], row["answers"])
         yield row["block"], _pack_all(*_runs(first[sort], end[sort]).T), _pack_all(*_runs(first[later], end[later]).T)
 
-    ranges = materialize(_map(suspects.join(answers, "block", "left"), chosen, "block long, sort binary, later binary"), "ranges")
+    ranges = materialize(map_rows(suspects.join(answers, "block", "left"), chosen, "block long, sort binary, later binary"), "ranges")
 
     def each(row: dict) -> Iterator[tuple]:
         start, end = (x.astype(np.int64) for x in _unpack_all(row["sort"]))
         data = b"".join(row["data"][a : b + WIDTH - 1] for a, b in zip(start.tolist(), end.tolist()))
         yield row["block"], _pack_all(start), _pack_all(end - start), data, row["later"]
 
-    return materialize(_map(blocks.select("block", "data").join(ranges, "block"), each, "block long, at binary, size binary, data binary, later binary"), "to_sort")
+    return materialize(map_rows(blocks.select("block", "data").join(ranges, "block"), each, "block long, at binary, size binary, data binary, later binary"), "to_sort")
 
 
 def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -479,7 +479,7 @@ def _rank_among(splitters: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _splitters(state: DataFrame, sample: Callable[[dict, int], np.ndarray], items: int) -> np.ndarray:
     """Bounds of buckets from an even sample of columns; about 64 a bucket come to the driver."""
-    buckets = _blocks_of(items)
+    buckets = blocks_of(items)
     blocks = state.count()
     # SAMPLED blocks are enough to know how content is spread, if they have 64 items a bucket.
     every = max(1, min(blocks // SAMPLED, items // (64 * buckets)))
@@ -491,7 +491,7 @@ def _splitters(state: DataFrame, sample: Callable[[dict, int], np.ndarray], item
         if found.shape[1]:
             yield (_pack_all(*found),)
 
-    rows = [_unpack_all(r["raw"]) for r in _map(state, some, "raw binary").collect()]
+    rows = [_unpack_all(r["raw"]) for r in map_rows(state, some, "raw binary").collect()]
     if not rows or buckets == 1:
         return np.zeros((3, 0), np.uint64)
     found = np.concatenate([np.stack(r) for r in rows], axis=1)
@@ -526,7 +526,7 @@ def _names(state: DataFrame, level: int, letters: Callable[[dict, Layout], np.nd
         distinct, place = _named(np.concatenate(each, axis=1))
         return [_pack_all(np.array([distinct.shape[1]]), x) for x in np.split(place, np.cumsum([x.shape[1] for x in each])[:-1])]
 
-    answers = _exchange(_map(state, send), answer, f"names{level}")
+    answers = exchange(map_rows(state, send), answer, f"names{level}")
     sizes = {r["bucket"]: int(_unpack_all(r["raw"])[0][0]) for r in answers.groupBy("bucket").agg(F.first("raw").alias("raw")).collect()}
     counts = [sizes.get(b, 0) for b in range(splitters.shape[1] + 1)]
     return answers, np.concatenate([[1], 1 + np.cumsum(counts)]).astype(np.uint64).tolist()
@@ -542,8 +542,8 @@ def _with_names(state: DataFrame, level: int, letters: Callable[[dict, Layout],
         names = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         yield row["block"], row["size"], _pack_all(names[place])
 
-    joined = state.join(_by_block(answers), "block", "left")
-    return materialize(_map(joined, each, "block long, size binary, names binary"), f"named{level}")
+    joined = state.join(by_block(answers), "block", "left")
+    return materialize(map_rows(joined, each, "block long, size binary, names binary"), f"named{level}")
 
 
 def _order(state: DataFrame, level: int, letters: Callable[[dict, Layout], np.ndarray], ranks: Callable[[dict, Layout], np.ndarray], items: int, answer_with: Callable, extra=None):
@@ -599,7 +599,7 @@ def _order(state: DataFrame, level: int, letters: Callable[[dict, Layout], np.nd
         order = _merged(np.concatenate(kinds), np.concatenate(rows, axis=1))
         return answer_with(sizes, order, np.concatenate(more, axis=1))
 
-    answers = _exchange(_map(state, send), answer, f"order{level}")
+    answers = exchange(map_rows(state, send), answer, f"order{level}")
     return answers, keys, bucket_of
 
 
@@ -640,8 +640,8 @@ def _ranked(state: DataFrame, level: int, answers: DataFrame, keys, bucket_of) -
             out[order] = np.concatenate(parts)
         yield row["block"], _pack_all(out)
 
-    joined = state.join(_by_block(answers), "block", "left")
-    return materialize(_map(joined, each, "block long, ranks binary"), f"ranks{level}")
+    joined = state.join(by_block(answers), "block", "left")
+    return materialize(map_rows(joined, each, "block long, ranks binary"), f"ranks{level}")
 
 
 def _run_answers(sizes: list[int], order: np.ndarray, more: np.ndarray) -> list[bytes]:
@@ -684,9 +684,9 @@ def _later_strings(state: DataFrame, answers: DataFrame, keys, bucket_of) -> Dat
                 yield row["block"], row["bucket"], first, a.tobytes() + b.tobytes()
 
     # Two runs of each bucket at most, and of each one row for a block that has it.
-    left = materialize(_map(answers, ends, "block long, bucket int, first long, print binary"), "ends")
+    left = materialize(map_rows(answers, ends, "block long, bucket int, first long, print binary"), "ends")
     # The earliest string of a run: a block's buckets keep text order inside only, so places are compared by block first.
-    joined = state.join(_by_block(answers), "block", "left").join(
+    joined = state.join(by_block(answers), "block", "left").join(
         left.groupBy("block").agg(F.collect_list(F.struct("bucket", "first", "print")).alias("ends")), "block", "left"
     )
 
@@ -702,7 +702,7 @@ def _later_strings(state: DataFrame, answers: DataFrame, keys, bucket_of) -> Dat
         order = np.argsort(bucket, kind="stable")
         return at[order], {b: a for b, a, _ in _cut(bucket[order], len(at))}
 
-    stand = materialize(_map(joined.where("ends IS NOT NULL"), places, "print binary, block long, place long"), "stand")
+    stand = materialize(map_rows(joined.where("ends IS NOT NULL"), places, "print binary, block long, place long"), "stand")
     earliest = stand.groupBy("print").agg(F.min(F.struct("block", "place")).alias("earliest"))
     mine = stand.join(earliest, "print").select("print", "block", F.when(F.col("earliest.block") == F.col("block"), F.col("earliest.place")).alias("earliest"))
     mine = mine.distinct().groupBy("block").agg(F.collect_list(F.struct("print", "earliest")).alias("earliest"))
@@ -725,7 +725,7 @@ def _later_strings(state: DataFrame, answers: DataFrame, keys, bucket_of) -> Dat
         found = np.sort(np.concatenate(gone)) if gone else np.zeros(0, np.int64)
         yield row["block"], _pack_all(found)
 
-    return materialize(_map(joined.drop("ends").join(mine, "block", "left"), each, "block long, strings binary"), "strings")
+    return materialize(map_rows(joined.drop("ends").join(mine, "block", "left"), each, "block long, strings binary"), "strings")
 
 
 def later_strings(to_sort: DataFrame) -> DataFrame:
@@ -777,7 +777,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every document; kept is the rest of its bytes."""
     blocks, n_bytes = stored_blocks(documents)
     # An anchor stands in every 19 bytes or so.
-    buckets = _blocks_of(n_bytes // 16)
+    buckets = blocks_of(n_bytes // 16)
     release(documents.sparkSession)
     suspects = _suspects(blocks, buckets)
     release(documents.sparkSession)
@@ -813,7 +813,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
                 yield doc, doc_id, False, piece, own, 0, 0, np.packbits(mine).tobytes(), part.tobytes()
 
     kind = "doc long, doc_id long, whole boolean, piece long, own long, n_removed long, n_spans long, covered binary, kept binary"
-    found = materialize(_map(blocks.join(gone, "block", "left"), each, kind), "pieces")
+    found = materialize(map_rows(blocks.join(gone, "block", "left"), each, kind), "pieces")
     done = found.where("whole").select("doc_id", F.col("own").alias("n_bytes"), "n_removed", "n_spans", "kept")
 
     def joined(table: pa.Table) -> pa.Table:

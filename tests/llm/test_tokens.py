@@ -129,3 +129,12 @@ def test_only_committed_files_are_read(spark):
     records.write_sequences(rows, place)
     found = records.read_sequences(files, place).orderBy("id").select("id", "start", F.octet_length("ids")).collect()
     assert [tuple(r) for r in found] == [(i, i * (i - 1) // 2, 4 * i) for i in range(6)]
+
+
+def test_long_texts_of_a_shuffled_frame(spark, coder):
+    """Pieces meet their own text, though a frame that is read twice may come in another order."""
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").repartition(5)
+    found = bpe.encode(documents, PATH, piece=200, decode=False).collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert len(found) == len(texts)
+    assert all(bpe.tokens(r.ids).tolist() == library(coder, texts[r.doc_id])[0] for r in found)
