@@ -16,8 +16,8 @@ earlier in the same one. The steps:
    At the third level names stand for 108 bytes, which is beyond WIDTH, and the recursion ends.
 4. On the way up, each level's positions are put in order: two of them are compared by their letters up to where
    the sample holds both, and there by the sample's order.
-5. In the order of all strings, neighbours with equal first WIDTH bytes (compared by 128-bit
-   fingerprints) form runs; all but the first string of the text order go.
+5. In the order of all strings, neighbours with equal first WIDTH bytes (compared by 64-bit
+   fingerprints, which only neighbours could confuse) form runs; all but the first string of the text order go.
 
 Each sort is one exchange: blocks send what they have to buckets bounded by splitters, which
 are taken from a sample as a range partitioning does, and get ranks back. Equal triples of a block
@@ -52,38 +52,42 @@ PAD = 72
 #: Blocks that splitters are taken from.
 SAMPLED = 64
 #: Items of a bucket.
-BUCKET = 1 << 19
+BUCKET = 1 << 20
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as bytes in few; rising ones by their differences."""
+def _plain(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, each in as few as the greatest needs; rising ones by their differences."""
     values = values.astype(np.uint64)
     rising = len(values) > 1 and bool((values[1:] >= values[:-1]).all())
     if rising:
         values = np.diff(values, prepend=np.uint64(0))
     kind = np.min_scalar_type(values.max()) if len(values) else np.dtype(np.uint8)
-    head = np.array([len(values), kind.itemsize, rising], np.int64).tobytes()
     # Bytes of like weight stand together.
-    planes = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
-    return head + pa.compress(planes, "zstd", asbytes=True)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    n, size, rising = np.frombuffer(raw[:24], np.int64)
-    planes = np.frombuffer(pa.decompress(raw[24:], int(n * size), "zstd", asbytes=True), np.uint8)
-    values = np.ascontiguousarray(planes.reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.uint64)
-    return np.cumsum(values, dtype=np.uint64) if rising else values
+    return np.array([len(values), kind.itemsize, rising], np.int64).tobytes() + values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
 
 
 def _pack_all(*arrays: np.ndarray) -> bytes:
-    parts = [_pack(a) for a in arrays]
-    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+    body = b"".join(map(_plain, arrays))
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
 def _unpack_all(raw: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(raw[:8], np.int64)[0])
-    at = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(raw[8 : 8 * (n + 1)], np.int64))])
-    return [_unpack(raw[a:b]) for a, b in zip(at, at[1:])]
+    body, at, out = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), 0, []
+    while at < len(body):
+        n, size, rising = np.frombuffer(body, np.int64, 3, at).tolist()
+        planes = np.frombuffer(body, np.uint8, n * size, at + 24)
+        values = np.ascontiguousarray(planes.reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.uint64)
+        out.append(np.cumsum(values, dtype=np.uint64) if rising else values)
+        at += 24 + n * size
+    return out
+
+
+def _pack(values: np.ndarray) -> bytes:
+    return _pack_all(values)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return _unpack_all(raw)[0]
 
 
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -380,9 +384,9 @@ def _to_sort(blocks: DataFrame, suspects: DataFrame, buckets: int) -> DataFrame:
     def each(row: dict) -> Iterator[tuple]:
         start, end = (x.astype(np.int64) for x in _unpack_all(row["sort"]))
         data = b"".join(row["data"][a : b + WIDTH - 1] for a, b in zip(start.tolist(), end.tolist()))
-        yield row["block"], _pack_all(start), _pack_all(end - start), data, row["later"]
+        yield row["block"], _pack_all(start), _pack_all(end - start), int((end - start).sum()), data, row["later"]
 
-    return materialize(map_rows(blocks.select("block", "data").join(ranges, "block"), each, "block long, at binary, size binary, data binary, later binary"), "to_sort")
+    return materialize(map_rows(blocks.select("block", "data").join(ranges, "block"), each, "block long, at binary, size binary, strings long, data binary, later binary"), "to_sort")
 
 
 def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -649,10 +653,10 @@ def _run_answers(sizes: list[int], order: np.ndarray, more: np.ndarray) -> list[
 
     Positions come block by block in text order, so the smaller index is the earlier string.
     """
-    one, two = more[:, order]
+    prints = more[0, order]
     n = len(order)
     new = np.ones(n, bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    new[1:] = prints[1:] != prints[:-1]
     run = np.cumsum(new) - 1
     first = np.full(run[-1] + 1, n, np.int64)
     np.minimum.at(first, run, order)
@@ -664,7 +668,7 @@ def _run_answers(sizes: list[int], order: np.ndarray, more: np.ndarray) -> list[
     for size in sizes:
         own = state[at : at + size]
         left = own >= 2
-        out.append(_pack_all(own, more[0, at : at + size][left], more[1, at : at + size][left]))
+        out.append(_pack_all(own, more[0, at : at + size][left]))
         at += size
     return out
 
@@ -673,18 +677,13 @@ def _later_strings(state: DataFrame, answers: DataFrame, keys, bucket_of) -> Dat
     """(block, strings): places in the layout of strings that start earlier too."""
 
     def ends(row: dict) -> Iterator[tuple]:
-        own, one, two = _unpack_all(row["raw"])
-        left = np.flatnonzero(own >= 2)
-        pairs = np.stack([one, two])
-        if len(left):
-            distinct, place = np.unique(pairs, axis=1, return_inverse=True)
-            seen = np.full(distinct.shape[1], len(own), np.int64)
-            np.minimum.at(seen, place.ravel(), left)
-            for (a, b), first in zip(distinct.T, seen.tolist()):
-                yield row["block"], row["bucket"], first, a.tobytes() + b.tobytes()
+        own, prints = _unpack_all(row["raw"])
+        distinct, first = np.unique(prints, return_index=True)
+        for own_print, place in zip(distinct.view(np.int64).tolist(), np.flatnonzero(own >= 2)[first].tolist()):
+            yield row["block"], row["bucket"], place, own_print
 
     # Two runs of each bucket at most, and of each one row for a block that has it.
-    left = materialize(map_rows(answers, ends, "block long, bucket int, first long, print binary"), "ends")
+    left = materialize(map_rows(answers, ends, "block long, bucket int, first long, print long"), "ends")
     # The earliest string of a run: a block's buckets keep text order inside only, so places are compared by block first.
     joined = state.join(by_block(answers), "block", "left").join(
         left.groupBy("block").agg(F.collect_list(F.struct("bucket", "first", "print")).alias("ends")), "block", "left"
@@ -702,7 +701,7 @@ def _later_strings(state: DataFrame, answers: DataFrame, keys, bucket_of) -> Dat
         order = np.argsort(bucket, kind="stable")
         return at[order], {b: a for b, a, _ in _cut(bucket[order], len(at))}
 
-    stand = materialize(map_rows(joined.where("ends IS NOT NULL"), places, "print binary, block long, place long"), "stand")
+    stand = materialize(map_rows(joined.where("ends IS NOT NULL"), places, "print long, block long, place long"), "stand")
     earliest = stand.groupBy("print").agg(F.min(F.struct("block", "place")).alias("earliest"))
     mine = stand.join(earliest, "print").select("print", "block", F.when(F.col("earliest.block") == F.col("block"), F.col("earliest.place")).alias("earliest"))
     mine = mine.distinct().groupBy("block").agg(F.collect_list(F.struct("print", "earliest")).alias("earliest"))
@@ -712,16 +711,15 @@ def _later_strings(state: DataFrame, answers: DataFrame, keys, bucket_of) -> Dat
         known = {e["print"]: e["earliest"] for e in row["earliest"] or []}
         gone, at = [], 0
         for a in row["answers"] or []:
-            own, one, two = _unpack_all(a["raw"])
+            own, prints = _unpack_all(a["raw"])
             here = order[at : at + len(own)]
             at += len(own)
             gone.append(here[own == 1])
             left = here[own >= 2]
-            pairs, place = np.unique(np.stack([one, two]), axis=1, return_inverse=True) if len(left) else (np.zeros((2, 0), np.uint64), np.zeros(0, int))
-            stays = [known[x.tobytes() + y.tobytes()] for x, y in pairs.T]
-            stays = np.array([-1 if s is None else s for s in stays], np.int64)
+            distinct, place = np.unique(prints, return_inverse=True)
+            stays = [known[p] for p in distinct.view(np.int64).tolist()]
             if len(left):
-                gone.append(left[left != stays[place.ravel()]])
+                gone.append(left[left != np.array([-1 if s is None else s for s in stays])[place]])
         found = np.sort(np.concatenate(gone)) if gone else np.zeros(0, np.int64)
         yield row["block"], _pack_all(found)
 
@@ -730,7 +728,8 @@ def _later_strings(state: DataFrame, answers: DataFrame, keys, bucket_of) -> Dat
 
 def later_strings(to_sort: DataFrame) -> DataFrame:
     """(block, strings) of `to_sort`: places in each block's layout of strings of WIDTH bytes that start earlier too."""
-    total = to_sort.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    whole = to_sort.agg(F.sum(F.octet_length("data")), F.sum("strings")).first()
+    total, strings = whole[0] or 0, max(1, whole[1] or 0)
     sizes = [max(1, int(total * (2 / 3) ** k)) for k in range(4)]
     text = to_sort.select("block", "size", "data")
     of_text = lambda row, layout: layout.letters(row["data"])
@@ -749,7 +748,7 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
     ranks = third.select("block", F.col("names").alias("ranks"))
     for level, state in ((2, second), (1, first)):
         state = state.join(ranks, "block")
-        found = _order(state, level, of_names(level), of_ranks(level + 1), sizes[level], _rank_answers)
+        found = _order(state, level, of_names(level), of_ranks(level + 1), strings, _rank_answers)
         ranks = _ranked(state, level, *found)
         drop(found[0])
         release(text.sparkSession)
@@ -761,10 +760,10 @@ def later_strings(to_sort: DataFrame) -> DataFrame:
             raw[b : b + n] = np.frombuffer(row["data"], np.uint8, n, done)
             done += n
         rolling = Rolling(raw)
-        return np.stack([rolling.of(at, at + WIDTH, which) for which in (0, 1)])
+        return rolling.of(at, at + WIDTH)[None]
 
     state = text.join(ranks, "block")
-    found = _later_strings(state, *_order(state, 0, of_text, of_ranks(1), sizes[0], _run_answers, prints))
+    found = _later_strings(state, *_order(state, 0, of_text, of_ranks(1), strings, _run_answers, prints))
     drop(first, second, third)
     release(text.sparkSession)
     return found
