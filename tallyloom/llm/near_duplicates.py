@@ -10,8 +10,8 @@ similarity is 1 less the edits in words over the longer length.
 Defined cases: words are compared with A-Z as a-z. Texts of fewer than three words
 are one run. Documents without a word (null, empty, blank) are linked to none. Exact
 copies are one class and are compared once. Rows that share a doc_id are one
-document. A null doc_id stands for a document known by its text alone. Extra columns
-are ignored by `near_duplicates` and passed on by `drop_near_duplicates`.
+document. A null doc_id stands for a document known by its text alone, which comes before all numbers; its class and group
+are then a hash of the text. Extra columns are ignored by `near_duplicates` and passed on by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ RUN_WORDS = 3
 #: half of the runs stay, a sketch agrees with probability 0.12 and one of 32 with 0.98.
 SKETCHES, RUNS = 32, 2
 LEAST = 0.8
+#: Classes of words, and numbers of words of a class that are told apart, by the bound on edits.
+CLASSES, STEPS = 256, (1, 2, 3, 5)
+BOUNDS = [f"b{i}" for i in range(CLASSES * len(STEPS) // 64)]
 
 
 def _labelled(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +87,23 @@ def sketches(t: Texts) -> list[np.ndarray]:
     return out
 
 
+def bounds(t: Texts) -> np.ndarray:
+    """Bits for each text: whether it has at least so many words of each class. An edit of a word clears at most one bit, so the bits of one
+    text that another lacks are a lower bound of the edits between them."""
+    n = len(t)
+    row = np.repeat(np.arange(n), np.diff(t.word_at))
+    class_ = (mix(t.hashes(t.start, t.end)) & np.uint64(CLASSES - 1)).astype(np.int64)
+    counts = np.bincount(row * CLASSES + class_, minlength=n * CLASSES).reshape(n, CLASSES)
+    return np.packbits((counts[:, :, None] >= np.array(STEPS)).reshape(n, CLASSES * len(STEPS)), axis=1).view(np.int64)
+
+
 def _node(id_column: str, text: str) -> Column:
-    """The document's number; a document without one gets a negative number from its text."""
-    return F.coalesce(F.col(id_column).cast("long"), -1 - F.shiftrightunsigned(F.xxhash64(text), 2))
+    """What stands for a document: its number, or for one without a number its text. Numbers come last."""
+    id_ = F.col(id_column).cast("long")
+    return F.struct(id_.isNotNull().alias("known"), F.coalesce(id_, F.xxhash64(text)).alias("id"))
+
+
+NODE = "struct<known:boolean,id:bigint>"
 
 
 def _sketched(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -96,13 +113,14 @@ def _sketched(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 t = Texts(part.column("text"))
                 found = sketches(t)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("node", "h1", "h2")] + [pa.array(np.diff(t.word_at), pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                    names=["node", "h1", "h2", "n", "sketches"],
+                    [part.column(c) for c in ("node", "h1", "h2")] + [pa.array(np.diff(t.word_at), pa.int64()), pa.array(found, pa.list_(pa.int64()))] + [pa.array(b) for b in bounds(t).T.copy()],
+                    names=["node", "h1", "h2", "n", "sketches", *BOUNDS],
                 )
 
     text = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column), text.alias("text")).select(_node(id_column, "text").alias("node"), *_prints("text"), "text")
-    return rows.mapInArrow(compute, "node long, h1 long, h2 long, n long, sketches array<long>")
+    schema = f"node {NODE}, h1 long, h2 long, n long, sketches array<long>, " + ", ".join(f"{b} long" for b in BOUNDS)
+    return rows.mapInArrow(compute, schema)
 
 
 def _prints(text: str) -> list[Column]:
@@ -116,12 +134,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     Only sketches are shuffled; texts only of the documents that share a sketch with another text.
     """
     rows = materialize(_sketched(docs, id_column, text), "sketches")
-    classes = rows.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    classes = rows.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ["n", "sketches", *BOUNDS]))
     classes = materialize(classes, "classes")
-    buckets = classes.select("node", "n", F.col("copies").alias("weight"), F.posexplode("sketches").alias("i", "sketch"))
-    buckets = buckets.select(F.xxhash64("i", "sketch").alias("bucket"), "node", "n", "weight")
+    buckets = classes.select("node", F.posexplode("sketches").alias("i", "sketch")).select(F.xxhash64("i", "sketch").alias("bucket"), "node")
     busy = buckets.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
-    members = materialize(buckets.join(busy, "bucket"), "members")
+    shared = buckets.join(busy, "bucket").join(classes.select("node", "n", F.col("copies").alias("weight"), *BOUNDS), "node")
+    members = materialize(shared.select("bucket", "node", "n", "weight", *BOUNDS), "members")
 
     needed = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("node").alias("rep"))
     whole = docs.select(_node(id_column, text).alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -129,27 +147,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts = whole.join(needed, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("node") == F.col("rep")), "left_semi")
     texts = materialize(texts.dropDuplicates(["h1", "h2"]).select("node", "text"), "texts")
 
-    def sizes(x, y) -> Column:
-        return F.least(x("n"), y("n")) >= F.floor(least * F.greatest(x("n"), y("n")))
+    def candidates(x, y) -> Column:
+        """Holds for every pair that is similar."""
+        longer = F.greatest(x("n"), y("n"))
+        edits = F.floor((1 - least) * longer + 1e-9)
+        more = lambda p, q: sum((F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c)))) for c in BOUNDS[1:]), F.bit_count(p("b0").bitwiseAND(F.bitwise_not(q("b0")))))
+        return (longer - F.least(x("n"), y("n")) <= edits) & (more(x, y) <= edits) & (more(y, x) <= edits)
 
-    groups = linked_groups(members, verifier(texts, least), sizes, sizes).select(F.col("node").alias("class_node"), "root")
+    groups = linked_groups(members, verifier(texts, least), candidates, candidates).select(F.col("node").alias("class_node"), "root")
     of_class = classes.select("h1", "h2", F.col("node").alias("class_id"), "n")
     of_class = of_class.join(groups, F.col("class_id") == F.col("class_node"), "left").select("h1", "h2", "class_id", "n", F.coalesce("root", "class_id").alias("group_id"))
     # Documents without a word share a class of texts and are still linked to none.
     alone = F.col("n") == 0
     found = rows.select("node", "h1", "h2").join(of_class, ["h1", "h2"])
+    class_id, group_id = (F.when(alone, F.col("node")).otherwise(F.col(c)) for c in ("class_id", "group_id"))
     return found.select(
-        F.when(F.col("node") >= 0, F.col("node")).alias(id_column),
-        F.when(alone, F.col("node")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("node")).otherwise(F.col("group_id")).alias("group_id"),
-        (alone | (F.col("node") == F.col("group_id"))).alias("kept"),
-        "h1", "h2",
+        F.when(F.col("node.known"), F.col("node.id")).alias(id_column),
+        class_id["id"].alias("class_id"), group_id["id"].alias("group_id"), (F.col("node") == group_id).alias("kept"), "h1", "h2",
     ).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of `docs` that are the kept document of their group, with all columns; rows repeated whole stay once."""
+    """The rows of `docs` that are the kept document of their group, with all columns; rows that agree in all columns stay once."""
     kept = near_duplicates(docs, id_column, text, least).where("kept").select(F.col(id_column).alias("k_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keys = [F.col(id_column).cast("long").eqNullSafe(F.col("k_id")), F.xxhash64(plain) == F.col("k1"), F.xxhash64(F.lit("second"), plain) == F.col("k2")]
-    return docs.join(kept, keys[0] & keys[1] & keys[2], "left_semi").dropDuplicates([id_column, text])
+    return docs.join(kept, keys[0] & keys[1] & keys[2], "left_semi").dropDuplicates()

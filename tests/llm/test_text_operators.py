@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -289,3 +290,52 @@ def test_short_lines_and_single_letters_are_linked(spark):
     found = {r.doc_id: r.lines_dropped_ for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [found[i] for i in range(8)] == [0, 1, 0, 1, 0, 0, 0, 1]
     assert sum(found[100 + 2 * i + 1] for i in range(len(pairs))) >= 0.9 * len(pairs) and not any(found[100 + 2 * i] for i in range(len(pairs)))
+
+
+def test_ids_of_any_sign_and_rows_that_share_id_and_text(spark):
+    text, near = prose(60, 60), prose(60, 60) + " end"
+    rows = [(-5, text, "a"), (-5, text, "b"), (-5, text, "b"), (3, near, "c"), (None, prose(61, 60), "d"), (-9, prose(62, 60), "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    group = {r.doc_id: r.group_id for r in near_duplicates.near_duplicates(docs).where("doc_id IS NOT NULL").collect()}
+    assert group == {-5: -5, 3: -5, -9: -9}
+    kept = sorted(((r.doc_id, r.lang) for r in near_duplicates.drop_near_duplicates(docs).collect()), key=repr)
+    assert kept == sorted([(-5, "a"), (-5, "b"), (None, "d"), (-9, "e")], key=repr)
+
+
+def test_bounds_never_exceed_the_edits():
+    import random
+
+    pick = random.Random(11)
+    for _ in range(60):
+        a = [f"w{pick.randrange(80)}" for _ in range(pick.randint(1, 150))]
+        b = list(a)
+        for _ in range(pick.randint(0, 30)):
+            i = pick.randrange(len(b) + 1)
+            b[i : i + pick.randint(0, 1)] = [f"w{pick.randrange(80)}"] * pick.randint(0, 1)
+        t = Texts(pa.array([" ".join(a), " ".join(b)]))
+        t.words()
+        x, y = (np.unpackbits(row.view(np.uint8)).astype(bool) for row in near_duplicates.bounds(t))
+        edits = alignment.edit_distance(*alignment.words_of(pa.array([" ".join(a), " ".join(b)])), 1000)
+        assert (x & ~y).sum() <= edits and (y & ~x).sum() <= edits
+
+
+def test_groups_against_alignment_of_all_pairs(spark, documents):
+    """No two documents are in one group unless links of sufficient similarity join them, and few links are missed."""
+    rows = {r.doc_id: r.text or "" for r in documents.collect()}
+    words = dict(zip(rows, alignment.words_of(pa.array(list(rows.values())))))
+    parent = {i: i for i in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links, ids = [], sorted(i for i in rows if len(words[i]))
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if min(len(words[a]), len(words[b])) >= 0.8 * max(len(words[a]), len(words[b])) - 1 and alignment.similar(words[a], words[b], 0.8):
+                links.append((a, b))
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+    group = {r.doc_id: r.group_id for r in near_duplicates.near_duplicates(documents).collect()}
+    assert links and sum(group[a] == group[b] for a, b in links) >= 0.95 * len(links)
+    assert all(top(i) == top(g) for i, g in group.items() if len(words[i]))
