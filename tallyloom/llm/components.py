@@ -48,24 +48,38 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(found.join(roots, F.col("next") == F.col("at")).select("node", "root"), "components")
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], to_heaviest: Condition | None = None, to_each_other: Condition | None = None) -> DataFrame:
+def linked_groups(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    to_heaviest: Condition | None = None,
+    to_each_other: Condition | None = None,
+    attributes: DataFrame | None = None,
+) -> DataFrame:
     """(node, root) of the nodes that verified links join, where only nodes in one bucket can be linked.
 
-    `members` has columns bucket, node, weight and any others that the conditions
-    read; it is read several times, so give a stored table. `verify` takes
-    distinct pairs (a, b) and returns those that are linked.
+    `members` has columns bucket, node, weight; it is read several times, so give a stored
+    table. Other columns that the conditions read stand there as well, or once for each node in
+    `attributes`. `verify` takes distinct pairs (a, b) and returns those that are linked.
 
-    A bucket is not expanded into pairs. Its heaviest node is compared with all
+    Of buckets that hold the same nodes one is enough: they are known by the number of their nodes, a sum of the nodes'
+    hashes and their heaviest node. A bucket is not expanded into pairs. Its heaviest node is compared with all
     others first, which joins a group of copies in as many comparisons as it has
     members. Only nodes of one bucket that are then still in different groups are
     compared with each other, so no link between groups is lost. The conditions say
     which pairs of either kind are candidates at all; each takes two functions from
     a column's name to the column of one member.
     """
-    columns = [c for c in members.columns if c not in ("bucket", "node", "weight")]
-    first = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node", *columns)).alias("pivot"))
-    first = materialize(first.where("n > 1").select("bucket", "pivot"), "pivots")
-    shared = materialize(members.join(first, "bucket"), "shared")
+    hashed = F.xxhash64("node")
+    first = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 32)).alias("s"), F.max(F.struct("weight", "node")).alias("pivot")
+    )
+    kept = first.where("n > 1").groupBy("n", "x", "s", F.col("pivot.node").alias("pivot")).agg(F.min("bucket").alias("bucket"))
+    kept = materialize(kept.select("bucket", "pivot"), "pivots")
+    shared = members.join(kept, "bucket")
+    shared = materialize(shared if attributes is None else shared.join(attributes, "node"), "shared")
+    columns = [c for c in shared.columns if c not in ("bucket", "weight", "pivot")]
+    heads = shared.where("node = pivot").select("bucket", F.struct(*columns).alias("pivot")).dropDuplicates(["bucket"])
+    shared = shared.drop("pivot").join(heads, "bucket")
     stars = shared.where("node != pivot.node")
     if to_heaviest:
         stars = stars.where(to_heaviest(F.col, lambda c: F.col(f"pivot.{c}")))
@@ -73,10 +87,10 @@ def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     groups = components(materialize(verify(stars).select("a", "b"), "stars"))
 
     placed = shared.withColumn("pivot", F.col("pivot.node")).join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
-    placed = materialize(placed.withColumn("root", F.coalesce("root", "node")).drop("g_node"), "placed")
+    placed = placed.withColumn("root", F.coalesce("root", "node")).drop("g_node")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     mixed = mixed.where("low != high and n > 2").select("bucket")
-    left = placed.join(mixed, "bucket").where("node != pivot")
+    left = materialize(placed.join(mixed, "bucket").where("node != pivot"), "placed")
     x, y = left.alias("x"), left.alias("y")
     condition = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     if to_each_other:
