@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -34,14 +35,14 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return max(len(a), len(b))
     if max(len(a), len(b)) - shared(a, b) > most:
         return None
-    mismatches: dict[int, list[int]] = {}
+    mismatches: dict[int, array] = {}
 
     def follow(k: int, i: int) -> int:
         """From row i on diagonal k (column i + k) to the next mismatch or the end."""
         end = min(len(a), len(b) - k)
         if k not in mismatches:
             low = max(0, -k)
-            mismatches[k] = (np.flatnonzero(a[low:end] != b[low + k : end + k]) + low).tolist()
+            mismatches[k] = array("i", (np.flatnonzero(a[low:end] != b[low + k : end + k]) + low).astype(np.int32).tobytes())
         found = mismatches[k]
         at = bisect_left(found, i)
         return found[at] if at < len(found) else end

@@ -1,6 +1,6 @@
 """Near-duplicate vectors by iterative quantisation.
 
-Vectors of length one are centred, turned into their principal axes, and rotated so
+Vectors of length one are centred (unless there are too few to have a centre), turned into their principal axes, and rotated so
 that their signs lose little: binary codes with balanced bits. Two such rotations
 give two codes. Each code is cut into substrings, one Hamming table each; a vector
 stands in a table under its substring and under all that differ in one bit, so
@@ -41,7 +41,8 @@ SEED = 3
 def fit_rotations(sample: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(mean, projection) for each code, from vectors of length one padded to `width`."""
     bits = TABLES * TABLE_BITS
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(width)
+    # The centre of a few vectors lies between near copies and would part them.
+    mean = sample.mean(axis=0) if len(sample) > 2 * width else np.zeros(width)
     centred = sample - mean
     values, axes = np.linalg.eigh(centred.T @ centred + 1e-12 * np.eye(width))
     axes = axes[:, np.argsort(-values, kind="stable")]
@@ -93,7 +94,7 @@ def _coded(classes: DataFrame, rotations, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "dim", "node")] + [pa.array(codes[:, i]) for i in range(codes.shape[1])], names=["label", "dim", "node", *(f"c{i}" for i in range(codes.shape[1]))])
 
     fields = ", ".join(f"c{i} int" for i in range(ROTATIONS * TABLES))
-    return classes.select("label", "dim", "node", "vector").mapInArrow(compute, f"label {classes.schema['label'].dataType.simpleString()}, dim int, node struct<id:bigint,h1:bigint>, {fields}")
+    return classes.select("label", "dim", "node", "vector").mapInArrow(compute, f"label {classes.schema['label'].dataType.simpleString()}, dim int, node {classes.schema['node'].dataType.simpleString()}, {fields}")
 
 
 def _close_pairs(coded: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
     usable = rows.where("usable")
     same = ["label", "dim", "h1", "h2"]
     classes = usable.groupBy(*same).agg(F.min(node_id).alias("smallest"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = materialize(classes.select(*same, F.struct(F.col("smallest").alias("id"), "h1").alias("node"), "copies", "vector"), "vectors")
+    classes = materialize(classes.select(*same, F.struct(F.col("smallest").alias("id"), "h1", "label", "dim").alias("node"), "copies", "vector"), "vectors")
 
     width = classes.agg(F.max("dim")).first()[0] or 1
     sample = drawn(classes, FIT_ROWS, "h1", "h2").select("vector").toArrow().column("vector").combine_chunks()

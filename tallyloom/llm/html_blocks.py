@@ -80,7 +80,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = anchors = 0
     at, size = 0, len(page)
-    lower = None
+    opened: dict[str, int] = {}
 
     def close_block():
         nonlocal parts, linked
@@ -96,6 +96,12 @@ def blocks(page: str) -> list[Block]:
         for token in own:
             path[_bucket(token, PATH_DIMS)] += 1
         stack.append((name, path, _says(own, stack[-1][2] if stack else None)))
+        opened[name] = opened.get(name, 0) + 1
+
+    def leave() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
 
     while at < size:
         mark = page.find("<", at)
@@ -136,8 +142,8 @@ def blocks(page: str) -> list[Block]:
                 close_block()
             elif name == "a":
                 anchors = 0
-            if any(n == name for n, *_ in stack):
-                while stack.pop()[0] != name:
+            if opened.get(name):
+                while leave() != name:
                     pass
             continue
         if name == "br":
@@ -151,22 +157,23 @@ def blocks(page: str) -> list[Block]:
             if name not in _INLINE:
                 close_block()
             if not attributes.rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                lower = lower or page.lower()
-                end = lower.find(f"</{name}", at)
-                end = page.find(">", end) if end >= 0 else -1
+                # In the page itself: its lower-case form may be longer.
+                end = re.compile(f"</{re.escape(name)}", re.I | re.A).search(page, at)
+                end = page.find(">", end.start()) if end else -1
                 at = size if end < 0 else end + 1
             continue
         if name not in _INLINE:
             close_block()
             # A block-level element ends an open paragraph; an item ends the item before it.
             while stack and (stack[-1][0] == "p" or stack[-1][0] in _INLINE) and any(n == "p" for n, *_ in stack[-8:]):
-                stack.pop()
+                leave()
             if name in _SIBLING:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in _SIBLING[name]:
                         break
                     if stack[i][0] == name:
-                        del stack[i:]
+                        while len(stack) > i:
+                            leave()
                         break
         elif name == "a":
             anchors = 1

@@ -255,3 +255,28 @@ def test_recall_of_the_index():
             met |= (differ <= 2).any(axis=1)
             apart += differ.sum(axis=1)
         assert (met & (apart <= embeddings.CODE_BITS_APART)).mean() >= 0.98
+
+
+def test_two_near_vectors_alone_and_one_id_under_two_labels(spark):
+    from tallyloom.llm.embeddings import near_vectors
+
+    schema = "vec_id long, embedding array<double>, label int"
+    found = near_vectors(spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0], 1), (2, [1.0, 2.0, 3.0, 4.1], 1)], schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (2, 1, 1)]
+    v, w, far = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.1], [4.0, -3.0, 2.0, -1.0]
+    # Row 5 stands under two labels with one vector; its links stay within each label.
+    rows = [(5, v, 1), (5, v, 2), (3, w, 1), (4, w, 2), (7, far, 1)]
+    found = near_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(3, 1, 3), (4, 1, 4), (5, 1, 3), (5, 1, 4), (7, 0, 7)]
+
+
+def test_pages_with_longer_lower_case_and_deep_pages():
+    import time
+
+    from tallyloom.llm import html_blocks
+
+    page = "<p>" + "İ" * 60 + "</p><SCRIPT>var a = '<p>no</p>'</Script><p>The paragraph after it.</p>"
+    assert [b.text for b in html_blocks.blocks(page)] == ["İ" * 60, "The paragraph after it."]
+    start = time.process_time()
+    assert html_blocks.blocks("<div>" * 16000 + "</section>" * 16000 + "end")[0].text == "end"
+    assert time.process_time() - start < 10
