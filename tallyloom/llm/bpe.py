@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.kept import kept
-from tallyloom.llm.words import slices
+from tallyloom.llm.words import Texts, slices
 from tallyloom.scratch import materialize
 
 #: Code points of a piece; longer texts are halved.
@@ -36,6 +36,8 @@ PIECE = 32_768
 WINDOW, AGREE = 32, 4
 #: Chunks, and cores of chunks, whose encodings a worker keeps, the first it meets; later ones are encoded again each time.
 KEPT = 400_000
+#: Chunks that are kept by their hash.
+WORDS_KEPT = 2_000_000
 #: Cores that go to the library in one call.
 CALL = 2048
 
@@ -130,6 +132,69 @@ class Encoder:
         return out
 
 
+class WordIds:
+    """Ids of chunks by their 64-bit hash, in flat arrays: a batch looks each distinct chunk up once, and its ids are gathered without a Python step for each word."""
+
+    def __init__(self, coder: Encoder):
+        self.coder = coder
+        # Chunks are kept here instead.
+        coder.ids_of.most = 0
+        none = np.zeros(0, np.int64)
+        # Sorted tables of (hash, place in flat, number of ids): a large one, and a small one of what came last.
+        self.tables = [(np.zeros(0, np.uint64), none, none)] * 2
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+        for own, own_at, own_n in self.tables:
+            if len(own):
+                place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                found = own[place] == keys
+                at[found], n[found] = own_at[place[found]], own_n[place[found]]
+        return at, n
+
+    def _keep(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        def merged(table, more):
+            both = [np.concatenate(c) for c in zip(table, more)]
+            order = np.argsort(both[0])
+            return tuple(c[order] for c in both)
+
+        large, small = self.tables
+        small = merged(small, (keys, at, n))
+        if len(small[0]) > max(1 << 15, len(large[0]) // 8):
+            large, small = merged(large, small), tuple(c[:0] for c in small)
+        self.tables = [large, small]
+
+    def rows(self, texts: pa.Array) -> list[bytes]:
+        """For each text its ids as little-endian 32-bit numbers."""
+        t = Texts(texts)
+        t.words()
+        keys, first, place = np.unique(t.hashes(t.start, t.end, fold=False), return_index=True, return_inverse=True)
+        at, n = self._find(keys)
+        new = np.flatnonzero(n < 0)
+        if len(new):
+            raw = t.data.tobytes()
+            words = [raw[a:b] for a, b in zip(t.start[first[new]].tolist(), t.end[first[new]].tolist())]
+            self.coder._learn(set(words), False)
+            found = [self.coder.ids_of[w] for w in words]
+            self.coder.ids_of.passing.clear()
+            ids = np.frombuffer(b"".join(found), "<u4")
+            n[new] = np.array([len(f) // 4 for f in found])
+            at[new] = self.used + np.cumsum(n[new]) - n[new]
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + len(ids), np.uint32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            # Beyond the bound chunks are encoded again each time, and their ids overwritten.
+            if sum(len(table[0]) for table in self.tables) < WORDS_KEPT:
+                self.used += len(ids)
+                self._keep(keys[new], at[new], n[new])
+        n_of = n[place]
+        total = np.concatenate([[0], np.cumsum(n_of)])
+        ids = self.flat[np.repeat(at[place] - total[:-1], n_of) + np.arange(total[-1])].astype("<u4")
+        edges = total[t.word_at].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+
+
 def encoder(path: str, decoded: bool = True) -> Encoder:
     return kept(("encoder", path, decoded), lambda: Encoder(path, decoded))
 
@@ -278,11 +343,10 @@ def encode_in_place(rows: DataFrame, path: str, text: str = "text") -> DataFrame
     plain = rows.select(*others, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, False)
+        words = kept(("word ids", path), lambda: WordIds(Encoder(path, False)))
         for batch in batches:
             for part in slices(batch, text):
-                found = coder.chunked([t.encode() for t in part.column(text).to_pylist()], False)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array([f[0] for f in found], pa.binary())], names=[*others, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(words.rows(part.column(text)), pa.binary())], names=[*others, "ids"])
 
     return plain.mapInArrow(whole, rows.select(*others, F.lit(b"").cast("binary").alias("ids")).schema)
 

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,3 +139,16 @@ def test_long_texts_of_a_shuffled_frame(spark, coder):
     texts = {r.doc_id: r.text for r in documents.collect()}
     assert len(found) == len(texts)
     assert all(bpe.tokens(r.ids).tolist() == library(coder, texts[r.doc_id])[0] for r in found)
+
+
+@pytest.mark.parametrize("most", [bpe.WORDS_KEPT, 40, 0])
+def test_ids_by_hash_are_those_of_the_library(spark, coder, monkeypatch, most):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", most)
+    words = bpe.WordIds(bpe.Encoder(PATH, False))
+    texts = ODD + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]
+    for _ in range(2):
+        for at in range(0, len(texts), 7):
+            part = texts[at : at + 7]
+            for text, ids in zip(part, words.rows(pa.array(part, pa.string()))):
+                assert np.frombuffer(ids, "<u4").tolist() == library(coder, text)[0], text
+    assert words.rows(pa.array([], pa.string())) == [] and words.rows(pa.array([None, ""], pa.string())) == [b"", b""]
