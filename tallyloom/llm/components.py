@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.scratch import materialize
 
+#: Further rounds in which one member of a bucket is compared with the others.
+ROUNDS = 3
+
 Condition = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
@@ -64,7 +67,7 @@ def linked_groups(
     Of buckets that hold the same nodes one is enough: they are known by the number of their nodes, a sum of the nodes'
     hashes and their heaviest node. A bucket is not expanded into pairs. Its heaviest node is compared with all
     others first, which joins a group of copies in as many comparisons as it has
-    members. Only nodes of one bucket that are then still in different groups are
+    members; in ROUNDS further rounds another member of each bucket that still holds several groups is. Only nodes of one bucket that are then still in different groups are
     compared with each other, so no link between groups is lost. The conditions say
     which pairs of either kind are candidates at all; each takes two functions from
     a column's name to the column of one member.
@@ -86,11 +89,24 @@ def linked_groups(
     stars = stars.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
     groups = components(materialize(verify(stars).select("a", "b"), "stars"))
 
-    placed = shared.withColumn("pivot", F.col("pivot.node")).join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node")).drop("g_node")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low != high and n > 2").select("bucket")
-    left = materialize(placed.join(mixed, "bucket").where("node != pivot"), "placed")
+    for round_ in range(ROUNDS + 1):
+        placed = shared.drop("pivot").join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
+        placed = placed.withColumn("root", F.coalesce("root", "node")).drop("g_node")
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+        mixed = mixed.where("low != high and n > 2").select("bucket")
+        left = materialize(placed.join(mixed, "bucket"), "placed")
+        if round_ == ROUNDS or left.isEmpty():
+            break
+        # One more member, another in each round, is compared with all that are in other groups.
+        own = F.struct(*[c for c in left.columns if c not in ("bucket", "weight")])
+        chosen = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), own.alias("m")))["m"].alias("pivot"))
+        more = left.join(chosen, "bucket").where("root != pivot.root")
+        if to_heaviest:
+            more = more.where(to_heaviest(F.col, lambda c: F.col(f"pivot.{c}")))
+        more = more.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        more = materialize(verify(more).select("a", "b"), "stars")
+        if not more.isEmpty():
+            groups = components(groups.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     x, y = left.alias("x"), left.alias("y")
     condition = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     if to_each_other:
