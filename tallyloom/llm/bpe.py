@@ -37,7 +37,7 @@ WINDOW, AGREE = 32, 4
 #: Chunks, and cores of chunks, whose encodings a worker keeps, the first it meets; later ones are encoded again each time.
 KEPT = 400_000
 #: Chunks that are kept by their hash.
-WORDS_KEPT = 2_000_000
+WORDS_KEPT = 800_000
 #: Cores that go to the library in one call.
 CALL = 2048
 
@@ -137,8 +137,8 @@ class WordIds:
 
     def __init__(self, coder: Encoder):
         self.coder = coder
-        # Chunks are kept here instead.
-        coder.ids_of.most = 0
+        # Chunks are kept here instead, and few cores.
+        coder.ids_of.most, coder.cores.most = 0, KEPT // 4
         none = np.zeros(0, np.int64)
         # Sorted tables of (hash, place in flat, number of ids): a large one, and a small one of what came last.
         self.tables = [(np.zeros(0, np.uint64), none, none)] * 2
