@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tallyloom.catalogue.registry import Tables, query, rounded
 from tallyloom.operators import retrieval as r
 from tallyloom.operators.ranking import top_n_per_key
+from tallyloom.operators.stored_vectors import VectorIndex
 from tallyloom.plans import assistant
+from tallyloom.scratch import new_path
 
 _CENTROID = (
     "q AS (SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) g(i) GROUP BY i))"
@@ -188,3 +190,36 @@ def added_examples(t: Tables):
     listed = rows.select(F.lit("row").alias("kind"), F.col("id").alias("owner"), F.concat("task", "code").alias("text"), F.lit(None).cast("double").alias("number"))
     listed = listed.unionByName(vectors.select(F.lit("vector").alias("kind"), F.col("id").alias("owner"), "text", F.get("embedding", F.lit(0)).cast("double").alias("number")))
     return listed.unionByName(memory.select(F.lit("memory").alias("kind"), "owner", "text", F.col("importance").alias("number")))
+
+
+def vector_index(t: Tables, metric: str = "l2") -> VectorIndex:
+    return VectorIndex.create(t.embeddings, new_path(t.spark, "vectors"), id_column="vec_id", metric=metric)
+
+
+@query(f"WITH {_CENTROID} SELECT vec_id, label, round({_L2}, 6) AS distance FROM embeddings, q ORDER BY {_L2}, vec_id LIMIT 5")
+def stored_knn(t: Tables):
+    return rounded(vector_index(t).nearest(probe(t), r.HITS).select("vec_id", "label", "distance"), "distance")
+
+
+@query(f"WITH {_CENTROID} SELECT vec_id, label, round({_COS}, 6) AS distance FROM embeddings, q ORDER BY {_COS}, vec_id LIMIT 5")
+def stored_knn_cosine(t: Tables):
+    return rounded(vector_index(t, "cosine").nearest(probe(t), r.HITS).select("vec_id", "label", "distance"), "distance")
+
+
+@query(
+    f"WITH {_CENTROID} SELECT vec_id, label, round({_L2}, 6) AS distance FROM embeddings, q WHERE label = (SELECT max(label) FROM embeddings) ORDER BY {_L2}, vec_id LIMIT 5"
+)
+def stored_knn_filtered(t: Tables):
+    label = t.embeddings.agg(F.max("label")).first()[0]
+    return rounded(vector_index(t).nearest(probe(t), r.HITS, F.col("label") == label).select("vec_id", "label", "distance"), "distance")
+
+
+@query(
+    "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance "
+    "FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) "
+    "SELECT query_id, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM p QUALIFY rank <= 4"
+)
+def few_shots_for_each(t: Tables):
+    """The examples nearest to each of many tasks: every row whose id is divisible by 50 asks, all rows answer."""
+    tasks = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(vector_index(t).nearest_to_each(tasks, r.SHOTS), "distance")
