@@ -1,12 +1,11 @@
 """License scan by a positional index of rare words, with built-in functions only.
 
-Templates are short passages of licences. How rare each of their words is, is counted
-over all documents. The rarest word of a template's mandatory key phrase is its
-posting: a file without it has no key phrase, and where a file has it, the template
-would have to stand at that place less the word's own place in it. At each such place
-the key phrase is verified word by word, and
-the share of the template's words that stand at their places, weighted by rarity, is
-the score.
+Templates are passages and notices of licences, each with a mandatory key phrase. How rare each of their words is, is counted
+over all documents. The LOOKED_UP rarest words of a key phrase are its postings: (word, place in the template). A file that
+lacks one of them holds no such phrase. In a file that has them, every place of such a word less its place in the template is
+where the template would have to start; the starts that all postings agree on are kept, and the key phrase is verified there word by
+word. The score of a place is the share of the template's words, weighted by rarity, that the file has at most SHIFT words from
+where they would stand, so a few words put in or left out cost no more than themselves.
 
 Defined cases: a null text is an empty one, without words. Rows are looked at one by
 one, so repeated rows and ids are no matter. A word no document has is as rare as can
@@ -15,6 +14,7 @@ be. Result columns replace columns of their names; other extra columns are passe
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Least score of a template beyond its key phrase.
 LEAST = 0.6
+#: Words of a key phrase whose places are intersected, and how far words of a passage may have moved.
+LOOKED_UP, SHIFT = 3, 8
 _WORDLESS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,20 +37,40 @@ BASE = [
 # Label, passage of the licence, mandatory key phrase.
 MORE = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions of source code must retain", "redistributions of source code must retain"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary form must reproduce"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", "the author disclaims all warranties with regard to this software"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "www apache org licenses license 2 0"),
     ("gpl", "gnu general public license", "gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "free software you can redistribute it and or modify it"),
     ("gpl-2", "gnu general public license version 2", "gnu general public license version 2"),
     ("gpl-3", "gnu general public license version 3", "gnu general public license version 3"),
     ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
     ("agpl", "gnu affero general public license", "gnu affero general public license"),
+    ("mpl", "mozilla public license", "mozilla public license"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("epl", "eclipse public license", "eclipse public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("boost", "boost software license version 1 0", "boost software license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "in no event will the authors be held liable for any damages"),
+    ("wtfpl", "do what the fuck you want to public license", "do what the fuck you want to public license"),
+    ("artistic", "artistic license 2 0", "artistic license"),
+    ("cc0", "cc0 1 0 universal", "cc0 1 0 universal"),
     ("cc-by-sa", "cc by sa", "cc by sa"),
+    ("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution sharealike"),
     ("cc-by-nc", "creative commons attribution noncommercial", "creative commons attribution noncommercial"),
     ("cc-by", "creative commons attribution", "creative commons attribution"),
 ]
+# Label, and how its identifier reads after "SPDX-License-Identifier:".
+IDENTIFIERS = [
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"),
+    ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("epl", "epl 2 0"), ("unlicense", "unlicense"), ("boost", "bsl 1 0"),
+    ("zlib", "zlib"), ("artistic", "artistic 2 0"), ("cc0", "cc0 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"),
+]
+MORE += [(label, f"spdx license identifier {name}", f"spdx license identifier {name}") for label, name in IDENTIFIERS]
 
 
 @dataclass(frozen=True)
@@ -76,37 +98,45 @@ def words(text: Column) -> Column:
 def rarity(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """Inverse document frequency of the words of all templates, over all documents. One row per word of the templates reaches the driver."""
     vocabulary = F.array(*(F.lit(w) for w in VOCABULARY))
-    found = docs.select(F.explode(F.array_intersect(words(F.col(text)), vocabulary)).alias("word")).groupBy("word").count()
+    # No word is empty: the empty one counts the documents.
+    found = docs.select(F.explode(F.array_append(F.array_intersect(words(F.col(text)), vocabulary), F.lit(""))).alias("word")).groupBy("word").count()
     counts = {row.word: row["count"] for row in found.collect()}
-    total = docs.count()
+    total = counts.get("", 0)
     return {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1e-9 for w in VOCABULARY}
 
 
-def _rarest_first(template: Template, rare: dict[str, float]) -> list[tuple[str, int]]:
-    """The words of the key phrase with their places in it. The first one leads to every place where the phrase stands."""
-    return sorted(((w, i) for i, w in enumerate(template.key)), key=lambda x: (-rare[x[0]], x[1]))
+def _postings(template: Template, rare: dict[str, float]) -> list[tuple[str, int]]:
+    """The rarest words of the key phrase with their places in the template, rarest first."""
+    return sorted(((w, template.key_at + i) for i, w in enumerate(template.key)), key=lambda x: (-rare[x[0]], x[1]))[:LOOKED_UP]
 
 
-def _places(template: Template, rare: dict[str, float]) -> Column:
-    """(label, start, score, base) of the places in `w` where the key phrase is verified; `hits` has the words that are anchors."""
-    key = _rarest_first(template, rare)
-    first, at = key[0]
-    starts = F.transform(F.filter("hits", lambda h: h["word"] == first), lambda h: h["at"] - F.lit(template.key_at + at))
-    word_at = lambda start, i: F.get(F.col("w"), start + F.lit(i))
-
-    def stands(start: Column) -> Column:
-        # The base takes a phrase wherever it stands; a longer passage may begin before the text does.
-        begin = start + F.lit(template.key_at)
-        found = begin >= 0
-        for word, place in key[1:]:
-            found &= F.coalesce(word_at(begin, place) == word, F.lit(False))
-        return found
+def _starts(word: str, at: int) -> Column:
+    """Where a template would start that has this word at this place."""
+    return F.transform(F.filter("hits", lambda h: h["word"] == word), lambda h: h["at"] - F.lit(at))
 
+
+def _places(template: Template, rare: dict[str, float]) -> Column:
+    """(label, start, score, base) of the places in `w` where the key phrase is verified; `hits` has the words that are looked up."""
+    starts = functools.reduce(F.array_intersect, [_starts(word, at) for word, at in _postings(template, rare)])
+    key_at, size = template.key_at, len(template.words)
+    literal = lambda values: F.array(*(F.lit(v) for v in values))
+    begin = lambda start: start + F.lit(key_at)
+    # A longer passage may begin before the text does; its key phrase may not.
+    stands = lambda start: (begin(start) >= 0) & (F.slice("w", F.greatest(begin(start), F.lit(0)) + 1, F.lit(len(template.key))) == literal(template.key))
     total = sum(rare[w] for w in template.words)
-    score = lambda start: sum((F.when(word_at(start, i) == w, rare[w] / total).otherwise(0.0) for i, w in enumerate(template.words)), F.lit(0.0))
-    place = lambda s: F.struct(
-        F.lit(template.label).alias("label"), (s + F.lit(template.key_at)).cast("long").alias("start"), F.least(F.lit(1.0), F.round(score(s), 9)).alias("score"), F.lit(template.base).alias("base")
-    )
+
+    def near(at: Column) -> Column:
+        low = F.greatest(at - SHIFT, F.lit(0))
+        return F.slice("w", low + 1, F.greatest(at + (SHIFT + 1) - low, F.lit(0)))
+
+    def score(start: Column) -> Column:
+        if template.words == template.key:
+            return F.lit(1.0)
+        weighed = F.arrays_zip(literal(template.words).alias("word"), literal([rare[w] / total for w in template.words]).alias("weight"), F.sequence(F.lit(0), F.lit(size - 1)).alias("i"))
+        add = lambda sum_, x: sum_ + F.when(F.array_contains(near(start + x["i"]), x["word"]), x["weight"]).otherwise(0.0)
+        return F.least(F.lit(1.0), F.round(F.aggregate(weighed, F.lit(0.0), add), 9))
+
+    place = lambda s: F.struct(F.lit(template.label).alias("label"), begin(s).cast("long").alias("start"), score(s).alias("score"), F.lit(template.base).alias("base"))
     placed = F.transform(F.filter(starts, stands), place)
     return placed if template.base else F.filter(placed, lambda p: p["score"] >= LEAST)
 
@@ -114,15 +144,21 @@ def _places(template: Template, rare: dict[str, float]) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score and `places` (label, start of the key phrase, score)."""
     rare = rarity(docs, text)
-    anchors = sorted({_rarest_first(t, rare)[0][0] for t in TEMPLATES})
+    postings = [[w for w, _ in _postings(t, rare)] for t in TEMPLATES]
+    looked_up = sorted({w for own in postings for w in own})
     results = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
     names = [c for c in docs.columns if c not in results]
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), words(F.col(text)).alias("w"))
-    located = F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("at")))
-    rows = rows.withColumn("hits", F.when(F.arrays_overlap("w", F.array(*(F.lit(a) for a in anchors))), F.filter(located, lambda h: h["word"].isin(anchors))).otherwise(F.filter(located, lambda h: F.lit(False))))
-    some = F.size("hits") > 0
-    for i, template in enumerate(TEMPLATES):
-        rows = rows.withColumn(f"p{i}", F.when(some, _places(template, rare)))
+    rows = rows.withColumn("own", F.array_intersect("w", F.array(*(F.lit(w) for w in looked_up))))
+    held = [F.lit(True)] * len(TEMPLATES)
+    for i, own in enumerate(postings):
+        for word in own:
+            held[i] &= F.array_contains("own", word)
+    rows = rows.withColumn("held", F.array(*held))
+    located = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda h: h["word"].isin(looked_up))
+    # Only files that hold all postings of some template have hits.
+    rows = rows.withColumn("hits", F.when(F.array_contains("held", True), located).otherwise(F.array().cast("array<struct<word:string,at:int>>")))
+    rows = rows.withColumns({f"p{i}": F.when(F.get("held", F.lit(i)), _places(template, rare)) for i, template in enumerate(TEMPLATES)})
     places = F.flatten(F.array(*(F.coalesce(f"p{i}", F.array().cast("array<struct<label:string,start:bigint,score:double,base:boolean>>")) for i in range(len(TEMPLATES)))))
     rows = rows.select(*(F.col(f"c{i}") for i in range(len(names))), F.size("w").cast("long").alias("n_words"), places.alias("places"))
     rows = rows.withColumn("base", F.filter("places", lambda p: p["base"]))

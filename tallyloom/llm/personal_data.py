@@ -78,15 +78,16 @@ _IBAN_AHEAD = 68
 
 
 def _iban_length(seen: Column) -> Column:
-    """Of the ends that no letter or digit follows and that pass the check: the one of the country's length, or else the last."""
+    """Of the ends that no letter or digit follows and that pass the check: the one of the country's length, or the last where the registry lacks the country."""
     run = F.regexp_extract(seen, r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){0,30}+", 0)
     ends = F.sequence(F.length(run), F.lit(15), F.lit(-1))
     until = lambda e: F.substring(seen, F.lit(1), e)
     closed = lambda e: ~F.substring(seen, e + 1, F.lit(1)).rlike("[A-Za-z0-9]") & (F.substring(seen, e, F.lit(1)) != " ")
     valid = F.filter(F.filter(ends, closed), lambda e: _mod97(until(e)))
     sizes = F.create_map(*(F.lit(x) for size, names in _IBAN_SIZES.items() for name in names.split() for x in (name, size)))
-    own = F.filter(valid, lambda e: F.length(_only(until(e), " ")) == F.element_at(sizes, F.substring(seen, 1, 2)))
-    return F.when(F.length(run) >= 15, F.coalesce(F.get(own, F.lit(0)), F.get(valid, F.lit(0))))
+    size = F.element_at(sizes, F.substring(seen, 1, 2))
+    own = F.filter(valid, lambda e: size.isNull() | (F.length(_only(until(e), " ")) == size))
+    return F.when(F.length(run) >= 15, F.get(own, F.lit(0)))
 
 
 def _parts_to_255(m: Column) -> Column:

@@ -1,6 +1,8 @@
 """Personal data, licences, web pages and vectors against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -129,6 +131,70 @@ def test_passages_without_their_rarest_word(spark):
     assert scanned(texts[:1] + [""] * 9)[0] == "mit"
 
 
+def plain_scan(texts):
+    """Labels and best score of each text, every template tried at every word."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    seen = Counter(w for own in words for w in set(own))
+    rare = {w: math.log((1 + len(texts)) / (1 + seen[w])) + 1e-9 for t in licenses.TEMPLATES for w in t.words}
+    out = []
+    for own in words:
+        labels, best = set(), 0.0
+        for t in licenses.TEMPLATES:
+            total = sum(rare[w] for w in t.words)
+            for i in range(len(own)):
+                if tuple(own[i : i + len(t.key)]) == t.key:
+                    score = 0.0
+                    for j, w in enumerate(t.words):
+                        at = i - t.key_at + j
+                        score += rare[w] / total if w in own[max(0, at - licenses.SHIFT) : max(0, at + licenses.SHIFT + 1)] else 0.0
+                    score = 1.0 if t.words == t.key else min(1.0, round(score, 9))
+                    if t.base or score >= licenses.LEAST:
+                        labels.add(t.label)
+                        best = max(best, score)
+        out.append((",".join(sorted(labels)), best))
+    return out
+
+
+MOVED = [
+    ("Permission is hereby granted, free of charge, to each and every person obtaining a copy of this software", "mit"), ("see the Mozilla Public License", "mpl"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("// SPDX-License-Identifier: Apache-2.0", "apache-2"), ("Redistributions of source code must retain", "bsd"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "agpl,gpl"),
+    ("you may obtain a copy at http://www.apache.org/licenses/LICENSE-2.0", None), ("www apache org licenses license 2 0", ""), ("spdx license identifier nothing known", ""),
+]
+
+
+def test_licences_against_every_template_at_every_word(spark):
+    pick = random.Random(6)
+    texts = [t for t, _ in MOVED] + LICENSED + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(150).collect()]
+    for _ in range(120):
+        own = []
+        for t in pick.sample(licenses.TEMPLATES, 2):
+            cut = [w for w in t.words if pick.random() > 0.1]
+            own += [x for w in cut for x in ([w, pick.choice(licenses.VOCABULARY)] if pick.random() < 0.1 else [w])]
+        texts.append(" ".join(own))
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = [(r.labels, r.score) for r in sorted(found)]
+    want = plain_scan(texts)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-8)
+    for (text, labels), (own, _) in zip(MOVED, got):
+        assert labels is None or own == labels, text
+
+
+def test_account_numbers_of_another_length_than_the_country_has(spark):
+    pick = random.Random(1)
+    short, long_ = ["DE" + "".join(pick.choice("0123456789") for _ in range(n)) for n in [14, 16, 18] * 300], []
+    for n in range(20, 33):
+        if n != 22:
+            # A check that passes, and a wrong length.
+            rest = "".join(pick.choice("0123456789") for _ in range(n - 4))
+            long_.append(f"DE{98 - int(rest + '131400') % 97:02d}{rest}")
+    assert spans_of(spark, [f"part {n}." for n in short + long_], "iban") == [[]] * len(short + long_)
+    rest = "123456789012"
+    unlisted = f"QQ{98 - int(rest + '262600') % 97:02d}{rest}"
+    assert spans_of(spark, [f"x {unlisted} y"], "iban") == [[unlisted]]
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>if (a < b) "</p>"</script></head><body><nav><ul><li><a href=/x>Menu</a></ul></nav>'
     "<!-- <p>gone</p> --><article><h1>Big &amp; bold</h1><p>One <b>t</b>wo<br>three&nbsp;four<p>Five &lt; six < 7 &copy;<ul><li>item<li>next</ul></article><div class='ad'>Buy</div><footer>End"
