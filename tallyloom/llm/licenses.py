@@ -110,35 +110,29 @@ def _postings(template: Template, rare: dict[str, float]) -> list[tuple[str, int
     return sorted(((w, template.key_at + i) for i, w in enumerate(template.key)), key=lambda x: (-rare[x[0]], x[1]))[:LOOKED_UP]
 
 
-def _starts(word: str, at: int) -> Column:
-    """Where a template would start that has this word at this place."""
-    return F.transform(F.filter("hits", lambda h: h["word"] == word), lambda h: h["at"] - F.lit(at))
+def _listed(values) -> str:
+    """An array of words or numbers in SQL; words of templates are letters and digits."""
+    return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}D" for v in values) + ")"
 
 
 def _places(template: Template, rare: dict[str, float]) -> Column:
-    """(label, start, score, base) of the places in `w` where the key phrase is verified; `hits` has the words that are looked up."""
-    starts = functools.reduce(F.array_intersect, [_starts(word, at) for word, at in _postings(template, rare)])
+    """(label, start, score, base) of the places in `w` where the key phrase is verified; `hits` has the words that are looked up.
+
+    Stated in SQL: one expression a template costs the driver far less than hundreds of column calls.
+    """
     key_at, size = template.key_at, len(template.words)
-    literal = lambda values: F.array(*(F.lit(v) for v in values))
-    begin = lambda start: start + F.lit(key_at)
+    own = [f"transform(filter(hits, h -> h.word = '{word}'), h -> h.at - {at})" for word, at in _postings(template, rare)]
+    starts = functools.reduce(lambda x, y: f"array_intersect({x}, {y})", own)
     # A longer passage may begin before the text does; its key phrase may not.
-    stands = lambda start: (begin(start) >= 0) & (F.slice("w", F.greatest(begin(start), F.lit(0)) + 1, F.lit(len(template.key))) == literal(template.key))
+    stands = f"s + {key_at} >= 0 AND slice(w, greatest(s + {key_at}, 0) + 1, {len(template.key)}) = {_listed(template.key)}"
     total = sum(rare[w] for w in template.words)
-
-    def near(at: Column) -> Column:
-        low = F.greatest(at - SHIFT, F.lit(0))
-        return F.slice("w", low + 1, F.greatest(at + (SHIFT + 1) - low, F.lit(0)))
-
-    def score(start: Column) -> Column:
-        if template.words == template.key:
-            return F.lit(1.0)
-        weighed = F.arrays_zip(literal(template.words).alias("word"), literal([rare[w] / total for w in template.words]).alias("weight"), F.sequence(F.lit(0), F.lit(size - 1)).alias("i"))
-        add = lambda sum_, x: sum_ + F.when(F.array_contains(near(start + x["i"]), x["word"]), x["weight"]).otherwise(0.0)
-        return F.least(F.lit(1.0), F.round(F.aggregate(weighed, F.lit(0.0), add), 9))
-
-    place = lambda s: F.struct(F.lit(template.label).alias("label"), begin(s).cast("long").alias("start"), score(s).alias("score"), F.lit(template.base).alias("base"))
-    placed = F.transform(F.filter(starts, stands), place)
-    return placed if template.base else F.filter(placed, lambda p: p["score"] >= LEAST)
+    low, high = f"greatest(s + i - {SHIFT}, 0)", f"greatest(s + i + {SHIFT + 1}, 0)"
+    found = f"array_contains(slice(w, {low} + 1, {high} - {low}), element_at({_listed(template.words)}, i + 1))"
+    weight = f"element_at({_listed([rare[w] / total for w in template.words])}, i + 1)"
+    score = f"least(1.0D, round(aggregate(sequence(0, {size - 1}), 0.0D, (sum, i) -> sum + if({found}, {weight}, 0.0D)), 9))"
+    score = "1.0D" if template.words == template.key else score
+    placed = f"transform(filter({starts}, s -> {stands}), s -> named_struct('label', '{template.label}', 'start', bigint(s + {key_at}), 'score', {score}, 'base', {str(template.base).lower()}))"
+    return F.expr(placed if template.base else f"filter({placed}, p -> p.score >= {LEAST}D)")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -150,11 +144,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c not in results]
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), words(F.col(text)).alias("w"))
     rows = rows.withColumn("own", F.array_intersect("w", F.array(*(F.lit(w) for w in looked_up))))
-    held = [F.lit(True)] * len(TEMPLATES)
-    for i, own in enumerate(postings):
-        for word in own:
-            held[i] &= F.array_contains("own", word)
-    rows = rows.withColumn("held", F.array(*held))
+    rows = rows.withColumn("held", F.expr("array(" + ", ".join(" AND ".join(f"array_contains(own, '{w}')" for w in words_) for words_ in postings) + ")"))
     located = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda h: h["word"].isin(looked_up))
     # Only files that hold all postings of some template have hits.
     rows = rows.withColumn("hits", F.when(F.array_contains("held", True), located).otherwise(F.array().cast("array<struct<word:string,at:int>>")))
