@@ -2,12 +2,12 @@
 
 Vectors of length one are centred (unless there are too few to have a centre), turned into their principal axes, and rotated so
 that their signs lose little: binary codes with balanced bits. Two such rotations
-give two codes. Each code is cut into substrings, one Hamming table each; a vector
+give two codes, and more where vectors have a strong common mean. Each code is cut into substrings, one Hamming table each; a vector
 stands in a table under its substring and under all that differ in one bit, so
 vectors whose substrings differ in at most two bits meet. Pairs with close codes are
 compared by the cosine of the vectors themselves, in double precision.
 
-The rotation is fitted on at most FIT_ROWS vectors; every vector is indexed.
+The rotations are fitted on at most FIT_ROWS vectors, and there are as many as pairs measured on the sample need to meet; every vector is indexed.
 
 Defined cases: vectors are compared within one label only. A null label, and a vector
 that is null, empty, zero, or holds null, NaN or infinity, is linked to none. Vectors of
@@ -35,10 +35,14 @@ FIT_ROWS = 20_000
 ROTATIONS, TABLES, TABLE_BITS = 2, 3, 21
 #: Bits in which both codes together may differ: at a cosine of 0.93 each bit differs with probability 0.12, so 15 of 126 on average; unrelated vectors differ in 63.
 CODE_BITS_APART = 34
+#: Codes are added until pairs at the least cosine, made from the sample and found in it, meet with this probability, up to so many centred and plain ones.
+RECALL, MAX_CENTRED, MAX_PLAIN = 0.95, 8, 4
+#: Vectors and pairs of the sample that recall is measured on.
+MEASURED, MEASURED_PAIRS = 2_000, 20_000
 SEED = 3
 
 
-def fit_rotations(sample: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def fit_rotations(sample: np.ndarray, width: int, count: int = ROTATIONS) -> list[tuple[np.ndarray, np.ndarray]]:
     """(mean, projection) for each code, from vectors of length one padded to `width`."""
     bits = TABLES * TABLE_BITS
     # The centre of a few vectors lies between near copies and would part them.
@@ -52,7 +56,7 @@ def fit_rotations(sample: np.ndarray, width: int) -> list[tuple[np.ndarray, np.n
     axes = axes[:, :bits]
     random = np.random.default_rng(SEED)
     found = []
-    for _ in range(ROTATIONS):
+    for _ in range(count):
         turn, _r = np.linalg.qr(random.normal(size=(bits, bits)))
         projected = centred @ axes
         for _step in range(30 if len(sample) else 0):
@@ -63,6 +67,59 @@ def fit_rotations(sample: np.ndarray, width: int) -> list[tuple[np.ndarray, np.n
     return found
 
 
+def _pairs_to_measure(sample: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs the index has to find: vectors of the sample with partners made at the least cosine, and the pairs in the sample itself."""
+    random = np.random.default_rng(SEED)
+    x = sample[random.permutation(len(sample))[:MEASURED]]
+    off = random.normal(size=x.shape) * (x != 0)
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off = off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+    pairs = [(x, least * x + np.sqrt(1 - least**2) * off)]
+    a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+    if len(a):
+        some = random.permutation(len(a))[:MEASURED_PAIRS]
+        pairs.append((x[a[some]], x[b[some]]))
+    return pairs
+
+
+def fit_index(sample: np.ndarray, width: int, least: float = LEAST) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Rotations, and the bits in which all codes together may differ.
+
+    ROTATIONS codes do unless vectors have a strong common mean: near pairs are then far apart about the centre. Further
+    rotations are learned until the measured pairs meet, and where they still don't, vectors are turned without centring.
+    """
+    pairs = _pairs_to_measure(sample, least)
+    met = [np.zeros(len(x), bool) for x, _ in pairs]
+    apart = [np.zeros(len(x), int) for x, _ in pairs]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def enough() -> bool:
+        return all(m.mean() >= RECALL for m in met if len(m))
+
+    def add(rotation: tuple[np.ndarray, np.ndarray]) -> None:
+        mean, projection = rotation
+        found.append(rotation)
+        for i, (x, y) in enumerate(pairs):
+            differ = (((x - mean) @ projection >= 0) != ((y - mean) @ projection >= 0)).reshape(len(x), TABLES, TABLE_BITS).sum(axis=2)
+            met[i] |= (differ <= 2).any(axis=1)
+            apart[i] += differ.sum(axis=1)
+
+    for rotation in fit_rotations(sample, width):
+        add(rotation)
+    if not enough():
+        for rotation in fit_rotations(sample, width, MAX_CENTRED)[ROTATIONS:]:
+            if not enough():
+                add(rotation)
+    random = np.random.default_rng(SEED + 1)
+    for _ in range(MAX_PLAIN):
+        if not enough():
+            add((np.zeros(width), random.normal(size=(width, TABLES * TABLE_BITS))))
+    # The cut loses next to none of the pairs that meet.
+    seen = np.concatenate([a[m] for a, m in zip(apart, met)])
+    cut = int(np.quantile(seen, 0.999)) + 1 if len(seen) else 0
+    return found, max(CODE_BITS_APART * len(found) // ROTATIONS, cut)
+
+
 def _padded(column: pa.Array, width: int) -> np.ndarray:
     """Rows of one width, zeros at the end."""
     flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(float), column.offsets.to_numpy()
@@ -93,14 +150,13 @@ def _coded(classes: DataFrame, rotations, width: int) -> DataFrame:
             codes = np.concatenate(codes, axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "dim", "node")] + [pa.array(codes[:, i]) for i in range(codes.shape[1])], names=["label", "dim", "node", *(f"c{i}" for i in range(codes.shape[1]))])
 
-    fields = ", ".join(f"c{i} int" for i in range(ROTATIONS * TABLES))
+    fields = ", ".join(f"c{i} int" for i in range(len(rotations) * TABLES))
     return classes.select("label", "dim", "node", "vector").mapInArrow(compute, f"label {classes.schema['label'].dataType.simpleString()}, dim int, node {classes.schema['node'].dataType.simpleString()}, {fields}")
 
 
-def _close_pairs(coded: DataFrame) -> DataFrame:
+def _close_pairs(coded: DataFrame, bits_apart: int) -> DataFrame:
     """(a, b) of nodes that meet in a table and whose codes are close, each pair once: in the first table where it meets, under one of the keys it shares there."""
-    tables = ROTATIONS * TABLES
-    codes = [f"c{i}" for i in range(tables)]
+    codes = [c for c in coded.columns if c not in ("label", "dim", "node")]
     flips = F.array(F.lit(0), *(F.lit(1 << i) for i in range(TABLE_BITS)))
     rows = coded.withColumn("own", F.array(*codes)).select("label", "dim", "node", *codes, F.posexplode("own").alias("table", "own"))
     rows = rows.select("*", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("key"))
@@ -115,7 +171,7 @@ def _close_pairs(coded: DataFrame) -> DataFrame:
     for i, c in enumerate(codes):
         earlier |= (F.col("x.table") > i) & (apart(c) <= 2)
     same = (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.table") == F.col("y.table")) & (F.col("x.key") == F.col("y.key"))
-    close = sum((apart(c) for c in codes[1:]), apart(codes[0])) <= CODE_BITS_APART
+    close = sum((apart(c) for c in codes[1:]), apart(codes[0])) <= bits_apart
     return x.join(y, same & (F.col("x.node") < F.col("y.node")) & close & one_key & ~earlier).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
@@ -155,9 +211,9 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
 
     width = classes.agg(F.max("dim")).first()[0] or 1
     sample = drawn(classes, FIT_ROWS, "h1", "h2").select("vector").toArrow().column("vector").combine_chunks()
-    rotations = fit_rotations(_unit(_padded(sample, width)), width)
+    rotations, bits_apart = fit_index(_unit(_padded(sample, width)), width, least)
     coded = materialize(_coded(classes, rotations, width), "codes")
-    links = materialize(_linked(_close_pairs(coded), classes, least), "vector-links")
+    links = materialize(_linked(_close_pairs(coded, bits_apart), classes, least), "vector-links")
 
     of_copies = classes.select(F.col("node").alias("other"), F.col("copies").alias("other_copies"))
     both = links.union(links.select("b", "a"))

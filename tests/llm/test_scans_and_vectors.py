@@ -346,3 +346,40 @@ def test_pages_with_longer_lower_case_and_deep_pages():
     start = time.process_time()
     assert html_blocks.blocks("<div>" * 16000 + "</section>" * 16000 + "end")[0].text == "end"
     assert time.process_time() - start < 10
+
+
+def shifted(random, n, times, width=64):
+    """Vectors with a common mean of so many times their spread, and partners of the first third."""
+    mean = random.normal(size=width)
+    mean *= times * np.sqrt(width) / np.linalg.norm(mean)
+    x = mean + random.normal(size=(n, width))
+    near = x[: n // 3] + random.normal(size=(n // 3, width)) * 0.37 * np.sqrt(1 + times**2)
+    x = np.concatenate([x, near])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("times", [0, 1, 2, 4])
+def test_recall_with_a_common_mean_and_in_a_tight_cluster(times):
+    x = shifted(np.random.default_rng(12), 1800, times)
+    rotations, bits_apart = embeddings.fit_index(x[::2], 64)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    met, apart = np.zeros(len(a), bool), np.zeros(len(a), int)
+    for mean, projection in rotations:
+        bits = ((x - mean) @ projection >= 0).reshape(len(x), embeddings.TABLES, -1)
+        for t in range(embeddings.TABLES):
+            differ = (bits[a, t] != bits[b, t]).sum(axis=1)
+            met |= differ <= 2
+            apart += differ
+    recall = (met & (apart <= bits_apart)).mean()
+    print(times, len(rotations), bits_apart, len(a), recall)
+    assert recall >= 0.93
+    if not times:
+        assert (len(rotations), bits_apart) == (embeddings.ROTATIONS, embeddings.CODE_BITS_APART)
+
+
+def test_links_with_a_common_mean(spark):
+    x = shifted(np.random.default_rng(5), 120, 2, 16)
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    links = cosine_links(rows)
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert 0.93 * 2 * len(links) <= sum(r.n_links for r in found) <= 2 * len(links)
