@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.scratch import materialize
+from tallyloom.scratch import materialize, release
 
 #: Further rounds in which one member of a bucket is compared with the others.
 ROUNDS = 3
@@ -51,6 +51,17 @@ def components(links: DataFrame) -> DataFrame:
     return materialize(found.join(roots, F.col("next") == F.col("at")).select("node", "root"), "components")
 
 
+def _possible(pairs: DataFrame, attributes: DataFrame | None, condition: Condition | None) -> DataFrame:
+    """The pairs (a, b) of nodes whose attributes meet the condition."""
+    if condition is None or attributes is None:
+        return pairs
+    own = F.struct(*[c for c in attributes.columns if c != "node"])
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(attributes.select(F.col("node").alias(end), own.alias(f"of_{end}")), end)
+    return both.where(condition(lambda c: F.col(f"of_a.{c}"), lambda c: F.col(f"of_b.{c}"))).select("a", "b")
+
+
 def linked_groups(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -61,8 +72,8 @@ def linked_groups(
     """(node, root) of the nodes that verified links join, where only nodes in one bucket can be linked.
 
     `members` has columns bucket, node, weight; it is read several times, so give a stored
-    table. Other columns that the conditions read stand there as well, or once for each node in
-    `attributes`. `verify` takes distinct pairs (a, b) and returns those that are linked.
+    table. Columns that the conditions read stand once for each node in `attributes`, also a stored table.
+    `verify` takes distinct pairs (a, b) and returns those that are linked.
 
     Of buckets that hold the same nodes one is enough: they are known by the number of their nodes, a sum of the nodes'
     hashes and their heaviest node. A bucket is not expanded into pairs. Its heaviest node is compared with all
@@ -70,7 +81,8 @@ def linked_groups(
     members; in ROUNDS further rounds another member of each bucket that still holds several groups is. Only nodes of one bucket that are then still in different groups are
     compared with each other, so no link between groups is lost. The conditions say
     which pairs of either kind are candidates at all; each takes two functions from
-    a column's name to the column of one member.
+    a column's name to the column of one member, and holds for (x, y) where it holds for (y, x).
+    Pairs with heaviest nodes are made distinct before attributes are looked up for them.
     """
     hashed = F.xxhash64("node")
     first = members.groupBy("bucket").agg(
@@ -78,29 +90,28 @@ def linked_groups(
     )
     kept = first.where("n > 1").groupBy("n", "x", "s", F.col("pivot.node").alias("pivot")).agg(F.min("bucket").alias("bucket"))
     kept = materialize(kept.select("bucket", "pivot"), "pivots")
-    shared = members.join(kept, "bucket")
-    shared = materialize(shared if attributes is None else shared.join(attributes, "node"), "shared")
-    columns = [c for c in shared.columns if c not in ("bucket", "weight", "pivot")]
-    heads = shared.where("node = pivot").select("bucket", F.struct(*columns).alias("pivot")).dropDuplicates(["bucket"])
-    shared = shared.drop("pivot").join(heads, "bucket")
-    stars = shared.where("node != pivot.node")
-    if to_heaviest:
-        stars = stars.where(to_heaviest(F.col, lambda c: F.col(f"pivot.{c}")))
-    stars = stars.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+    shared = materialize(members.select("bucket", "node").join(kept, "bucket"), "shared")
+    release(members.sparkSession)
+    stars = shared.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    stars = _possible(stars, attributes, to_heaviest)
     groups = components(materialize(verify(stars).select("a", "b"), "stars"))
 
+    # A member that has been compared with all others of its bucket has no part in further rounds.
+    rest = shared.where("node != pivot").select("bucket", "node")
     for round_ in range(ROUNDS + 1):
-        placed = shared.drop("pivot").join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
+        placed = rest.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
         placed = placed.withColumn("root", F.coalesce("root", "node")).drop("g_node")
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-        mixed = mixed.where("low != high and n > 2").select("bucket")
-        left = materialize(placed.join(mixed, "bucket"), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+        left = placed.join(mixed, "bucket")
+        left = materialize(left if attributes is None else left.join(attributes, "node"), "placed")
         if round_ == ROUNDS or left.isEmpty():
             break
         # One more member, another in each round, is compared with all that are in other groups.
-        own = F.struct(*[c for c in left.columns if c not in ("bucket", "weight")])
+        own = F.struct(*[c for c in left.columns if c != "bucket"])
         chosen = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), own.alias("m")))["m"].alias("pivot"))
-        more = left.join(chosen, "bucket").where("root != pivot.root")
+        others = left.join(materialize(chosen, "chosen"), "bucket").where("node != pivot.node")
+        rest = others.select("bucket", "node")
+        more = others.where("root != pivot.root")
         if to_heaviest:
             more = more.where(to_heaviest(F.col, lambda c: F.col(f"pivot.{c}")))
         more = more.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()

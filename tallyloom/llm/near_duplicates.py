@@ -136,10 +136,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     rows = materialize(_sketched(docs, id_column, text), "sketches")
     classes = rows.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ["n", "sketches", *BOUNDS]))
     classes = materialize(classes, "classes")
-    buckets = classes.select("node", F.posexplode("sketches").alias("i", "sketch")).select(F.xxhash64("i", "sketch").alias("bucket"), "node")
+    buckets = classes.select("node", F.col("copies").alias("weight"), F.posexplode("sketches").alias("i", "sketch"))
+    buckets = buckets.select(F.xxhash64("i", "sketch").alias("bucket"), "node", "weight")
     busy = buckets.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
-    shared = buckets.join(busy, "bucket").join(classes.select("node", "n", F.col("copies").alias("weight"), *BOUNDS), "node")
-    members = materialize(shared.select("bucket", "node", "n", "weight", *BOUNDS), "members")
+    members = materialize(buckets.join(busy, "bucket").select("bucket", "node", "weight"), "members")
 
     needed = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("node").alias("rep"))
     whole = docs.select(_node(id_column, text).alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         more = lambda p, q: sum((F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c)))) for c in BOUNDS[1:]), F.bit_count(p("b0").bitwiseAND(F.bitwise_not(q("b0")))))
         return (longer - F.least(x("n"), y("n")) <= edits) & (more(x, y) <= edits) & (more(y, x) <= edits)
 
-    groups = linked_groups(members, verifier(texts, least), candidates, candidates).select(F.col("node").alias("class_node"), "root")
+    groups = linked_groups(members, verifier(texts, least), candidates, candidates, classes.select("node", "n", *BOUNDS)).select(F.col("node").alias("class_node"), "root")
     of_class = classes.select("h1", "h2", F.col("node").alias("class_id"), "n")
     of_class = of_class.join(groups, F.col("class_id") == F.col("class_node"), "left").select("h1", "h2", "class_id", "n", F.coalesce("root", "class_id").alias("group_id"))
     # Documents without a word share a class of texts and are still linked to none.
