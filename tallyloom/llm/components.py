@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.scratch import materialize, release
+from tallyloom.scratch import drop, materialize, release
 
 #: Further rounds in which one member of a bucket is compared with the others.
 ROUNDS = 3
@@ -97,19 +97,23 @@ def linked_groups(
     groups = components(materialize(verify(stars).select("a", "b"), "stars"))
 
     # A member that has been compared with all others of its bucket has no part in further rounds.
-    rest = shared.where("node != pivot").select("bucket", "node")
+    rest, spent = shared.where("node != pivot").select("bucket", "node"), [shared]
     for round_ in range(ROUNDS + 1):
         placed = rest.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
         placed = placed.withColumn("root", F.coalesce("root", "node")).drop("g_node")
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
         left = placed.join(mixed, "bucket")
         left = materialize(left if attributes is None else left.join(attributes, "node"), "placed")
+        drop(*spent)
+        release(members.sparkSession)
         if round_ == ROUNDS or left.isEmpty():
             break
         # One more member, another in each round, is compared with all that are in other groups.
         own = F.struct(*[c for c in left.columns if c != "bucket"])
         chosen = left.groupBy("bucket").agg(F.max(F.struct(F.xxhash64(F.lit(round_), "node").alias("h"), own.alias("m")))["m"].alias("pivot"))
-        others = left.join(materialize(chosen, "chosen"), "bucket").where("node != pivot.node")
+        chosen = materialize(chosen, "chosen")
+        spent = [left, chosen]
+        others = left.join(chosen, "bucket").where("node != pivot.node")
         rest = others.select("bucket", "node")
         more = others.where("root != pivot.root")
         if to_heaviest:
