@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.catalogue.registry import Tables, query
 from tallyloom.functions.text import python_float
+from tallyloom.functions.urls import with_slash
 from tallyloom.local import local_table
 from tallyloom.plans import dataset_report, run_loop
 from tallyloom.scratch import new_path
@@ -82,6 +83,55 @@ def indented_json(t: Tables):
     return t.documents.select("doc_id", d.pretty_json(F.struct("doc_id", "lang")).alias("record"))
 
 
+@query("SELECT doc_id, text, lang, CASE WHEN doc_id % 4 <> 0 THEN source END AS source FROM documents")
+def indented_json_files(t: Tables):
+    """Nested records of whole texts written as indented JSON and read back."""
+    path = new_path(t.spark, "indented")
+    source = F.when(F.col("doc_id") % 4 != 0, F.col("source"))
+    d.write_json(t.documents, F.struct("doc_id", "text", F.struct("lang", source.alias("source")).alias("about")), path)
+    found = d.read_indented(t.spark, path, "doc_id long, text string, about struct<lang: string, source: string>")
+    return found.select("doc_id", "text", "about.lang", "about.source")
+
+
+@query(
+    "SELECT doc_id, split_part(text, chr(10), 1) AS description, CASE WHEN doc_id % 4 <> 0 THEN 'by ' || lang END AS evaluation, "
+    "CASE WHEN doc_id % 4 <> 0 THEN upper(lang) END AS metric, length(source) || ' characters' AS data_details FROM documents"
+)
+def summarized_problems(t: Tables):
+    """Three texts of each problem summarized, nested anew, written back and read."""
+    evaluation = F.when(F.col("doc_id") % 4 != 0, F.col("lang"))
+    problems = t.documents.select("doc_id", F.struct(F.col("text").alias("description"), evaluation.alias("evaluation"), F.col("source").alias("data_details")).alias("scraped_data"))
+    judged = dataset_report.summarize_problems(
+        problems,
+        lambda text: F.split_part(text, F.lit("\n"), F.lit(1)),
+        lambda text: F.struct(F.concat(F.lit("by "), text).alias("description"), F.upper(text).alias("metric")),
+        lambda text: F.concat(F.length(text).cast("string"), F.lit(" characters")),
+    )
+    path = new_path(t.spark, "problems")
+    judged.write.parquet(path)
+    found = t.spark.read.schema(judged.schema).parquet(path)
+    return found.select("doc_id", "summarized.description", F.col("summarized.evaluation.description").alias("evaluation"), "summarized.evaluation.metric", "summarized.data_details")
+
+
+_CLOSED = "CASE WHEN url LIKE '%/' THEN url ELSE url || '/' END"
+
+
+@query(
+    f"SELECT url, CASE WHEN any_known THEN 'kept' ELSE 'made of ' || length(url) END AS dataset_info FROM "
+    f"(SELECT {_CLOSED} AS url, bool_or(page_id % 3 = 0) AS any_known FROM pages GROUP BY 1)"
+)
+def analysis_through_cache(t: Tables):
+    """Results stored for a third of the URLs are used, the others are computed and appended; the table is read afterwards."""
+    path = new_path(t.spark, "results")
+    known = t.pages.where("page_id % 3 = 0").select(with_slash(F.col("url")).alias("url")).distinct().withColumn("dataset_info", F.lit("kept"))
+    d.append_rows(known, path)
+    cache = t.spark.read.schema(known.schema).parquet(path)
+    compute = lambda misses: misses.withColumn("dataset_info", F.concat(F.lit("made of "), F.length("url")))
+    _, made = dataset_report.through_cache(cache, t.pages.select("url"), "url", compute)
+    d.append_rows(made, path)
+    return t.spark.read.schema(known.schema).parquet(path)
+
+
 @query("SELECT page_id, url, upper(url) AS summary FROM pages")
 def summarize_fields(t: Tables):
     rows = t.pages.select("page_id", "url", F.col("url").alias("summary"))

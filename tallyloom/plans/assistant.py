@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import templates
 from tallyloom.functions.text import join_blocks
 from tallyloom.operators.memory import MAX_ITEMS, memory_text, strongest
+from tallyloom.operators.ranking import top_n_per_key
 from tallyloom.operators.retrieval import HITS, look_up, nearest, ranked
 
 # How important an answer and a finished task are.
@@ -23,9 +24,11 @@ ITEM = ["owner", "importance", "seq", "text"]
 
 
 def remember(items: DataFrame, new: DataFrame, n: int = MAX_ITEMS) -> DataFrame:
-    """Memory after adding `new` (owner, importance, text): each goes to the end of its owner's items, and the n strongest stay."""
+    """Memory after adding `new` (owner, importance, text), and the n strongest stay. New items go to the end of their owner's in
+    the order of their importance, greatest first, and then of their text; more than n of one owner never leave their task."""
     last = items.groupBy("owner").agg(F.max("seq").alias("last"))
-    added = new.join(last, "owner", "left").withColumn("seq", F.coalesce(F.col("last"), F.lit(-1)) + 1)
+    best = top_n_per_key(new, ["owner"], [F.desc("importance"), F.asc("text")], n, rank="place")
+    added = best.join(last, "owner", "left").withColumn("seq", F.coalesce(F.col("last"), F.lit(-1)) + F.col("place"))
     return strongest(items.select(*ITEM).unionByName(added.select(*ITEM)), "owner", "importance", "seq", n).select(*ITEM)
 
 

@@ -62,6 +62,17 @@ def summarize_pages(pages: DataFrame, fields: dict[str, Callable[[Column], Colum
     return pages.withColumns({name: summarize(F.col(name)) for name, summarize in fields.items()})
 
 
+def summarize_problems(
+    problems: DataFrame, describe_text: Callable[[Column], Column], judge: Callable[[Column], Column], detail: Callable[[Column], Column], scraped: str = "scraped_data"
+) -> DataFrame:
+    """`problems` with a column `summarized` {description, evaluation {description, metric}, data_details} made of the texts of the
+    struct `scraped`. `judge` returns a struct (description, metric). Where a text is missing, so is its summary."""
+    def made(field: str, summarize: Callable[[Column], Column]) -> Column:
+        return F.when(F.col(f"{scraped}.{field}").isNotNull(), summarize(F.col(f"{scraped}.{field}"))).alias(field)
+
+    return problems.withColumn("summarized", F.struct(made("description", describe_text), made("evaluation", judge), made("data_details", detail)))
+
+
 def through_cache(cache: DataFrame, requests: DataFrame, url: str, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(all results, new results): cached rows for known URLs, computed rows for the others; append the new ones."""
     hits, misses = cached_results(cache, requests, url)

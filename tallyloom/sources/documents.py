@@ -119,6 +119,16 @@ def write_json(rows: DataFrame, record: Column, path: str) -> None:
     rows.select(pretty_json(record).alias("value")).write.text(path)
 
 
+def read_indented(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records that `write_json` wrote, with the columns of `schema`.
+
+    A record ends with the only brace that stands alone on a line without indent, so files of many records are split between
+    tasks like files of lines.
+    """
+    texts = spark.read.text(path, lineSep="\n}\n").where(F.trim("value") != "")
+    return texts.select(F.from_json(F.concat("value", F.lit("\n}")), schema).alias("record")).select("record.*")
+
+
 def write_fields(rows: DataFrame, fields: list[str], path: str, keys: list[str] | None = None) -> None:
     """Each text field of the rows under its own folder field=<name>, as JSON records of the row's keys and the value.
 

@@ -161,3 +161,34 @@ def test_dropped_tables_are_gone(spark):
     scratch.drop(table)
     scratch.release(spark)
     assert folder.rpartition("/")[2] not in scratch.subfolders(spark, folder.rpartition("/")[0])
+
+
+def test_new_memories_of_one_owner_are_numbered_by_a_stated_order(spark):
+    from tallyloom.plans.assistant import remember
+
+    items = spark.createDataFrame([("a", 1.0, 4, "old")], "owner string, importance double, seq long, text string")
+    new = spark.createDataFrame([("a", 1.0, "z"), ("a", 1.0, "b"), ("a", 2.0, "m"), ("c", 1.0, "x")], "owner string, importance double, text string")
+    for parts in (1, 3):
+        found = sorted((r.owner, r.seq, r.text) for r in remember(items, new.repartition(parts), 3).collect())
+        assert found == [("a", 4, "old"), ("a", 5, "m"), ("a", 6, "b"), ("c", 0, "x")]
+
+
+def test_indented_records_are_split_at_their_own_end(spark, tmp_path):
+    from tallyloom.sources.documents import read_indented, write_json
+
+    texts = ["", "}\n", "a\n}\nb", '{"x": 1}', None, "\u00e9" * 50]
+    rows = spark.createDataFrame([(i, t, (t,), [t, "}"]) for i, t in enumerate(texts)], "id long, t string, s struct<u: string>, l array<string>").coalesce(1)
+    write_json(rows, F.struct("*"), f"{tmp_path}/out")
+    back = read_indented(spark, f"{tmp_path}/out", "id long, t string, s struct<u: string>, l array<string>")
+    assert sorted(back.collect()) == sorted(rows.collect())
+    write_json(rows.limit(0), F.struct("*"), f"{tmp_path}/none")
+    assert read_indented(spark, f"{tmp_path}/none", "id long").count() == 0
+
+
+def test_missing_texts_have_no_summary(spark):
+    from tallyloom.plans.dataset_report import summarize_problems
+
+    problems = spark.createDataFrame([(1, ("d", None, "x")), (2, None)], "id int, scraped_data struct<description: string, evaluation: string, data_details: string>")
+    judge = lambda c: F.struct(F.upper(c).alias("description"), F.lit("m").alias("metric"))
+    found = {r.id: r.summarized for r in summarize_problems(problems, F.upper, judge, F.upper).collect()}
+    assert tuple(found[1]) == ("D", None, "X") and tuple(found[2]) == (None, None, None)
