@@ -249,6 +249,14 @@ def test_html_to_markdown(spark):
     assert found == {**cases, None: None}
 
 
+def test_inner_html_is_the_text_of_the_page(spark):
+    inner = "a &amp b &amp; &#38 c &copy\n<!-- x --><BR/><B CLASS=q>d</B ><![CDATA[e]]><?pi?><!doctype z></i>&am"
+    pages = [f"<p>\n</p><article><h1>{inner}</H1 ><p>x</p></article>", f"<article><h1>{inner}", "<article><h1/>x</article>", f"<article><h1>{inner}</article>x"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string").orderBy("i")
+    found = [r.x for r in df.select(markup.inner_html(F.col("h"), "article > h1:nth-child(1)").alias("x")).collect()]
+    assert found == [inner, inner, "", inner]
+
+
 def test_inner_html(spark):
     page = "<div id='description'><div><div>no</div><div>yes <b>x</b><br>&amp;</div></div></div><div id='other'>o"
     df = spark.createDataFrame([(page,)], "h string")
