@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,8 @@ from tallyloom.scratch import finished_batches, materialize, remove
 
 #: Rows from which centres are made, greatest number of clusters, and rows of a ring.
 FIT_ROWS, MAX_CLUSTERS, RING_ROWS = 100_000, 4096, 1 << 18
+#: Queries and stored vectors of a block; two blocks are compared at once.
+QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 #: Room for rounding in bounds, as a share of the distances they are made of.
 SLACK = 1e-6
 _PLACE = [T.StructField("cluster_", T.IntegerType()), T.StructField("from_centre_", T.DoubleType())]
@@ -59,6 +63,55 @@ def _apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.stack([np.linalg.norm(x - c, axis=1) for c in centres], axis=1)
 
 
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row a centre that is nearest, up to rounding, and the distance to that centre."""
+    own = np.empty(len(x), np.int64)
+    half = (centres * centres).sum(axis=1) / 2
+    for at in range(0, len(x), 1024):
+        own[at : at + 1024] = (half - x[at : at + 1024] @ centres.T).argmin(axis=1)
+    return own, np.linalg.norm(x - centres[own], axis=1)
+
+
+def _exact(x: np.ndarray, q: np.ndarray, row: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    """The metric of pairs (x[row], q[query]), summed in the order in which `METRICS` sums."""
+
+    def total(a: np.ndarray, b: np.ndarray, term) -> np.ndarray:
+        out = np.zeros(len(a) if b is a else len(row))
+        for j in range(x.shape[1]):
+            out += term(a[:, j], b[:, j]) if b is a else term(a[row, j], b[query, j])
+        return out
+
+    if metric == "l2":
+        return total(x, q, lambda a, b: (a - b) * (a - b))
+    norm = lambda a: np.sqrt(total(a, a, np.multiply))
+    return 1.0 - total(x, q, np.multiply) / (norm(x)[row] * norm(q)[query])
+
+
+def _best(x: np.ndarray, q: np.ndarray, centre: np.ndarray, bound: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance): for every query its k nearest rows of those within its bound, in the order of distance and row.
+
+    A product of matrices, taken from the centre of the rows, leaves out what is too far for certain; the rest is measured one by one.
+    """
+    unit = (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)) if metric == "cosine" else (lambda v: v)
+    xs, qs = unit(x) - centre, unit(q) - centre
+    long, wide = (xs * xs).sum(axis=1), (qs * qs).sum(axis=1)
+    apart = wide[:, None] + long - 2 * (qs @ xs.T)
+    room = 1e-14 * (x.shape[1] + 8) * (wide + long.max() + (metric == "cosine"))
+    least = bound * bound + room
+    if len(x) > k:
+        # What isn't a number is measured.
+        full = np.flatnonzero((~(apart > least[:, None])).sum(axis=1) > k)
+        if len(full):
+            least[full] = np.fmin(least[full], np.partition(apart[full], k - 1, axis=1)[:, k - 1] + 2 * room[full])
+    query, row = np.nonzero(~(apart > least[:, None]))
+    distance = _exact(x, q, row, query, metric)
+    # Rows are in the order of their ids.
+    order = np.lexsort((row, distance, query))
+    query, row, distance = query[order], row[order], distance[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[first], row[first], distance[first]
+
+
 class VectorIndex:
     """Stored vectors opened with all versions that are complete."""
 
@@ -117,11 +170,8 @@ class VectorIndex:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                apart = _apart(_points(batch.column(embedding), dim, metric), centres)
-                own = apart.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(own, pa.int32()), pa.array(apart[np.arange(len(own)), own])], names=[*batch.schema.names, "cluster_", "from_centre_"]
-                )
+                own, apart = _nearest_centre(_points(batch.column(embedding), dim, metric), centres)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(apart)], names=[*batch.schema.names, "cluster_", "from_centre_"])
 
         usable = rows.select(*self.schema.names).where(_usable(F.col(embedding), dim, metric))
         return usable.mapInArrow(place, T.StructType([*self.schema, *_PLACE]))
@@ -200,55 +250,106 @@ class VectorIndex:
     def nearest_to_each(self, queries: DataFrame, k: int, query_id: str = "query_id", embedding: str = "embedding") -> DataFrame:
         """(query id, id, rank, distance): the k rows closest to every query. Query ids are unique; a query whose vector is not usable has no hits.
 
-        A query is first compared with the rings that surely hold k rows and lie nearest, which bounds its k-th distance, and then
-        with what lies inside that bound. It is sent only to rings that meet it.
+        Queries that lie together make a block. A block is first compared with the rings that surely hold k rows and lie nearest to one of its
+        queries, which bounds every query's k-th distance, and then with the rings that one of these bounds meets. Blocks of queries and of
+        stored vectors are compared by a product of matrices, and what it leaves is measured: at most k rows of a block for a query.
         """
-        asked = queries.select(F.col(query_id).alias("query_"), F.col(embedding).cast("array<double>").alias("point_"))
-        asked = asked.where(_usable(F.col("point_"), self.dim, self.metric))
         entries, centres, dim, metric = self._entries(), self.centres, self.dim, self.metric
-        names = ["query_", "point_", *_ENTRY, "d_", "bound_"]
-        kinds = T.StructType([*asked.schema, *[T.StructField(c, T.IntegerType()) for c in _ENTRY], T.StructField("d_", T.DoubleType()), T.StructField("bound_", T.DoubleType())])
+        own_id, own_embedding = self.id, self.embedding
+        asked = queries.select(F.col(query_id).alias("query_"), F.col(embedding).cast("array<double>").alias("point_"))
+        asked = asked.where(_usable(F.col("point_"), dim, metric))
+        query_kind, id_kind = asked.schema["query_"].dataType.simpleString(), self.schema[own_id].dataType.simpleString()
+        numbers = lambda raw: np.frombuffer(raw, float).reshape(-1, dim)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, _ = _nearest_centre(_points(batch.column("point_"), dim, metric), centres)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], names=["query_", "point_", "cluster_"])
 
-        def send(batches: Iterator[pa.RecordBatch], bounded: bool) -> Iterator[pa.RecordBatch]:
+        def query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 32
             for whole in batches:
-                for first in range(0, whole.num_rows, 256):
-                    batch = whole.slice(first, 256)
-                    d = _apart(_points(batch.column("point_"), dim, metric), centres)[:, entries["cluster_"]]
-                    room = SLACK * (d + entries["high"])
-                    if bounded:
-                        bound = batch.column("bound_").to_numpy()
-                        meets = np.maximum(d - entries["high"], entries["low"] - d) - room <= bound[:, None]
-                    else:
-                        far = d + entries["high"] + room
-                        order = np.argsort(far, axis=1, kind="stable")
-                        before = np.cumsum(entries["n"][order], axis=1) - entries["n"][order]
-                        meets = np.zeros(d.shape, bool)
-                        np.put_along_axis(meets, order, before < k, axis=1)
-                        bound = np.full(len(d), np.inf)
-                    row, entry = np.nonzero(meets)
-                    own = batch.select(["query_", "point_"]).take(pa.array(row))
+                for first in range(0, whole.num_rows, QUERY_BLOCK):
+                    batch = whole.slice(first, QUERY_BLOCK)
+                    x = batch.column("point_").flatten().to_numpy(zero_copy_only=False)
+                    n = batch.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [*own.columns, *[pa.array(entries[c][entry], pa.int32()) for c in _ENTRY], pa.array(d[row, entry]), pa.array(bound[row], pa.float64())], names=names
+                        [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("query_")), pa.array([x.tobytes()]), pa.array([[math.inf] * n])],
+                        names=["block_", "queries_", "points_", "bounds_"],
                     )
+                    number += 1
+
+        def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = np.stack([batch.column(f"r_{c}").to_numpy() for c in _ENTRY])
+                starts = np.append(np.flatnonzero(np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0))) if batch.num_rows else [], batch.num_rows)
+                for begin, end in zip(starts[:-1].astype(int).tolist(), starts[1:].astype(int).tolist()):
+                    for first in range(begin, end, ROW_BLOCK):
+                        part = batch.slice(first, min(ROW_BLOCK, end - first))
+                        # In the order of ids, as equal distances go by the lower id.
+                        part = part.take(pc.sort_indices(part.column("id_"), null_placement="at_start"))
+                        x = part.column("vector_").flatten().to_numpy(zero_copy_only=False).astype(float)
+                        yield pa.RecordBatch.from_arrays(
+                            [*[pa.array([int(at)], pa.int32()) for at in place[:, first]], pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id_")), pa.array([x.tobytes()])],
+                            names=[*[f"r_{c}" for c in _ENTRY], "ids_", "vectors_"],
+                        )
+
+        def meets(batches: Iterator[pa.RecordBatch], bounded: bool) -> Iterator[pa.RecordBatch]:
+            """Blocks of queries and the rings that they are compared with."""
+            for batch in batches:
+                for block, points, bounds in zip(*(batch.column(c).to_pylist() for c in ("block_", "points_", "bounds_"))):
+                    q, bound = numbers(points), np.array(bounds)
+                    q = q / np.linalg.norm(q, axis=1, keepdims=True) if metric == "cosine" else q
+                    chosen = np.zeros(len(entries["n"]), bool)
+                    for at in range(0, len(q), 128):
+                        d = _apart(q[at : at + 128], centres)[:, entries["cluster_"]]
+                        room = SLACK * (d + entries["high"])
+                        if bounded:
+                            chosen |= (np.maximum(d - entries["high"], entries["low"] - d) - room <= bound[at : at + 128, None]).any(axis=0)
+                        else:
+                            order = np.argsort(d + entries["high"] + room, axis=1, kind="stable")
+                            before = np.cumsum(entries["n"][order], axis=1) - entries["n"][order]
+                            chosen[order[before < k]] = True
+                    chosen = np.flatnonzero(chosen)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), block)), *[pa.array(entries[c][chosen], pa.int32()) for c in _ENTRY]], names=["m_block_", *_ENTRY])
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    of = {c: batch.column(c)[i] for c in batch.schema.names}
+                    query, row, distance = _best(
+                        numbers(of["vectors_"].as_py()), numbers(of["points_"].as_py()), centres[of["r_cluster_"].as_py()], np.array(of["bounds_"].as_py()), k, metric
+                    )
+                    yield pa.RecordBatch.from_arrays([of["queries_"].values.take(pa.array(query)), of["ids_"].values.take(pa.array(row)), pa.array(distance)], names=["query_", "id_", "distance"])
 
         data = f"{self.folder}/data"
         paths = [f"{data}/version={v}" for v in self.versions]
-        stored = T.StructType([self.schema[self.id], self.schema[self.embedding], _PLACE[1], *[T.StructField(c, T.IntegerType()) for c in _ENTRY]])
+        stored = T.StructType([self.schema[own_id], self.schema[own_embedding], *[T.StructField(c, T.IntegerType()) for c in _ENTRY]])
         rows = self.spark.read.schema(stored).option("basePath", data).parquet(*paths) if len(entries["n"]) else local_table(self.spark, [], stored)
-        rows = rows.select(F.col(self.id).alias("id_"), F.col(self.embedding).alias("vector_"), "from_centre_", *[F.col(c).alias(f"r_{c}") for c in _ENTRY])
-
-        def hits(sent: DataFrame) -> DataFrame:
-            on = F.abs(F.col("from_centre_") - F.col("d_")) <= F.col("bound_") + F.lit(SLACK) * (F.col("from_centre_") + F.col("d_"))
+        rows = rows.select(F.col(own_id).alias("id_"), F.col(own_embedding).alias("vector_"), *[F.col(c).alias(f"r_{c}") for c in _ENTRY])
+        rows = rows.mapInArrow(row_blocks, ", ".join([*[f"r_{c} int" for c in _ENTRY], f"ids_ array<{id_kind}>", "vectors_ binary"]))
+
+        def hits(blocks: DataFrame, bounded: bool) -> DataFrame:
+            # Numbers of blocks and rings only, which is little; blocks go to it and not along with every ring.
+            pairs = blocks.select("block_", "points_", "bounds_").mapInArrow(lambda batches: meets(batches, bounded), ", ".join(["m_block_ long", *[f"{c} int" for c in _ENTRY]]))
+            pairs = materialize(pairs, "pairs")
+            on = F.lit(True)
             for c in _ENTRY:
                 on &= F.col(c) == F.col(f"r_{c}")
-            found = sent.join(rows, on).select("query_", "id_", METRICS[metric](F.col("vector_"), F.col("point_")).alias("distance"))
+            met = rows.join(pairs, on).join(blocks, F.col("m_block_") == F.col("block_")).select("r_cluster_", "ids_", "vectors_", "queries_", "points_", "bounds_")
+            found = met.mapInArrow(compared, f"query_ {query_kind}, id_ {id_kind}, distance double")
             return top_n_per_key(found, ["query_"], [F.asc("distance"), F.asc("id_")], k, rank="rank")
 
-        near = hits(asked.mapInArrow(lambda batches: send(batches, False), kinds))
-        last = near.groupBy("query_").agg(F.max("distance").alias("last"), F.count("*").alias("n"))
+        lying = asked.mapInArrow(placed, f"query_ {query_kind}, point_ array<double>, cluster_ int").repartitionByRange("cluster_").sortWithinPartitions("cluster_")
+        blocks = lying.select("query_", "point_").mapInArrow(query_blocks, f"block_ long, queries_ array<{query_kind}>, points_ binary, bounds_ array<double>")
+        # Numbers of blocks hold as they are stored here once.
+        blocks = materialize(blocks, "queries")
+        last = hits(blocks, False).groupBy("query_").agg(F.max("distance").alias("last"), F.count("*").alias("n"))
         apart = F.sqrt(F.greatest(F.lit(0.0), F.col("last") * (2 if metric == "cosine" else 1))) * (1 + SLACK) + SLACK
-        bounds = last.select("query_", F.when(F.col("n") == k, apart).otherwise(F.lit(math.inf)).alias("bound_"))
+        bounds = last.select(F.col("query_").alias("q_"), F.when(F.col("n") == k, apart).alias("bound_"))
+        each = blocks.select(F.col("block_").alias("b_"), F.posexplode("queries_").alias("i", "query_")).join(bounds, F.col("query_").eqNullSafe(F.col("q_")), "left")
+        of_block = each.groupBy("b_").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("bound_", F.lit(math.inf)).alias("bound")))).getField("bound").alias("bounds_"))
         # Read and joined once more by a plan of its own, so the bounds are stored.
-        bounded = materialize(asked.join(bounds, "query_"), "bounds")
-        found = hits(bounded.mapInArrow(lambda batches: send(batches, True), kinds))
+        bounded = materialize(blocks.drop("bounds_").join(of_block, F.col("block_") == F.col("b_")).select(*blocks.columns), "bounds")
+        found = hits(bounded, True)
         return found.select(F.col("query_").alias(query_id), F.col("id_").alias(self.id), "rank", "distance")

@@ -83,6 +83,25 @@ def test_queries_are_not_sent_everywhere(spark, indexes):
     assert found.count() == 180
 
 
+def test_many_queries_are_compared_in_blocks(spark, tmp_path):
+    """Not pair by pair; with copies, text ids, a common mean and more rows than a block holds."""
+    pick = np.random.default_rng(5)
+    rows = [(f"é{i}" if i % 3 else f"z{i}", [float(np.float32(x)) for x in 1000 + pick.normal(size=4)]) for i in range(2500)]
+    rows += [(f"c{i}", rows[0][1]) for i in range(2500)]
+    index = VectorIndex.create(spark.createDataFrame(rows, "id string, embedding array<float>"), str(tmp_path / "b"), clusters=2)
+    asked = rows[:1400:7] + rows[2600:2610]
+    found = index.nearest_to_each(spark.createDataFrame(asked, "query_id string, embedding array<float>"), 5)
+    assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.query_id, r["rank"], r.id, r.distance) for r in found.collect())
+    vectors = np.array([v for _, v in rows])
+    want = []
+    for id_, v in asked:
+        distance = sum((vectors[:, j] - v[j]) ** 2 for j in range(4)).tolist()
+        best = sorted(zip(distance, (i for i, _ in rows)))[:5]
+        want += [(id_, n, i, d) for n, (d, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
 def test_append_keeps_files_and_hides_what_is_not_complete(spark, tmp_path):
     rows = made()
     first = VectorIndex.create(spark.createDataFrame(rows[:300], SCHEMA), str(tmp_path / "x"), clusters=6)
