@@ -3,22 +3,28 @@
 `separator_chunks` packs pieces; `nested_chunks` tries ever finer separators and
 keeps an overlap. A fold over an array would copy what it has gathered at every
 piece, so both run as Arrow-batched functions over whole texts, in linear time.
+As columns they hold the chunks of a whole batch; `chunk_rows` makes rows of them
+and holds a few hundred.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sizes, overlap and separators, coarse to fine.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 PARAGRAPH = "\n\n"
 SEPARATORS = ["\n\n", "\n", " ", ""]
+#: Characters of chunks, and bytes of what stands beside them, that are handed on at once.
+HELD = 1 << 20
 
 
 def pack_pieces(text: str, separator: str, size: int) -> Iterator[str]:
@@ -35,6 +41,11 @@ def pack_pieces(text: str, separator: str, size: int) -> Iterator[str]:
         yield separator.join(held)
 
 
+def paragraph_chunks(text: str, separator: str = PARAGRAPH, size: int = CHUNK_SIZE) -> Iterator[str]:
+    """Trimmed chunks of packed pieces, without empty ones."""
+    return (c for c in (part.strip() for part in pack_pieces(text, separator, size)) if c)
+
+
 def separator_chunks(text: Column, separator: str = PARAGRAPH, size: int = CHUNK_SIZE) -> Column:
     """Pack pieces between separators greedily into chunks of at most `size` characters.
 
@@ -46,7 +57,7 @@ def separator_chunks(text: Column, separator: str = PARAGRAPH, size: int = CHUNK
         def one(value: str | None) -> list[str] | None:
             if value is None:
                 return None
-            return [c for c in (part.strip() for part in pack_pieces(value, separator, size)) if c]
+            return list(paragraph_chunks(value, separator, size))
 
         return texts.map(one)
 
@@ -94,6 +105,11 @@ def split_nested(text: str, size: int, overlap: int, separators: list[str]) -> I
     yield from _pack(small, size, overlap)
 
 
+def overlapping_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: list[str] | None = None) -> Iterator[str]:
+    """Trimmed chunks of nested separators, without empty ones."""
+    return (c for c in (part.strip() for part in split_nested(text, size, overlap, separators or SEPARATORS)) if c)
+
+
 def nested_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: list[str] | None = None) -> Column:
     """Chunks of at most `size` characters split at the coarsest separator that works, with an overlap."""
     levels = separators or SEPARATORS
@@ -103,8 +119,46 @@ def nested_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
         def one(value: str | None) -> list[str] | None:
             if value is None:
                 return None
-            return [c for c in (part.strip() for part in split_nested(value, size, overlap, levels)) if c]
+            return list(overlapping_chunks(value, size, overlap, levels))
 
         return texts.map(one)
 
     return chunks(text)
+
+
+def _handed_on(batch: pa.RecordBatch, text: str, chunks_of: Callable[[str], Iterable[str]]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, once for every chunk of their text, in batches of some HELD characters."""
+    beside = batch.drop_columns([text])
+    wide = beside.nbytes // max(1, batch.num_rows)
+    rows, numbers, found, held = [], [], [], 0
+
+    def made() -> pa.RecordBatch:
+        index = pa.array(rows, pa.int32())
+        columns = [c.take(index) for c in beside.columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(found, pa.string())], names=[*beside.schema.names, "chunk_no", "chunk"])
+
+    texts = batch.column(text)
+    for i in range(batch.num_rows):
+        value = texts[i].as_py()
+        for number, chunk in enumerate(chunks_of(value) if value is not None else ()):
+            rows.append(i)
+            numbers.append(number)
+            found.append(chunk)
+            held += len(chunk) + wide
+            if held >= HELD:
+                yield made()
+                rows, numbers, found, held = [], [], [], 0
+    if rows:
+        yield made()
+
+
+def chunk_rows(documents: DataFrame, text: str, chunks_of: Callable[[str], Iterable[str]]) -> DataFrame:
+    """One row per chunk with its position, `chunk_no` and `chunk`, in place of the text. A worker holds one input batch and HELD characters of chunks."""
+    kept = [c for c in documents.columns if c != text]
+    schema = T.StructType([*[documents.schema[c] for c in kept], T.StructField("chunk_no", T.IntegerType(), False), T.StructField("chunk", T.StringType())])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _handed_on(batch, text, chunks_of)
+
+    return documents.select(*kept, text).mapInArrow(compute, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.functions.chunks import nested_chunks, separator_chunks
+from tallyloom.functions.chunks import chunk_rows, overlapping_chunks, paragraph_chunks
 from tallyloom.functions.text import join_blocks, override
 from tallyloom.functions.vectors import METRICS, vector
 from tallyloom.local import local_table
@@ -93,9 +93,7 @@ def list_documents(store: DataFrame, doc_type: str | None = None, limit: int | N
 
 def chunk_documents(documents: DataFrame, text: str = "text", *, overlap: bool) -> DataFrame:
     """One row per chunk with its position: nested separators with an overlap, or paragraphs without."""
-    chunks = nested_chunks(F.col(text)) if overlap else separator_chunks(F.col(text))
-    kept = [c for c in documents.columns if c != text]
-    return documents.select(*kept, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return chunk_rows(documents, text, overlapping_chunks if overlap else paragraph_chunks)
 
 
 def tag_document(metadata: Column, doc_type: Column) -> Column:

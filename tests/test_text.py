@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,23 @@ def test_nested_chunks_of_small_cases(spark):
     assert {r.s: r.c for r in found} == cases
 
 
+def test_chunk_rows_are_handed_on_in_small_batches(spark):
+    from tallyloom.operators import retrieval
+
+    texts = ["word " * 40_000, None, "", "a\n\nb", "\n\n".join("p" * 900 for _ in range(3000))]
+    df = spark.createDataFrame([(i, t, {"k": str(i)}) for i, t in enumerate(texts)], "i int, t string, m map<string,string>").coalesce(1)
+    for overlap, column in ((True, chunks.nested_chunks(F.col("t"))), (False, chunks.separator_chunks(F.col("t")))):
+        found = retrieval.chunk_documents(df, "t", overlap=overlap)
+        assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString(), "chunks of a whole batch at once"
+        want = df.select("i", "m", F.posexplode(column).alias("chunk_no", "chunk")).collect()
+        assert sorted(map(str, found.collect())) == sorted(map(str, want))
+    batch = pa.RecordBatch.from_pydict({"i": list(range(300)), "t": ["word " * 20_000] * 300})
+    handed = list(chunks._handed_on(batch, "t", chunks.overlapping_chunks))
+    assert max(b.nbytes for b in handed) < 2 * chunks.HELD and sum(b.num_rows for b in handed) > 30_000
+    beside = pa.RecordBatch.from_pydict({"i": ["x" * 100_000] * 3, "t": ["word " * 20_000] * 3})
+    assert max(b.nbytes for b in chunks._handed_on(beside, "t", chunks.overlapping_chunks)) < 2 * chunks.HELD
+
+
 def test_separator_chunks(spark):
     df = spark.createDataFrame([("aa--bb--cc",), ("",), ("--",), ("toolongpiece--a",)], "s string")
     found = [r[0] for r in df.select(chunks.separator_chunks(F.col("s"), "--", 6)).collect()]
