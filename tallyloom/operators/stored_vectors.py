@@ -259,7 +259,8 @@ class VectorIndex:
         asked = queries.select(F.col(query_id).alias("query_"), F.col(embedding).cast("array<double>").alias("point_"))
         asked = asked.where(_usable(F.col("point_"), dim, metric))
         query_kind, id_kind = asked.schema["query_"].dataType.simpleString(), self.schema[own_id].dataType.simpleString()
-        numbers = lambda raw: np.frombuffer(raw, float).reshape(-1, dim)
+        numbers = lambda raw, kind=float: np.frombuffer(raw, kind).reshape(-1, dim).astype(float)
+        own_kind = np.float32 if isinstance(self.schema[own_embedding].dataType.elementType, T.FloatType) else float
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -288,7 +289,7 @@ class VectorIndex:
                         part = batch.slice(first, min(ROW_BLOCK, end - first))
                         # In the order of ids, as equal distances go by the lower id.
                         part = part.take(pc.sort_indices(part.column("id_"), null_placement="at_start"))
-                        x = part.column("vector_").flatten().to_numpy(zero_copy_only=False).astype(float)
+                        x = part.column("vector_").flatten().to_numpy(zero_copy_only=False).astype(own_kind)
                         yield pa.RecordBatch.from_arrays(
                             [*[pa.array([int(at)], pa.int32()) for at in place[:, first]], pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id_")), pa.array([x.tobytes()])],
                             names=[*[f"r_{c}" for c in _ENTRY], "ids_", "vectors_"],
@@ -318,7 +319,7 @@ class VectorIndex:
                 for i in range(batch.num_rows):
                     of = {c: batch.column(c)[i] for c in batch.schema.names}
                     query, row, distance = _best(
-                        numbers(of["vectors_"].as_py()), numbers(of["points_"].as_py()), centres[of["r_cluster_"].as_py()], np.array(of["bounds_"].as_py()), k, metric
+                        numbers(of["vectors_"].as_py(), own_kind), numbers(of["points_"].as_py()), centres[of["r_cluster_"].as_py()], np.array(of["bounds_"].as_py()), k, metric
                     )
                     yield pa.RecordBatch.from_arrays([of["queries_"].values.take(pa.array(query)), of["ids_"].values.take(pa.array(row)), pa.array(distance)], names=["query_", "id_", "distance"])
 
