@@ -283,6 +283,18 @@ def test_similar_lines_meet_in_a_bucket(kind):
     assert met >= 0.9 * len(pairs), met
 
 
+def test_unrelated_lines_of_few_syllables_share_few_buckets():
+    import random
+
+    r = random.Random(21)
+    syllables = "the and ing ion th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar".split()
+    line = lambda: " ".join(r.choice(("the", *("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(4)))) for _ in range(r.randint(8, 25)))
+    rows = lines._line_rows(Texts(pa.array([line() for _ in range(3000)])))
+    _, found = lines.keys_of(rows[-1], rows[2])
+    shared = Counter(Counter(found.tolist()).values())
+    assert sum(n * (n - 1) // 2 * times for n, times in shared.items()) < 3000
+
+
 def test_short_lines_and_single_letters_are_linked(spark):
     shown = ["Home | Contact | Imprint", "Home | Contact | Imprimt", "Copyright 2023 by the authors", "Copyright 2024 by the authors", "Open from Monday", "Shut on Tuesdays", "größere Straße, später", "größere Strasse, später"]
     pairs = changed_lines("words", 12, 5) + changed_lines("added", 6, 7) + changed_lines("short", 12, 9)
