@@ -99,10 +99,10 @@ def test_larger_buckets_are_grouped_too(spark, monkeypatch):
 
     monkeypatch.setattr(module, "FEW", 4)
     verify = lambda pairs: pairs.where("pmod(a, 7) = pmod(b, 7)")
-    sides = lambda x, y: (x("side") - y("side")) == 0
+    sides = lambda x, y: (x("n") - y("n")) == 0
     members = spark.range(90).select(F.expr("id div 30").alias("bucket"), F.col("id").alias("node"), F.lit(1).alias("weight"))
     members = members.union(spark.range(100, 103).select(F.lit(9), F.col("id"), F.lit(1)))
-    of_nodes = members.select("node", F.expr("node div 45").alias("side"))
+    of_nodes = members.select("node", F.expr("node div 45").alias("n"))
     for conditions in ((), (sides, sides, of_nodes)):
         groups = {r.node: r.root for r in linked_groups(members, verify, *conditions).collect()}
         for bucket in range(3):
