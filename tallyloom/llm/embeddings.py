@@ -155,7 +155,10 @@ def _coded(classes: DataFrame, rotations, width: int) -> DataFrame:
 
 
 def _close_pairs(coded: DataFrame, bits_apart: int) -> DataFrame:
-    """(a, b) of nodes that meet in a table and whose codes are close, each pair once: in the first table where it meets, under one of the keys it shares there."""
+    """(a, b) of nodes that meet in a table and whose codes are close, each pair once: in the first table where it meets, under one of the keys it shares there.
+
+    Spark sizes the rows as if they were not exploded, so it must not choose to send them to the driver.
+    """
     codes = [c for c in coded.columns if c not in ("label", "dim", "node")]
     flips = F.array(F.lit(0), *(F.lit(1 << i) for i in range(TABLE_BITS)))
     rows = coded.withColumn("own", F.array(*codes)).select("label", "dim", "node", *codes, F.posexplode("own").alias("table", "own"))
@@ -172,11 +175,11 @@ def _close_pairs(coded: DataFrame, bits_apart: int) -> DataFrame:
         earlier |= (F.col("x.table") > i) & (apart(c) <= 2)
     same = (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.table") == F.col("y.table")) & (F.col("x.key") == F.col("y.key"))
     close = sum((apart(c) for c in codes[1:]), apart(codes[0])) <= bits_apart
-    return x.join(y, same & (F.col("x.node") < F.col("y.node")) & close & one_key & ~earlier).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return x.join(y.hint("merge"), same & (F.col("x.node") < F.col("y.node")) & close & one_key & ~earlier).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose vectors have at least this cosine."""
+    """The pairs whose vectors have at least this cosine. Vectors are sized as one number each, so Spark must not choose to send them to the driver."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +190,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(np.einsum("ij,ij->i", x, y) >= least))
 
     of = lambda end: classes.select(F.col("node").alias(end), F.col("vector").alias(f"v{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(compare, pairs.schema)
+    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").mapInArrow(compare, pairs.schema)
 
 
 def _usable(vector: Column) -> Column:
@@ -217,7 +220,8 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "e
 
     of_copies = classes.select(F.col("node").alias("other"), F.col("copies").alias("other_copies"))
     both = links.union(links.select("b", "a"))
-    counts = both.join(of_copies, F.col("b") == F.col("other")).groupBy(F.col("a").alias("n_node")).agg(F.sum("other_copies").alias("others"))
+    # A left join, as links far outnumber vectors in large groups and only classes may be sent to all.
+    counts = both.join(of_copies, F.col("b") == F.col("other"), "left").groupBy(F.col("a").alias("n_node")).agg(F.sum("other_copies").alias("others"))
     groups = components(links).select(F.col("node").alias("g_node"), F.col("root.id").alias("root_id"))
     found = classes.join(counts, F.col("node") == F.col("n_node"), "left").join(groups, F.col("node") == F.col("g_node"), "left")
     found = found.select(*(F.col(c).alias(f"k_{c}") for c in same), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root_id", F.col("node.id")).alias("component_id"))

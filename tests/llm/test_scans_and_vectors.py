@@ -383,3 +383,14 @@ def test_links_with_a_common_mean(spark):
     links = cosine_links(rows)
     found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert 0.93 * 2 * len(links) <= sum(r.n_links for r in found) <= 2 * len(links)
+
+
+def test_index_rows_and_links_are_not_broadcast(spark):
+    rows = [((i, i, 0, 3), [i, i, i]) for i in range(6)]
+    coded = spark.createDataFrame([(0, 3, node, *codes) for node, codes in rows], "label int, dim int, node struct<id:long, h1:long, label:int, dim:int>, c0 int, c1 int, c2 int")
+    pairs = embeddings._close_pairs(coded, 63)
+    classes = spark.createDataFrame([(node, [1.0, 0.0, 1.0]) for node, _ in rows], "node struct<id:long, h1:long, label:int, dim:int>, vector array<double>")
+    linked = embeddings._linked(pairs, classes, 0.93)
+    assert "BroadcastHashJoin" not in linked._jdf.queryExecution().executedPlan().toString()
+    # Pairs meet where their codes differ in two bits at most.
+    assert sorted((r.a.id, r.b.id) for r in linked.collect()) == [(a, b) for a in range(6) for b in range(a + 1, 6) if (a ^ b).bit_count() <= 2]
