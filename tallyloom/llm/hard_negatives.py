@@ -171,8 +171,7 @@ class MultiIndex:
             asked = materialize(state.mapInArrow(_asking(cells, dim, seen, step), "cell long, anchor long, label long, v binary, low array<long>, high array<long>"), "asked")
             if asked.isEmpty():
                 break
-            blocked = asked.groupBy("cell", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("anchor", "label", "v", "low", "high")).alias("asks"))
-            more = blocked.join(self.chunks, "cell").select("asks", "rows", "ids", "labels", "vs").mapInArrow(_scoring(dim, k, same, exact), "anchor long, w int, score long, row long, id long")
+            more = _met(asked, self.chunks, blocks).mapInArrow(_scoring(dim, k, same, exact), "anchor long, w int, score long, row long, id long")
             found = materialize(_first(more if found is None else found.union(more), k), "found")
             kth = found.groupBy("anchor", "w").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") == k)
             kth = kth.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("by_w"))
@@ -183,6 +182,16 @@ class MultiIndex:
         return found
 
 
+def _met(asked: DataFrame, chunks: DataFrame, blocks: int) -> DataFrame:
+    """Blocks of anchors with each chunk of the cell they ask for.
+
+    Stored vectors are sized by their compressed files, in which an anchor's many rows hold its vector once, so Spark must not
+    choose to send either side to the driver.
+    """
+    blocked = asked.groupBy("cell", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("anchor", "label", "v", "low", "high")).alias("asks"))
+    return blocked.join(chunks.hint("merge"), "cell").select("asks", "rows", "ids", "labels", "vs")
+
+
 def _first(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("anchor", "w").orderBy(F.col("score").desc(), "row")
     return scored.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= k).drop("rank_")

@@ -86,3 +86,11 @@ def test_walk_falls_and_bounds_hold():
     for most, least, cell in walked:
         inside = scores[i * 7 + j == cell]
         assert inside.max() <= most and inside.min() >= least
+
+
+def test_anchors_and_chunks_are_not_broadcast(spark):
+    asked = spark.createDataFrame([(1, a, 0, bytearray(8), [0], [9]) for a in range(5)] + [(2, 0, 0, bytearray(8), [0], [9])], "cell long, anchor long, label long, v binary, low array<long>, high array<long>")
+    chunks = spark.createDataFrame([(c, *[bytearray(8)] * 4) for c in (1, 1, 2, 3)], "cell long, rows binary, ids binary, labels binary, vs binary")
+    met = hn._met(asked, chunks, 1)
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(len(r.asks) for r in met.collect()) == [1, 5, 5]
