@@ -11,9 +11,10 @@ a later cell could displace. The result is exact whatever the codebooks are.
 
 A search is a few rounds. In each, anchors that are not done ask for their next cells,
 four times as many as before; what is asked is joined with the stored cells, which lie in chunks of
-bounded size. Anchors meet a chunk in blocks of bounded size too, so a cell or an
-anchor set of any size is dealt over tasks. The driver holds codebooks, radii and which cells are
-in use (at most MOST_CODES^2 bits).
+bounded size. Cells that follow each other make a part, and an anchor's vector is sent once to each part it asks a cell of.
+Anchors meet a chunk in blocks of bounded size too, so a cell or an
+anchor set of any size is dealt over tasks. The driver holds codebooks, radii and the parts of the cells in
+use (at most MOST_CODES^2 numbers).
 
 Defined cases: rows with a null id, label or vector, or a null or non-finite component, and rows
 whose squared length does not fit in 62 bits, take no part. Shorter vectors count as followed by
@@ -38,6 +39,8 @@ from tallyloom.scratch import materialize
 SCALE = 256
 #: Rows that a cell is made for, codes of a codebook at most, rows of a chunk, anchors that meet a chunk at once.
 CELL_ROWS, MOST_CODES, CHUNK, ANCHORS = 64, 256, 1024, 256
+#: Rows after which a part takes no further cell.
+PART_ROWS = 4096
 #: Bytes of vectors that codebooks are fitted on at most.
 FIT_BYTES = 16 << 20
 #: Cells of the first round.
@@ -133,29 +136,33 @@ class MultiIndex:
 
         placed = materialize(rows.mapInArrow(coded, "row long, id long, label long, v binary, cell long, far_a double, far_b double"), "coded")
         # At most MOST_CODES^2 rows.
-        found = placed.groupBy("cell").agg(F.max("far_a").alias("far_a"), F.max("far_b").alias("far_b")).toArrow()
+        found = placed.groupBy("cell").agg(F.max("far_a").alias("far_a"), F.max("far_b").alias("far_b"), F.count("*").alias("n")).sort("cell").toArrow()
         cell, radii, used = found.column("cell").to_numpy(), (np.zeros(len(books[0])), np.zeros(wide)), np.zeros(len(books[0]) * wide, bool)
         np.maximum.at(radii[0], cell // wide, found.column("far_a").to_numpy())
         np.maximum.at(radii[1], cell % wide, found.column("far_b").to_numpy())
         used[cell] = True
         self.cells = Cells(books, radii, used)
+        size = found.column("n").to_numpy()
+        part = np.zeros(len(used), np.int64)
+        part[cell] = (np.cumsum(size) - size) // PART_ROWS
+        self.part = part
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 cell, v = batch.column("cell").to_numpy(), batch.column("v").to_pylist()
-                long = {name: batch.column(name).to_numpy() for name in ("row", "id", "label")}
-                edges = np.flatnonzero(np.diff(cell)) + 1
+                long = {name: batch.column(name).to_numpy() for name in ("cell", "row", "id", "label")}
+                edges = np.flatnonzero(np.diff(part[cell])) + 1
                 starts = [0, *edges.tolist(), len(cell)]
                 cuts = [x for a, b in zip(starts, starts[1:]) for x in range(a, b, CHUNK)] + [len(cell)]
                 spans = list(zip(cuts, cuts[1:]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[cuts[:-1]])] + [pa.array([long[name][a:b].tobytes() for a, b in spans], pa.binary()) for name in long] + [pa.array([b"".join(v[a:b]) for a, b in spans], pa.binary())],
-                    ["cell", "rows", "ids", "labels", "vs"],
+                    [pa.array(part[cell[cuts[:-1]]])] + [pa.array([long[name][a:b].tobytes() for a, b in spans], pa.binary()) for name in long] + [pa.array([b"".join(v[a:b]) for a, b in spans], pa.binary())],
+                    ["part", "cells", "rows", "ids", "labels", "vs"],
                 )
 
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         laid = placed.select("cell", "row", "id", "label", "v").repartitionByRange(parts, "cell", "row").sortWithinPartitions("cell", "row")
-        self.chunks = materialize(laid.mapInArrow(packed, "cell long, rows binary, ids binary, labels binary, vs binary"), "cells")
+        self.chunks = materialize(laid.mapInArrow(packed, "part long, cells binary, rows binary, ids binary, labels binary, vs binary"), "cells")
 
     def search(self, anchors: DataFrame, k: int, same: bool) -> DataFrame:
         """(anchor, w, score, row, id): for each anchor and window w the first k rows of its label (`same`) or of other labels
@@ -163,12 +170,14 @@ class MultiIndex:
 
         `anchors` has (row, label, v, low, high); low and high are arrays with the ends of its windows, inclusive.
         """
-        cells, dim, exact = self.spark.sparkContext.broadcast(self.cells), self.dim, self.exact
+        cells, dim, exact = self.spark.sparkContext.broadcast((self.cells, self.part)), self.dim, self.exact
         blocks = max(1, -(-anchors.count() // ANCHORS))
         state = anchors.withColumn("kth", F.expr("transform(low, x -> cast(null AS bigint))"))
         found, seen, step = None, 0, FIRST_CELLS
         while True:
-            asked = materialize(state.mapInArrow(_asking(cells, dim, seen, step), "cell long, anchor long, label long, v binary, low array<long>, high array<long>"), "asked")
+            # Walks are long and anchors few bytes, so they are dealt by number.
+            dealt = state.repartition(max(blocks, self.spark.sparkContext.defaultParallelism), "row")
+            asked = materialize(dealt.mapInArrow(_asking(cells, seen, step), "part long, cells binary, anchor long, label long, v binary, low array<long>, high array<long>"), "asked")
             if asked.isEmpty():
                 break
             more = _met(asked, self.chunks, blocks).mapInArrow(_scoring(dim, k, same, exact), "anchor long, w int, score long, row long, id long")
@@ -183,13 +192,14 @@ class MultiIndex:
 
 
 def _met(asked: DataFrame, chunks: DataFrame, blocks: int) -> DataFrame:
-    """Blocks of anchors with each chunk of the cell they ask for.
+    """Blocks of anchors with each chunk of the part they ask cells of.
 
     Stored vectors are sized by their compressed files, in which an anchor's many rows hold its vector once, so Spark must not
     choose to send either side to the driver.
     """
-    blocked = asked.groupBy("cell", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("anchor", "label", "v", "low", "high")).alias("asks"))
-    return blocked.join(chunks.hint("merge"), "cell").select("asks", "rows", "ids", "labels", "vs")
+    asks = F.collect_list(F.struct("cells", "anchor", "label", "v", "low", "high"))
+    blocked = asked.groupBy("part", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).agg(asks.alias("asks"))
+    return blocked.join(chunks.hint("merge"), "part").select("asks", "cells", "rows", "ids", "labels", "vs")
 
 
 def _first(scored: DataFrame, k: int) -> DataFrame:
@@ -197,18 +207,20 @@ def _first(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= k).drop("rank_")
 
 
-def _asking(cells, dim: int, seen: int, step: int):
-    """The cells number seen to seen + step of each anchor that has an open window, with the scores that still matter."""
+def _asking(shared, seen: int, step: int):
+    """The cells number seen to seen + step of each anchor that has an open window, by parts, with the scores that still matter."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("cell", pa.int64()), ("anchor", pa.int64()), ("label", pa.int64()), ("v", pa.binary()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))])
+        cells, part = shared.value
+        kind = pa.schema([("part", pa.int64()), ("cells", pa.binary()), ("anchor", pa.int64()), ("label", pa.int64()), ("v", pa.binary()), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64()))])
         for batch in batches:
             out = []
             for a in batch.to_pylist():
                 # A row must reach this to matter in a window; a row as good as the k-th may come before it.
                 floor = [max(low, NONE if kth is None else kth) for low, kth in zip(a["low"], a["kth"])]
                 open_ = [w for w in range(len(floor)) if floor[w] <= a["high"][w]]
-                for number, (most, least, cell) in enumerate(cells.value.walk(np.frombuffer(a["v"], np.int64).astype(np.float64))):
+                asked = []
+                for number, (most, least, cell) in enumerate(cells.walk(np.frombuffer(a["v"], np.int64).astype(np.float64))):
                     if number >= seen + step:
                         break
                     if number == seen:
@@ -217,7 +229,11 @@ def _asking(cells, dim: int, seen: int, step: int):
                         if not any(most >= floor[w] for w in open_):
                             break
                         if any(most >= floor[w] and least <= a["high"][w] for w in open_):
-                            out.append({"cell": cell, "anchor": a["row"], "label": a["label"], "v": a["v"], "low": floor, "high": [h if w in open_ else NONE for w, h in enumerate(a["high"])]})
+                            asked.append(cell)
+                of_part = np.sort(np.array(asked, np.int64))
+                high = [h if w in open_ else NONE for w, h in enumerate(a["high"])]
+                for own in np.split(of_part, np.flatnonzero(np.diff(part[of_part])) + 1) if asked else []:
+                    out.append({"part": int(part[own[0]]), "cells": own.tobytes(), "anchor": a["row"], "label": a["label"], "v": a["v"], "low": floor, "high": high})
                 if len(out) > 5000:
                     yield pa.RecordBatch.from_pylist(out, kind)
                     out = []
@@ -227,19 +243,37 @@ def _asking(cells, dim: int, seen: int, step: int):
     return ask
 
 
+def _wanted(asked: pa.Array, cells: np.ndarray) -> np.ndarray:
+    """Whether each anchor asks for the cell of each row of a chunk."""
+    lists = [np.frombuffer(x, np.int64) for x in asked.to_pylist()]
+    own, of = np.unique(cells, return_inverse=True)
+    who, flat = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    at = np.searchsorted(own, flat)
+    here = at < len(own)
+    here[here] = own[at[here]] == flat[here]
+    wanted = np.zeros((len(lists), len(own)), bool)
+    wanted[who[here], at[here]] = True
+    return wanted[:, of]
+
+
 def _scoring(dim: int, k: int, same: bool, exact: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.float64 if exact else np.int64
         for batch in batches:
             for i in range(batch.num_rows):
                 asks = batch.column("asks")[i].values
-                rows, ids, labels = (np.frombuffer(batch.column(n)[i].as_py(), np.int64) for n in ("rows", "ids", "labels"))
-                v = np.frombuffer(batch.column("vs")[i].as_py(), np.int64).reshape(len(rows), dim)
+                cells, rows, ids, labels = (np.frombuffer(batch.column(n)[i].as_py(), np.int64) for n in ("cells", "rows", "ids", "labels"))
+                wanted = _wanted(asks.field("cells"), cells)
+                some, of = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+                if not len(some):
+                    continue
+                asks, wanted, rows, ids, labels = asks.take(pa.array(some)), wanted[np.ix_(some, of)], rows[of], ids[of], labels[of]
+                v = np.frombuffer(batch.column("vs")[i].as_py(), np.int64).reshape(len(cells), dim)[of]
                 a = _matrix(asks.field("v"), dim)
                 anchor, label = asks.field("anchor").to_numpy(), asks.field("label").to_numpy()
                 scores = (a.astype(number) @ v.astype(number).T).astype(np.int64)
                 partner = (label[:, None] == labels) == same
-                partner &= anchor[:, None] != rows
+                partner &= wanted & (anchor[:, None] != rows)
                 low, high = (np.array(asks.field(n).to_pylist(), np.int64).reshape(len(anchor), -1) for n in ("low", "high"))
                 for w in range(low.shape[1]):
                     inside = partner & (scores >= low[:, w, None]) & (scores <= high[:, w, None])

@@ -89,8 +89,22 @@ def test_walk_falls_and_bounds_hold():
 
 
 def test_anchors_and_chunks_are_not_broadcast(spark):
-    asked = spark.createDataFrame([(1, a, 0, bytearray(8), [0], [9]) for a in range(5)] + [(2, 0, 0, bytearray(8), [0], [9])], "cell long, anchor long, label long, v binary, low array<long>, high array<long>")
-    chunks = spark.createDataFrame([(c, *[bytearray(8)] * 4) for c in (1, 1, 2, 3)], "cell long, rows binary, ids binary, labels binary, vs binary")
+    asked = spark.createDataFrame([(1, a) for a in range(5)] + [(2, 0)], "part long, anchor long")
+    asked = asked.selectExpr("part", "X'00' AS cells", "anchor", "0L AS label", "X'00' AS v", "array(0L) AS low", "array(9L) AS high")
+    chunks = spark.createDataFrame([(1,), (1,), (2,), (3,)], "part long").selectExpr("part", *(f"X'00' AS {c}" for c in ("cells", "rows", "ids", "labels", "vs")))
     met = hn._met(asked, chunks, 1)
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
     assert sorted(len(r.asks) for r in met.collect()) == [1, 5, 5]
+
+
+def test_an_anchor_is_sent_once_to_each_part(spark, monkeypatch):
+    monkeypatch.setattr(hn, "CELL_ROWS", 4)
+    monkeypatch.setattr(hn, "CHUNK", 16)
+    monkeypatch.setattr(hn, "PART_ROWS", 64)
+    rows, asked, met = clustered(3, 400), [], hn._met
+    monkeypatch.setattr(hn, "_met", lambda table, *others: asked.append(table) or met(table, *others))
+    assert found(spark, rows, 20) == by_all_pairs(rows, 20)
+    for table in asked:
+        assert table.count() == table.select("anchor", "part").distinct().count()
+    # More than twice as many cells are asked as rows sent.
+    assert sum(len(r.cells) // 8 for table in asked for r in table.collect()) > 2 * sum(table.count() for table in asked)
