@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         more = lambda p, q: sum((F.bit_count(p(c).bitwiseAND(F.bitwise_not(q(c)))) for c in BOUNDS[1:]), F.bit_count(p("b0").bitwiseAND(F.bitwise_not(q("b0")))))
         return (longer - F.least(x("n"), y("n")) <= edits) & (more(x, y) <= edits) & (more(y, x) <= edits)
 
-    groups = linked_groups(members, verifier(texts, least), candidates, candidates, classes.select("node", "n", *BOUNDS)).select(F.col("node").alias("class_node"), "root")
+    groups = linked_groups(members, verifier(texts, least), candidates, candidates, classes.select("node", "n", *BOUNDS), spend=True).select(F.col("node").alias("class_node"), "root")
     of_class = classes.select("h1", "h2", F.col("node").alias("class_id"), "n")
     of_class = of_class.join(groups, F.col("class_id") == F.col("class_node"), "left").select("h1", "h2", "class_id", "n", F.coalesce("root", "class_id").alias("group_id"))
     # Documents without a word share a class of texts and are still linked to none.

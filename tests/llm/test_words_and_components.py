@@ -1,4 +1,5 @@
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,25 @@ def test_larger_buckets_are_grouped_too(spark, monkeypatch):
         assert not set(groups) & {100, 101, 102}
 
 
+def test_spent_tables_are_deleted_and_no_group_is_lost(spark):
+    from tallyloom.scratch import materialize
+
+    def verify(pairs):
+        stored = materialize(pairs, "pairs-of-a-test")
+        verify.spent.append(stored)
+        made.append(stored.inputFiles())
+        return stored.where("pmod(a, 3) = pmod(b, 3)")
+
+    verify.spent, made = [], []
+    rows = [(b, n, 1) for b, n in [(1, 1), (1, 4), (1, 5), (1, 8), (2, 8), (2, 11), (3, 1)]]
+    members = materialize(spark.createDataFrame(rows, "bucket long, node long, weight long"))
+    files = members.inputFiles()
+    groups = {r.node: r.root for r in linked_groups(members, verify, spend=True).collect()}
+    assert groups == {1: 1, 4: 1, 5: 5, 8: 5, 11: 5}
+    there = lambda paths: [p for p in paths if Path(p.removeprefix("file://")).exists()]
+    assert files and any(made) and not there(files) and not any(there(paths) for paths in made)
+
+
 def test_running_sums(spark):
     rows = [(i % 3, i, (i * 7) % 5) for i in range(50)]
     df = spark.createDataFrame(rows, "g int, k int, v int")
